@@ -239,16 +239,12 @@ def split_metadata(
     per_split = per_cell.groupBy("split").agg(F.countDistinct("group_id").alias("n"))
     per_label = per_cell.groupBy("split", "label").agg(F.sum("n").alias("n"))
     per_source = per_cell.groupBy("split", "source").agg(F.sum("n").alias("n"))
-    scalars = files.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit("seed").alias("s"), F.lit(seed).cast("double").alias("v")),
-                F.struct(F.lit("max_hamming_distance"), F.lit(max_distance).cast("double")),
-                F.struct(F.lit("n_images_staging"), F.col("n").cast("double")),
-                F.struct(F.lit("n_corrupted_dropped"), F.col("corrupt").cast("double")),
-            )
-        ).alias("e")
-    ).select(F.col("e.s").alias("section"), none.alias("split"), none.alias("item"), F.col("e.v").alias("n"))
+    scalars = (
+        line(files, "seed", F.lit(seed))
+        .unionByName(line(files, "max_hamming_distance", F.lit(max_distance)))
+        .unionByName(line(files, "n_images_staging", F.col("n")))
+        .unionByName(line(files, "n_corrupted_dropped", F.col("corrupt")))
+    )
     return (
         scalars.unionByName(line(conflicts, "n_conflicted_groups_dropped", F.col("n")))
         .unionByName(line(stats, "n_distinct_photos", F.col("n_groups")))

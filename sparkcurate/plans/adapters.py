@@ -64,3 +64,220 @@ def doc_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_chars",
         F.when(F.col("n_chars") >= 20, F.array(hash_value)).alias("orbit"),
     )
+
+
+def square_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as 8x8 grids with the eight hashes of the square's moves: ``id, orbit``."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return rows.select("id", H.grid_orbit(F.col("embedding"), 8).alias("orbit"))
+
+
+OUTER_DIRS = ("raw", "color", "Lettuce_diseases", "background", "train_set", "Healthy_crops", "images")
+CLASS_DIRS = (
+    "Tomato___healthy", "Tomato___Late_blight", "Pepper,_bell___healthy",
+    "Corn_(maize)___Cercospora_leaf_spot Gray_leaf_spot", "Potato___Early_blight",
+    "Apple___Apple_scab", "Shepherd_purse", "spotlight", "unhealthy", "weed_healthy",
+    "Squash___Powdery_mildew", "Strawberry___Leaf_scorch", "misc", "grape leaf black rot",
+    "Apple leaf",
+)
+SUFFIXES = (".jpg", ".JPG", ".png", ".bmp", ".tif", ".tiff", ".webp", ".txt", ".gif")
+
+
+def source_number() -> Column:
+    return F.regexp_extract("source", r"(\d+)$", 1).cast("bigint")
+
+
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a raw file lake: ``id, path, folder, n_chars, lang``. Every fifth source has
+    direct healthy/ and anomalous/ folders, the others one or two levels of class folders."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "lang")
+    k = F.col("doc_id")
+    pick = lambda names, n: X.lit_strings(names)[(k % n).cast("int")]
+    short = source_number() % 5 == 0
+    dirs = (
+        F.when(short & (k % 3 == 0), F.when(k % 2 == 0, "healthy").otherwise("anomalous"))
+        .when(short & (k % 3 == 1), "healthy/extra")
+        .when(k % 11 == 0, pick(OUTER_DIRS, 7))
+        .otherwise(F.concat(pick(OUTER_DIRS, 7), F.lit("/"), pick(CLASS_DIRS, 15)))
+    )
+    return docs.select(
+        k.alias("id"),
+        F.concat("source", F.lit("/"), dirs, F.lit("/"), k.cast("string"), pick(SUFFIXES, 9)).alias("path"),
+        pick(CLASS_DIRS, 15).alias("folder"),
+        "source",
+        "n_chars",
+        "lang",
+    )
+
+
+def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a quality label: ``id, path, source, label, label_idx, toxic, n_chars``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    labels = table(spark, sf_dir, "labels")
+    name = F.concat("source", F.lit("__"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return docs.join(labels, "doc_id").select(
+        F.col("doc_id").alias("id"),
+        name.alias("path"),
+        "source",
+        F.when(F.col("quality") == 1, "healthy").otherwise("anomalous").alias("label"),
+        F.col("quality").cast("int").alias("label_idx"),
+        F.col("toxic").cast("int").alias("toxic"),
+        "n_chars",
+    )
+
+
+SCORE_MODELS = (("m_len", 1.0, 6.0), ("m_sharp", 3.0, 7.0), ("m_flat", 0.3, 9.0))
+
+
+def scores2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-class scores of three simple models of text length; truth is quality."""
+    models = F.array(
+        *[
+            F.struct(F.lit(m).alias("model"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+            for m, a, b in SCORE_MODELS
+        ]
+    )
+    rows = labelled_docs(spark, sf_dir).withColumn("m", F.explode(models))
+    return rows.select(
+        "id",
+        F.col("m.model").alias("model"),
+        F.when(F.col("id") % 2 == 0, "val").otherwise("test").alias("split"),
+        "label_idx",
+        "toxic",
+        F.array(F.lit(0.0), F.col("m.a") * (F.log("n_chars") - F.col("m.b"))).alias("logits"),
+    )
+
+
+def veg_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, vegetation_fraction``: the share of a-z letters in the whole text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    letters = F.length(F.regexp_replace(F.lower("text"), "[^a-z]", ""))
+    return docs.select(F.col("doc_id").alias("id"), (letters / F.col("n_chars")).alias("vegetation_fraction"))
+
+
+def scores10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten-class scores: 40 x dot product of odd vectors with the class means of the even ones.
+
+    The means are the model: classes x dimensions numbers, whatever the size of the table.
+    """
+    rows = table(spark, sf_dir, "embeddings")
+    means = (
+        rows.filter("vec_id % 2 = 0")
+        .select("label", F.posexplode("embedding").alias("pos", "x"))
+        .groupBy("label", "pos")
+        .agg(F.avg(F.col("x").cast("double")).alias("mean"))
+        .groupBy("label")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda s: s["mean"]).alias("center"))
+        .orderBy("label")
+        .collect()
+    )
+    dots = []
+    for row in means:
+        center = F.expr("array(" + ", ".join(f"double('{x!r}')" for x in row["center"]) + ")")
+        products = F.zip_with(F.col("embedding"), center, lambda a, b: a.cast("double") * b)
+        dots.append(40.0 * F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x))
+    return rows.filter("vec_id % 2 = 1").select(
+        F.col("vec_id").alias("id"),
+        F.lit("c10").alias("model"),
+        F.lit("val").alias("split"),
+        F.col("label").cast("int").alias("label_idx"),
+        F.array(*dots).alias("logits"),
+    )
+
+
+MODEL_NAMES = ("mobilenet_v2", "resnet50", "efficientnet_b0", "vit_b_16")
+
+
+def diagnoses(events: DataFrame) -> DataFrame:
+    """Events as decision history; works on a batch and on a stream."""
+    predicted = (
+        F.when(F.col("event_type") == "view", "saudavel")
+        .when(F.col("event_type") == "click", "mildio")
+        .otherwise(F.col("event_type"))
+    )
+    return events.select(
+        F.col("event_id").alias("id"),
+        F.col("ts").alias("created_at"),
+        X.lit_strings(MODEL_NAMES)[(F.col("user_id") % 4).cast("int")].alias("model_name"),
+        predicted.alias("predicted_class"),
+        (F.col("value") / (F.col("value") + 50.0)).alias("confidence"),
+        F.lit(True).alias("demo_mode"),
+    )
+
+
+def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as training history: a user is a model, the event number its epoch."""
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("model"), F.col("event_id").alias("epoch"), F.col("value").alias("val_f1")
+    )
+
+
+BOX_NAMES = ("Healthy", "Downy_mildew", "Bacterial", "Thing")
+
+
+def box_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as annotation lines: two events make an image, a few lines are broken or name an
+    unlisted class: ``dataset, labels_dir, stem, line``."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    number = (
+        F.when(F.col("event_type").isin("view", "purchase"), "0")
+        .when(F.col("event_type") == "click", "1")
+        .when(F.col("event_type") == "signup", "2")
+        .when(F.col("value") < 10, "abc")
+        .when(F.col("value") < 20, "9")
+        .otherwise("3")
+    )
+    image = F.floor(F.col("event_id") / 2).cast("bigint")
+    dataset = F.concat(F.lit("boxes"), (image % 3).cast("string"))
+    return events.filter("value >= 2").select(
+        dataset.alias("dataset"),
+        F.when(image % 2 == 0, F.concat(dataset, F.lit("/train/labels")))
+        .otherwise(F.concat(dataset, F.lit("/labels/train")))
+        .alias("labels_dir"),
+        F.concat(F.lit("img"), image.cast("string")).alias("stem"),
+        F.concat(number, F.lit(" 0.5 0.5 0.1 0.1")).alias("line"),
+    )
+
+
+def box_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images those lines belong to, with both places their annotations may lie in."""
+    events = table(spark, sf_dir, "events").select("event_id").filter("event_id % 2 = 0")
+    image = F.floor(F.col("event_id") / 2).cast("bigint")
+    dataset = F.concat(F.lit("boxes"), (image % 3).cast("string"))
+    return events.select(
+        dataset.alias("dataset"),
+        image.alias("image"),
+        F.when(image % 2 == 0, F.concat(dataset, F.lit("/train/labels")))
+        .otherwise(F.concat(dataset, F.lit("/train2/labels")))
+        .alias("labels_dir_1"),
+        F.concat(dataset, F.lit("/labels/train")).alias("labels_dir_2"),
+        F.concat(F.lit("img"), image.cast("string")).alias("stem"),
+    )
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as 21 RGB pixels each: ``id, r, g, b`` in 0..255."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    level = lambda x: F.least(F.floor(F.abs(x.cast("double")) * 1000.0), F.lit(255)).cast("double")
+    triples = F.transform(
+        F.sequence(F.lit(0), F.lit(20)),
+        lambda k: F.struct(
+            *[
+                level(F.element_at("embedding", (k * 3 + c + 1).cast("int"))).alias(name)
+                for c, name in enumerate("rgb")
+            ]
+        ),
+    )
+    return rows.select(F.col("vec_id").alias("id"), F.explode(triples).alias("p")).select("id", "p.*")
+
+
+def vector_scores(rows: DataFrame) -> DataFrame:
+    """Embeddings as rows to decide on: ``id, model, logits, vegetation_fraction`` from the vector's
+    first numbers; works on a batch and on a stream."""
+    number = lambda k: F.element_at("embedding", k).cast("double")
+    return rows.select(
+        F.col("vec_id").alias("id"),
+        F.lit("stream").alias("model"),
+        F.array(number(1) * 10.0, number(2) * 10.0).alias("logits"),
+        F.abs(number(3)).alias("vegetation_fraction"),
+    )
