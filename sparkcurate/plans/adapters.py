@@ -281,3 +281,23 @@ def vector_scores(rows: DataFrame) -> DataFrame:
         F.array(number(1) * 10.0, number(2) * 10.0).alias("logits"),
         F.abs(number(3)).alias("vegetation_fraction"),
     )
+
+
+def text_images(spark: SparkSession, sf_dir: str, width: int = 48) -> DataFrame:
+    """Documents as pictures: ``id, image``, the bytes of the whole text as BGR pixels, row by row
+    and padded to full rows."""
+    docs = fill_cores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = F.octet_length("text")
+    height = F.greatest(F.ceil(size / (width * 3)), F.lit(1)).cast("int")
+    data = F.rpad(F.encode("text", "UTF-8"), height * (width * 3), F.unhex(F.lit("20")))
+    return docs.select(
+        F.col("doc_id").alias("id"),
+        F.struct(
+            F.lit("").alias("origin"),
+            height.alias("height"),
+            F.lit(width).alias("width"),
+            F.lit(3).alias("nChannels"),
+            F.lit(16).alias("mode"),
+            data.alias("data"),
+        ).alias("image"),
+    )

@@ -29,6 +29,7 @@ from sparkcurate.operators import splitting as SP
 from sparkcurate.plans import adapters as A
 from sparkcurate.session import cut, new_path
 from sparkcurate.sources import files as FS
+from sparkcurate.sources import images as IM
 from sparkcurate.streaming import jobs as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -799,6 +800,30 @@ def fit_baseline(spark, sf_dir):
     return scored.select("id", "label_idx", S.argmax(F.col("logits")).alias("pred"))
 
 
+@query
+def image_hash(spark, sf_dir):
+    """Texts as pictures, hashed pixel by pixel: the plain hash and the eight of the orbit."""
+    rows = A.text_images(spark, sf_dir).withColumn("orbit", IM.orbit_of(F.col("image")))
+    return rows.select(
+        "id",
+        IM.dhash_of(F.col("image")).alias("dhash"),
+        *[F.col("orbit")[k].alias(f"h{k}") for k in range(8)],
+    )
+
+
+@query
+def image_groups(spark, sf_dir):
+    """Near-duplicate groups of those pictures, all eight orientations compared."""
+    rows = A.text_images(spark, sf_dir).select("id", IM.orbit_of(F.col("image")).alias("orbit"))
+    return G.near_dup_groups(cut(rows), DOC_DISTANCE).select("id", "group_id")
+
+
+@query
+def image_vegetation(spark, sf_dir):
+    rows = A.text_images(spark, sf_dir)
+    return rounded(rows.select("id", IM.vegetation_of(F.col("image")).alias("vegetation")), "vegetation")
+
+
 # --- streams ----------------------------------------------------------------------------------
 
 

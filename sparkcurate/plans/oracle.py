@@ -426,7 +426,7 @@ WITH {SPLIT_DOCS} SELECT source, count(*) FILTER (split = 'train') AS train, cou
   count(*) FILTER (split = 'test') AS test FROM sd GROUP BY 1"""
 _RANKED = "SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || path), path) AS rk, count(*) OVER (PARTITION BY label) AS cn FROM ld"
 ORACLES["class_cap"] = f"WITH {LABELLED_DOCS}, k AS ({_RANKED}) SELECT id, label FROM k WHERE rk <= 50"
-ORACLES["sample_grid"] = f"WITH {LABELLED_DOCS}, k AS ({_RANKED}) SELECT id, label, rk AS slot FROM k WHERE rk <= 8"
+ORACLES["sample_grid"] = f"WITH {LABELLED_DOCS}, k AS ({_RANKED}) SELECT id, label, rk::int AS slot FROM k WHERE rk <= 8"
 ORACLES["balanced_resample"] = f"""
 WITH {LABELLED_DOCS}, k AS ({_RANKED}),
 cls AS (SELECT label, count(*) AS cn, row_number() OVER (ORDER BY label) - 1 AS ci FROM ld GROUP BY 1),
@@ -651,6 +651,10 @@ _ANSWERS = ", ".join(f"count(*) FILTER (answer = '{a}') AS {a}" for a in K.FIELD
 ORACLES["field_confusion"] = f"""
 WITH {DECIDED} SELECT f.truth, {_ANSWERS}
 FROM (SELECT unnest({texts(K.FIELD_TRUTHS)}) AS truth) f LEFT JOIN fld USING (truth) GROUP BY 1"""
+# Mean recall over the classes that have a decided row.
+_RECALLS = """coalesce((CASE WHEN decided_healthy > 0 THEN correct_healthy / decided_healthy::double ELSE 0 END
+  + CASE WHEN decided_anomalous > 0 THEN correct_anomalous / decided_anomalous::double ELSE 0 END)
+  / nullif((decided_healthy > 0)::int + (decided_anomalous > 0)::int, 0), 0)"""
 ORACLES["field_test"] = f"""
 WITH {DECIDED}, c AS (SELECT count(*) AS total,
   count(*) FILTER (truth <> 'nao_folha' AND answer IN ('healthy', 'anomalous')) AS decided,
@@ -665,7 +669,7 @@ WITH {DECIDED}, c AS (SELECT count(*) AS total,
   count(*) FILTER (truth = 'nao_folha' AND answer = 'not_a_leaf') AS non_leaves_rejected,
   count(*) FILTER (truth = 'nao_folha' AND answer IN ('healthy', 'anomalous')) AS non_leaves_diagnosed FROM fld)
 SELECT *, {r6('correct / decided::double')} AS accuracy,
-  {r6('(correct_healthy / decided_healthy::double + correct_anomalous / decided_anomalous::double) / 2')} AS balanced_accuracy,
+  {r6(_RECALLS)} AS balanced_accuracy,
   {r6('abstained / total::double')} AS abstention_rate, {r6('rejected_leaves / total::double')} AS leaf_rejection_rate FROM c"""
 
 

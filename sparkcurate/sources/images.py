@@ -6,6 +6,8 @@ helpers for one picture, called batch by batch through Arrow.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +47,7 @@ def as_rgb(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return pixels[:, :, 2::-1]
 
 
+@lru_cache(maxsize=512)
 def lanczos_matrix(source: int, target: int, support: float = 3.0) -> np.ndarray:
     """Rows of windowed-sinc weights that resample ``source`` points to ``target``."""
     scale = source / target
@@ -55,6 +58,7 @@ def lanczos_matrix(source: int, target: int, support: float = 3.0) -> np.ndarray
     return weights / weights.sum(axis=1, keepdims=True)
 
 
+@lru_cache(maxsize=512)
 def triangle_matrix(source: int, target: int) -> np.ndarray:
     """Rows of linear weights, widened when shrinking."""
     scale = source / target
@@ -65,6 +69,7 @@ def triangle_matrix(source: int, target: int) -> np.ndarray:
     return weights / weights.sum(axis=1, keepdims=True)
 
 
+@lru_cache(maxsize=512)
 def cubic_matrix(source: int, target: int, a: float = -0.5) -> np.ndarray:
     """Rows of cubic convolution weights, widened when shrinking."""
     scale = source / target
