@@ -13,25 +13,30 @@ from sparkcurate.operators.skew import HOT_ROWS, attach
 from sparkcurate.session import cut
 
 
-def _star(edges: DataFrame, large: bool, hot_rows: int) -> DataFrame:
+def _star(edges: DataFrame, large: bool, hot_rows: int | None) -> DataFrame:
     """One star step over edges ``(u, v)`` with ``u > v``.
 
     Large star: every neighbour above ``u`` is linked to the smallest node around ``u``.
     Small star: ``u`` and every neighbour below it are linked to the smallest of them.
+    ``hot_rows`` is None when the whole table is too small for any node to be hot.
     """
     down = edges.select("u", "v")
     around = down.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else down
     smallest = around.groupBy("u").agg(
         F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")
     )
-    linked = attach(around, smallest, "u", "v", "n", hot_rows=hot_rows)
-    if large:
-        out = linked.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    if hot_rows is None:
+        linked = around.join(smallest.drop("n"), "u")
     else:
-        out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            smallest.select("u", F.col("m").alias("v"))
-        )
-    return out.filter("u <> v").distinct()
+        linked = attach(around, smallest, "u", "v", "n", hot_rows=hot_rows)
+    if large:
+        return linked.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return (
+        linked.select(F.col("v").alias("u"), F.col("m").alias("v"))
+        .unionByName(smallest.select("u", F.col("m").alias("v")))
+        .filter("u <> v")
+        .distinct()
+    )
 
 
 def connected_components(
@@ -45,15 +50,12 @@ def connected_components(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     )
     current = cut(ends.distinct())
-    before = _state(current)
     for _ in range(max_rounds):
-        if not before[0]:
+        n_edges, unsettled = _progress(current)
+        if not unsettled:
             break
-        current = cut(_star(_star(current, True, hot_rows), False, hot_rows))
-        after = _state(current)
-        if after == before:
-            break
-        before = after
+        spread_above = hot_rows if 2 * n_edges > hot_rows else None
+        current = cut(_star(_star(current, True, spread_above), False, spread_above))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -62,7 +64,13 @@ def connected_components(
     )
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Row count and an order-free fingerprint of an edge table."""
-    fingerprint = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    return tuple(edges.agg(F.count(F.lit(1)), fingerprint).first())
+def _progress(edges: DataFrame) -> tuple[int, int]:
+    """Number of edges, and of nodes that still have two lower ends or one at both sides. With
+    none left every edge points at the smallest node of its component."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    per_node = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    open_node = (F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))
+    row = per_node.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count(F.when(open_node, 1))).first()
+    return row[0], row[1]

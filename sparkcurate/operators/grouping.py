@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkcurate import constants as K
 from sparkcurate.functions import hashing as H
+from sparkcurate.functions.let import let
 from sparkcurate.operators.components import connected_components
 from sparkcurate.operators.skew import HOT_ROWS, attach
 from sparkcurate.session import cut
@@ -29,41 +30,44 @@ def signatures(hashes: DataFrame) -> DataFrame:
     )
 
 
-class BandTree:
-    """Which bits must agree at each refinement level, worked out once on the driver.
+def worth_slicing(n_bits: int, max_distance: int) -> bool:
+    """Slicing ``n_bits`` into ``d + 1`` parts repeats every entry ``d + 1`` times and thins each
+    bucket by the width of a part; it pays when the second number is the larger one."""
+    return 2 ** (n_bits // (max_distance + 1)) > max_distance + 1
 
-    Two hashes within ``d`` agree fully on one of any ``d + 1`` bit slices. A node is the set of
-    bits agreed on so far; its children add one of ``d + 1`` slices of the remaining bits, so the
-    same argument holds inside every node and no pair within ``d`` can be missed at any depth.
-    """
 
-    def __init__(self, max_distance: int):
-        self.fan_out = max_distance + 1
-        self.masks: list[int | None] = [0]
-
-    def deepen(self) -> None:
-        masks: list[int | None] = []
-        for mask in self.masks:
-            slices = H.slice_mask(H.FULL_MASK & ~mask, self.fan_out) if mask is not None else []
-            masks += [mask | s for s in slices] + [None] * (self.fan_out - len(slices))
-        self.masks = masks
-
-    def narrowest(self) -> int:
-        return min(m.bit_count() for m in self.masks if m is not None)
-
-    def mask_of(self, node: Column) -> Column:
-        values = ("null" if m is None else f"bigint('{H.signed64(m)}')" for m in self.masks)
-        return F.element_at(F.expr(f"array({', '.join(values)})"), node + 1)
-
-    def spread(self, entries: DataFrame) -> DataFrame:
-        """Send every entry to the children of its node, with the bits it would share there."""
-        child = entries.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(self.fan_out - 1))))
-        return (
-            child.withColumn("node", (F.col("node") * self.fan_out + F.col("k")).cast("int"))
-            .withColumn("shared", self.mask_of(F.col("node")).bitwiseAND(F.col("h")))
-            .filter("shared is not null")
-            .select("node", "shared", "h", "owner")
-        )
+def start_masks(n: int, max_distance: int, max_bucket: int) -> list[int]:
+    """Bit masks to meet under first: ``d + 1`` slices, each cut further while evenly filled
+    buckets of ``n`` hashes would still be too large and another cut pays."""
+    fan_out = max_distance + 1
+    masks = H.slice_mask(H.FULL_MASK, fan_out)
+    while True:
+        width = min(m.bit_count() for m in masks)
+        if n / 2**width <= max_bucket or not worth_slicing(H.HASH_BITS - width - 1, max_distance):
+            return masks
+        masks = [m | part for m in masks for part in H.slice_mask(H.FULL_MASK & ~m, fan_out)]
+
+
+def slices_of(varying: Column, fan_out: int) -> Column:
+    """``ARRAY<BIGINT>``: the set bits of ``varying`` cut into ``fan_out`` runs of even width."""
+    bits = F.filter(
+        F.sequence(F.lit(0), F.lit(H.HASH_BITS - 1)),
+        lambda i: F.getbit(varying, i) == 1,
+    )
+
+    def runs(positions: Column) -> Column:
+        def one(k: Column) -> Column:
+            first = F.floor(F.size(positions) * k / fan_out).cast("int")
+            after = F.floor(F.size(positions) * (k + 1) / fan_out).cast("int")
+            return F.aggregate(
+                F.slice(positions, first + 1, after - first),
+                F.lit(0).cast("bigint"),
+                lambda acc, i: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i)),
+            )
+
+        return F.transform(F.sequence(F.lit(0), F.lit(fan_out - 1)), one)
+
+    return let(bits, runs)
 
 
 def near_pairs(
@@ -73,34 +77,56 @@ def near_pairs(
     their owners. ``hashes`` has ``h`` (distinct) and ``owner``. A pair that agrees on several
     slices comes out once for each.
 
-    Entries meet in buckets of equal bits. A bucket above ``max_bucket`` forms no pairs: its
-    entries move down the band tree into finer buckets until all are small. Nothing is skipped.
+    Two hashes within ``d`` agree fully on one of any ``d + 1`` slices of their bits, so entries
+    meet in buckets of equal slices. A bucket above ``max_bucket`` is cut again by the bits that
+    vary inside it: the same argument holds there, so nothing is missed at any depth. Where the
+    varying bits are too few for another cut to pay, the bucket is a dense cluster of near
+    hashes; its pairs are formed by many tasks, each taking a share of one side. Nothing is
+    skipped or capped.
     """
-    tree = BandTree(max_distance)
-    tree.deepen()
-    n = hashes.count()
-    entries = hashes.withColumn("node", F.lit(0))
-    # With this many hashes even evenly filled buckets would be too large: start lower down.
-    while n / 2 ** tree.narrowest() > max_bucket and tree.narrowest() < 40:
-        entries = tree.spread(entries)
-        tree.deepen()
-    entries = tree.spread(entries)
+    fan_out = max_distance + 1
+    masks = start_masks(hashes.count(), max_distance, max_bucket)
+    mask_list = F.expr("array(" + ", ".join(f"bigint('{H.signed64(m)}')" for m in masks) + ")")
+    entries = hashes.select(
+        "h", "owner", F.posexplode(mask_list).alias("node", "mask")
+    ).select(
+        F.col("node").cast("bigint").alias("node"), F.col("mask").bitwiseAND(F.col("h")).alias("shared"), "h", "owner"
+    )
     found = []
     while True:
-        sizes = entries.groupBy("node", "shared").agg(F.count(F.lit(1)).alias("n_here"))
-        crowded = sizes.filter(F.col("n_here") > max_bucket)
-        if crowded.isEmpty():
-            found.append(_pairs_in_buckets(entries, max_distance))
+        sizes = entries.groupBy("node", "shared").agg(
+            F.count(F.lit(1)).alias("n_here"), F.bit_or("h").bitwiseXOR(F.bit_and("h")).alias("varying")
+        )
+        crowded = F.col("n_here") > max_bucket
+        if sizes.filter(crowded).isEmpty():
+            found.append(_pairs_in_buckets(entries.withColumn("n_shares", F.lit(1)), max_distance))
             break
-        marked = sizes.filter("n_here > 1").withColumn(
-            "crowded", F.col("n_here") > F.lit(max_bucket)
+        part = F.floor(F.bit_count("varying") / fan_out)
+        cut_again = crowded & (F.pow(F.lit(2.0), part) > fan_out)
+        marked = sizes.filter("n_here > 1").select(
+            "node",
+            "shared",
+            "n_here",
+            F.when(cut_again, slices_of(F.col("varying"), fan_out)).alias("slices"),
+            F.ceil(F.col("n_here") / max_bucket).cast("int").alias("n_shares"),
         )
         placed = cut(
             attach(entries, marked, ["node", "shared"], "h", "n_here", hot_rows=hot_rows)
         )
-        found.append(_pairs_in_buckets(placed.filter("not crowded"), max_distance))
-        tree.deepen()
-        entries = tree.spread(placed.filter("crowded"))
+        found.append(_pairs_in_buckets(placed.filter("slices is null"), max_distance))
+        deeper = placed.filter("slices is not null")
+        if deeper.isEmpty():
+            break
+        # A bucket's number is a hash of its way down; should two ever coincide, their entries
+        # merely meet as well and the distance check parts them.
+        entries = deeper.select(
+            "node", "shared", "h", "owner", F.posexplode("slices").alias("k", "part")
+        ).select(
+            F.xxhash64("node", "shared", "k").alias("node"),
+            F.col("part").bitwiseAND(F.col("h")).alias("shared"),
+            "h",
+            "owner",
+        )
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
@@ -108,11 +134,22 @@ def near_pairs(
 
 
 def _pairs_in_buckets(entries: DataFrame, max_distance: int) -> DataFrame:
-    left = entries.select("node", "shared", F.col("h").alias("ha"), F.col("owner").alias("oa"))
-    right = entries.select("node", "shared", F.col("h").alias("hb"), F.col("owner").alias("ob"))
+    """Close pairs inside each bucket. A bucket of several shares has its left side dealt out
+    over them and its right side repeated on each."""
+    share = F.pmod(F.xxhash64("h"), F.col("n_shares")).cast("int")
+    left = entries.select(
+        "node", "shared", share.alias("share"), F.col("h").alias("ha"), F.col("owner").alias("oa")
+    )
+    right = entries.select(
+        "node",
+        "shared",
+        F.explode(F.sequence(F.lit(0), F.col("n_shares") - 1)).alias("share"),
+        F.col("h").alias("hb"),
+        F.col("owner").alias("ob"),
+    )
     distance = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
     return (
-        left.join(right, ["node", "shared"])
+        left.join(right, ["node", "shared", "share"])
         .filter((F.col("ha") < F.col("hb")) & (distance <= max_distance))
         .select(
             F.least("oa", "ob").alias("a"),

@@ -50,9 +50,7 @@ def doc_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fill_cores(
         table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
     )
-    hash_value = let(
-        text_grid(F.col("text")), lambda g: H.grid_hash(H.array_cells(g, GRID_CELLS), 8, 9)
-    )
+    hash_value = H.grid_hash(text_grid(F.col("text")), 8, 9)
     odd = F.regexp_extract("source", r"(\d+)$", 1).cast("int") % 2 == 1
     label = F.when(odd, "anomalous").otherwise("healthy")
     name = F.concat("source", F.lit("__"), F.format_string("%08d", "doc_id"), F.lit(".txt"))

@@ -1,0 +1,14 @@
+"""Reachability by brute force, for comparison."""
+
+
+def components(nodes, edges):
+    label = {n: n for n in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            low = min(label[a], label[b])
+            if label[a] != low or label[b] != low:
+                label[a] = label[b] = low
+                changed = True
+    return label
