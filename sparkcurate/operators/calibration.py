@@ -26,9 +26,11 @@ def predictions(scores: DataFrame, temperature: Column | float = 1.0) -> DataFra
 
 
 def _require_split(scores: DataFrame, split: str) -> DataFrame:
-    """Calibration may look at one split only; rows of any other stop the job."""
+    """Calibration may look at one split only; rows of any other stop the job. The check sits on
+    the label, which every fit reads, so no plan can drop it."""
     stop = F.raise_error(F.concat(F.lit(f"calibration reads {split} only, found "), F.col("split")))
-    return scores.withColumn("split", F.when(F.col("split") == split, F.col("split")).otherwise(stop))
+    guarded = F.when(F.col("split") == split, F.col("label_idx")).otherwise(stop.cast("int"))
+    return scores.withColumn("label_idx", guarded)
 
 
 def reliability(preds: DataFrame, n_bins: int = K.N_CALIBRATION_BINS) -> DataFrame:
