@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sparkcurate import constants as K
 from sparkcurate.functions import scores as S
 from sparkcurate.functions.let import let
+from sparkcurate.operators.skew import small_side
 
 
 def predictions(scores: DataFrame, temperature: Column | float = 1.0) -> DataFrame:
@@ -48,19 +49,45 @@ def reliability(preds: DataFrame, n_bins: int = K.N_CALIBRATION_BINS) -> DataFra
     )
 
 
+def score_summary(preds: DataFrame, n_bins: int = K.N_CALIBRATION_BINS) -> DataFrame:
+    """``model, label_idx, pred, bin, n, sum_confidence``: all that the confusion, calibration
+    and confidence reports need, from one pass; classes x classes x bins lines per model."""
+    return (
+        preds.withColumn("bin", S.confidence_bin(F.col("confidence"), n_bins))
+        .groupBy("model", "label_idx", "pred", "bin")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("sum_confidence"))
+    )
+
+
 def calibration_error(preds: DataFrame, n_bins: int = K.N_CALIBRATION_BINS) -> DataFrame:
     """``model, ece``: mean absolute gap between accuracy and confidence, weighted by bin."""
     bins = preds.withColumn("bin", S.confidence_bin(F.col("confidence"), n_bins)).groupBy(
         "model", "bin"
     ).agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg("correct").alias("accuracy"),
-        F.avg("confidence").alias("mean_confidence"),
+        F.sum("correct").alias("right"),
+        F.sum("confidence").alias("sum_confidence"),
     )
-    gap = F.when(F.col("bin").isNotNull(), F.col("n") * F.abs(F.col("accuracy") - F.col("mean_confidence")))
+    return _error_of_bins(bins)
+
+
+def _error_of_bins(bins: DataFrame) -> DataFrame:
+    gap = F.when(F.col("bin").isNotNull(), F.abs(F.col("right") - F.col("sum_confidence")))
     return bins.groupBy("model").agg((F.coalesce(F.sum(gap), F.lit(0.0)) / F.sum("n")).alias("ece"))
 
 
+def error_of_summary(summary: DataFrame) -> DataFrame:
+    """``model, ece, mean_confidence`` from a score summary."""
+    right = F.sum(F.when(F.col("label_idx") == F.col("pred"), F.col("n")).otherwise(0))
+    bins = summary.groupBy("model", "bin").agg(
+        F.sum("n").alias("n"), right.alias("right"), F.sum("sum_confidence").alias("sum_confidence")
+    )
+    means = summary.groupBy("model").agg(
+        (F.sum("sum_confidence") / F.sum("n")).alias("mean_confidence")
+    )
+    return _error_of_bins(bins).join(means, "model")
+
+
 def mean_confidence(preds: DataFrame) -> DataFrame:
     return preds.groupBy("model").agg(
         F.avg("confidence").alias("mean_confidence"), F.avg("correct").alias("accuracy")
@@ -154,10 +181,9 @@ def fit_temperature(
 
 
 def with_temperature(scores: DataFrame, fitted: DataFrame) -> DataFrame:
-    """Adds ``temperature`` per model, 1 where none was fitted. One row per model: Spark
-    broadcasts the table as long as its size is under the session's threshold."""
+    """Adds ``temperature`` per model, 1 where none was fitted."""
     known = fitted.select("model", "temperature")
-    return scores.join(known, "model", "left").withColumn(
+    return scores.join(small_side(known), "model", "left").withColumn(
         "temperature", F.coalesce("temperature", F.lit(1.0))
     )
 

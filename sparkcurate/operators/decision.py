@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkcurate import constants as K
 from sparkcurate.functions import scores as S
+from sparkcurate.operators.skew import small_side
 
 
 def with_calibration(rows: DataFrame, calibration: DataFrame | None) -> DataFrame:
@@ -17,7 +18,7 @@ def with_calibration(rows: DataFrame, calibration: DataFrame | None) -> DataFram
         )
         return found
     known = calibration.select("model", "temperature", "threshold")
-    return rows.join(known, "model", "left").withColumn(
+    return rows.join(small_side(known), "model", "left").withColumn(
         "temperature", F.coalesce("temperature", F.lit(1.0))
     ).withColumn("threshold", F.coalesce("threshold", F.lit(K.DEFAULT_THRESHOLD)))
 
@@ -136,7 +137,7 @@ def fit_baseline(
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    table = features.join(weights.select("label_idx", "weight"), "label_idx").select(
+    table = features.join(small_side(weights.select("label_idx", "weight")), "label_idx").select(
         array_to_vector(F.col("features")).alias("features"),
         F.col("label_idx").cast("double").alias("label"),
         "weight",

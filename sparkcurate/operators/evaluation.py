@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sparkcurate import constants as K
 from sparkcurate.operators import calibration as C
 from sparkcurate.operators.ranking import prefix_scan
+from sparkcurate.session import cut
 
 
 def confusion_counts(preds: DataFrame) -> DataFrame:
@@ -121,14 +122,13 @@ def model_comparison(scores: DataFrame, fitted: DataFrame | None = None) -> Data
     two_class = preds.filter(F.size("probs") == 2).select(
         "model", "label_idx", F.col("probs")[1].alias("score")
     )
-    extra = preds.groupBy("model").agg(
-        F.avg("confidence").alias("mean_confidence"), F.first("temperature").alias("temperature")
-    )
+    summary = cut(C.score_summary(preds))
+    models = known.groupBy("model").agg(F.first("temperature").alias("temperature"))
     table = (
-        headline(preds)
+        headline_of_counts(summary)
         .join(roc_auc(two_class), "model", "left")
-        .join(C.calibration_error(preds), "model")
-        .join(extra, "model")
+        .join(C.error_of_summary(summary), "model")
+        .join(models, "model")
     )
     return rank_models(table)
 

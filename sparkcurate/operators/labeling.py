@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkcurate import constants as K
 from sparkcurate.functions import text as X
 from sparkcurate.functions.let import let
-from sparkcurate.operators.skew import HOT_ROWS, attach
+from sparkcurate.operators.skew import HOT_ROWS, attach, small_side
 
 
 def deciding_dir(path: Column) -> Column:
@@ -179,9 +179,8 @@ def copy_counts(planned: DataFrame, existing: DataFrame, dest: str = "dest") ->
 
 
 def join_class_map(files: DataFrame, class_map: DataFrame, classes=K.CLASS_NAMES) -> DataFrame:
-    """Files of mapped folders whose class is known. The map is a small table of its own, so
-    Spark broadcasts it as long as its size stays under the session's threshold."""
-    return files.join(class_map.filter(F.col("class").isin(*classes)), "folder")
+    """Files of mapped folders whose class is known."""
+    return files.join(small_side(class_map.filter(F.col("class").isin(*classes))), "folder")
 
 
 def find_annotations(images: DataFrame, lines: DataFrame) -> DataFrame:
@@ -219,9 +218,9 @@ def annotation_labels(found: DataFrame, names: DataFrame) -> DataFrame:
     known = names.select("dataset", "class_id", F.when(label.isin(*K.LABELS), label).alias("box"))
     usable = known.filter("box is not null").select("dataset").distinct()
     boxes = (
-        found.join(usable, "dataset", "left_semi")
+        found.join(small_side(usable), "dataset", "left_semi")
         .withColumn("class_id", class_id(F.col("line")))
-        .join(known, ["dataset", "class_id"], "left")
+        .join(small_side(known), ["dataset", "class_id"], "left")
     )
     has_id = F.col("class_id").isNotNull()
     per_image = boxes.groupBy("dataset", "image").agg(

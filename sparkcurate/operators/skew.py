@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 
 
+# Rows a lookup table may have to be sent to every executor.
+SMALL_ROWS = 100_000
+
+
+def small_side(lookup: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """``lookup`` marked for broadcast when a count finds at most ``max_rows`` rows in it, and
+    unchanged otherwise: the join is then a shuffle, which Spark splits where keys are hot."""
+    return F.broadcast(lookup) if lookup.limit(max_rows + 1).count() <= max_rows else lookup
+
+
 def attach(
     rows: DataFrame,
     keyed: DataFrame,
