@@ -9,6 +9,7 @@ from sparkcurate import constants as K
 from sparkcurate.functions import text as X
 from sparkcurate.functions.let import let
 from sparkcurate.operators.skew import HOT_ROWS, attach, small_side
+from sparkcurate.session import store
 
 
 def deciding_dir(path: Column) -> Column:
@@ -93,10 +94,10 @@ def unrecognized_dirs(labelled: DataFrame) -> DataFrame:
     distinct directories, not on files.
     """
     dirs = X.inner_dirs(F.col("path"))
-    folders = labelled.groupBy(
-        "source", F.concat_ws("/", dirs).alias("folder"), F.size(dirs).alias("depth")
-    ).agg(
-        F.count(F.when(F.col("status") == "unlabelled", 1)).alias("n_images")
+    folders = store(
+        labelled.groupBy(
+            "source", F.concat_ws("/", dirs).alias("folder"), F.size(dirs).alias("depth")
+        ).agg(F.count(F.when(F.col("status") == "unlabelled", 1)).alias("n_images"))
     )
     above = (
         folders.filter("depth > 1")
@@ -115,6 +116,7 @@ def unrecognized_dirs(labelled: DataFrame) -> DataFrame:
 def label_audit(labelled: DataFrame) -> DataFrame:
     """Long table ``source, folder, label, n_images, status``: every folder that gave a label,
     every leaf that gave none, and per source what was dropped without a trace otherwise."""
+    labelled = store(labelled)
     assigned = (
         labelled.filter("status = 'labelled'")
         .groupBy("source", "folder", "label")

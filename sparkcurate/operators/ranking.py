@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkcurate.session import cut
+from sparkcurate.session import store
 
 
 def hash_rank(
@@ -72,7 +72,7 @@ def prefix_scan(
     """
     spark = df.sparkSession
     # Read three times below, and scans get chained: without this the work would triple each time.
-    df = cut(df)
+    df = store(df)
     n_buckets = n_buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     functions = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
     keyed = df

@@ -27,7 +27,7 @@ from sparkcurate.operators import history as HI
 from sparkcurate.operators import labeling as L
 from sparkcurate.operators import splitting as SP
 from sparkcurate.plans import adapters as A
-from sparkcurate.session import cut, new_path
+from sparkcurate.session import new_path, store
 from sparkcurate.sources import files as FS
 from sparkcurate.sources import images as IM
 from sparkcurate.streaming import jobs as ST
@@ -56,7 +56,7 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 def hash_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hash table every later stage reads; hashing a file is the dear part, so it is written
     out once per job."""
-    return cut(A.doc_hashes(spark, sf_dir))
+    return store(A.doc_hashes(spark, sf_dir))
 
 
 def doc_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +66,7 @@ def doc_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def row_split_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Files split row by row, and their groups."""
-    listed = cut(SP.row_split(A.doc_hashes(spark, sf_dir)))
+    listed = store(SP.row_split(A.doc_hashes(spark, sf_dir)))
     return listed, G.near_dup_groups(listed, DOC_DISTANCE)
 
 
@@ -111,7 +111,7 @@ def near_dup_edges(spark, sf_dir):
 @query
 def near_dup_groups(spark, sf_dir):
     _, groups = doc_groups(spark, sf_dir)
-    return G.dense_group_ids(cut(groups)).select("id", "group_id", "dense_id")
+    return G.dense_group_ids(store(groups)).select("id", "group_id", "dense_id")
 
 
 @query
@@ -122,7 +122,7 @@ def group_stats(spark, sf_dir):
 
 @query
 def tolerance_sweep(spark, sf_dir):
-    listed = cut(SP.row_split(A.doc_hashes(spark, sf_dir)))
+    listed = store(SP.row_split(A.doc_hashes(spark, sf_dir)))
     return rounded(G.tolerance_sweep(listed, SWEEP_DISTANCES), "leaked_pct")
 
 
@@ -132,7 +132,7 @@ def tolerance_sweep(spark, sf_dir):
 @query
 def group_split(spark, sf_dir):
     _, groups = doc_groups(spark, sf_dir)
-    return SP.group_split(cut(groups)).select("id", "group_id", "label", "split")
+    return SP.group_split(store(groups)).select("id", "group_id", "label", "split")
 
 
 @query
@@ -150,7 +150,7 @@ def leak_report_row_split(spark, sf_dir):
 @query
 def leak_report_group_split(spark, sf_dir):
     _, groups = doc_groups(spark, sf_dir)
-    kept = cut(SP.group_split(cut(groups)))
+    kept = store(SP.group_split(store(groups)))
     return AU.flat_report(AU.leakage_report(kept, kept, DOC_DISTANCE))
 
 
@@ -163,8 +163,8 @@ def leak_matrix(spark, sf_dir):
 @query
 def leak_before_after(spark, sf_dir):
     listed, groups = row_split_groups(spark, sf_dir)
-    groups = cut(groups)
-    kept = cut(SP.group_split(groups))
+    groups = store(groups)
+    kept = store(SP.group_split(groups))
     before = AU.leakage_report(groups, listed, DOC_DISTANCE)
     after = AU.leakage_report(kept, kept, DOC_DISTANCE)
     return rounded(AU.compare_reports(before, after), "change")
@@ -173,19 +173,19 @@ def leak_before_after(spark, sf_dir):
 @query
 def leak_examples(spark, sf_dir):
     _, groups = row_split_groups(spark, sf_dir)
-    return AU.leak_examples(cut(groups), 15)
+    return AU.leak_examples(store(groups), 15)
 
 
 @query
 def leaked_rows(spark, sf_dir):
     _, groups = row_split_groups(spark, sf_dir)
-    return AU.leaked_rows(cut(groups)).select("id", "split", "group_id")
+    return AU.leaked_rows(store(groups)).select("id", "split", "group_id")
 
 
 @query
 def clean_test(spark, sf_dir):
     _, groups = row_split_groups(spark, sf_dir)
-    return AU.clean_test(cut(groups)).select("id", "group_id")
+    return AU.clean_test(store(groups)).select("id", "group_id")
 
 
 @query
@@ -197,14 +197,14 @@ def label_conflicts(spark, sf_dir):
 @query
 def drop_conflicts(spark, sf_dir):
     _, groups = doc_groups(spark, sf_dir)
-    return AU.drop_conflicts(cut(groups)).select("id", "group_id", "label")
+    return AU.drop_conflicts(store(groups)).select("id", "group_id", "label")
 
 
 @query
 def split_metadata(spark, sf_dir):
     files, groups = doc_groups(spark, sf_dir)
-    groups = cut(groups)
-    kept = cut(SP.group_split(groups))
+    groups = store(groups)
+    kept = store(SP.group_split(groups))
     return AU.split_metadata(files, groups, kept, DOC_DISTANCE)
 
 
@@ -300,7 +300,7 @@ def unrecognized_dirs(spark, sf_dir):
 
 
 @query
-def binary_shortcut(spark, sf_dir):
+def binary_shortstore(spark, sf_dir):
     files = A.paths(spark, sf_dir).select("id", "path")
     return L.label_files(files).select("id", "source", "shortcut", "label", "status")
 
@@ -449,12 +449,12 @@ def split_label_counts(spark, sf_dir):
 
 @query
 def dataset_alerts(spark, sf_dir):
-    return rounded(B.dataset_alerts(cut(split_docs(spark, sf_dir))), "ratio")
+    return rounded(B.dataset_alerts(store(split_docs(spark, sf_dir))), "ratio")
 
 
 @query
 def total_alerts(spark, sf_dir):
-    return rounded(B.total_alerts(cut(split_docs(spark, sf_dir))), "ratio")
+    return rounded(B.total_alerts(store(split_docs(spark, sf_dir))), "ratio")
 
 
 @query
@@ -498,7 +498,7 @@ def sample_grid(spark, sf_dir):
 
 @query
 def balanced_resample(spark, sf_dir):
-    rows = cut(A.labelled_docs(spark, sf_dir).select("id", "path", "label"))
+    rows = store(A.labelled_docs(spark, sf_dir).select("id", "path", "label"))
     return SP.balanced_resample(rows).select("draw", "label", "id")
 
 
@@ -507,7 +507,7 @@ def same_class_fill(spark, sf_dir):
     """Every document has a label by its source; one without a quality label is unreadable."""
     docs = A.table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     known = A.table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("known"))
-    rows = cut(
+    rows = store(
         docs.join(known, "doc_id", "left").select(
             F.col("doc_id").alias("id"),
             "lang",
@@ -565,7 +565,7 @@ def roc_auc(spark, sf_dir):
     rows = A.scores2(spark, sf_dir).withColumn("score", S.softmax(F.col("logits"))[1])
     # A cut of the same scores to four digits makes many ties.
     tied = rows.withColumn("model", F.concat("model", F.lit("_tied"))).withColumn("score", F.floor(F.col("score") * 20) / 20)
-    both = cut(rows.unionByName(tied).select("model", "label_idx", "score"))
+    both = store(rows.unionByName(tied).select("model", "label_idx", "score"))
     return rounded(E.roc_auc(both), "roc_auc")
 
 
@@ -621,7 +621,7 @@ def calibration_row(spark, sf_dir):
 @query
 def model_comparison(spark, sf_dir):
     fitted = spark.createDataFrame(list(FIXED_TEMPERATURES), "model string, temperature double")
-    table = E.model_comparison(cut(A.scores2(spark, sf_dir)), fitted)
+    table = E.model_comparison(store(A.scores2(spark, sf_dir)), fitted)
     return rounded(
         table, "accuracy", "balanced_accuracy", "precision_macro", "recall_macro", "f1_macro",
         "roc_auc", "ece", "mean_confidence",
@@ -815,7 +815,7 @@ def image_hash(spark, sf_dir):
 def image_groups(spark, sf_dir):
     """Near-duplicate groups of those pictures, all eight orientations compared."""
     rows = A.text_images(spark, sf_dir).select("id", IM.orbit_of(F.col("image")).alias("orbit"))
-    return G.near_dup_groups(cut(rows), DOC_DISTANCE).select("id", "group_id")
+    return G.near_dup_groups(store(rows), DOC_DISTANCE).select("id", "group_id")
 
 
 @query
