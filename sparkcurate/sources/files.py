@@ -63,7 +63,8 @@ def annotation_names(yaml_files: DataFrame) -> DataFrame:
 def read_annotations(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Class names and annotation lines of all detection datasets below ``root``, where a dataset
     is a direct child directory: ``(dataset, class_id, class_name)`` and ``(dataset, labels_dir,
-    stem, line)``. Blank lines are dropped; an empty file leaves one null line."""
+    stem, line)``. Blank lines are dropped; a file of blank lines leaves one null line,
+    and an empty one none: its images drop out for want of an annotation either way."""
     base = root.rstrip("/")
 
     def whole(pattern: str) -> DataFrame:
@@ -83,7 +84,7 @@ def read_annotations(spark: SparkSession, root: str) -> tuple[DataFrame, DataFra
         F.regexp_replace("path", "/[^/]*$", "").alias("labels_dir"),
         X.file_stem(F.col("path")).alias("stem"),
         F.explode_outer(
-            F.filter(F.transform(F.split("value", r"\r?\n"), F.trim), lambda s: s != "")
+            F.filter(F.transform(F.split("value", r"\r?\n"), lambda s: F.trim(s)), lambda s: s != "")
         ).alias("line"),
     )
     return names, lines

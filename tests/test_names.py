@@ -133,7 +133,8 @@ def test_read_annotations(spark, tmp_path):
     (tmp_path / "ds1/train/labels").mkdir(parents=True)
     (tmp_path / "ds1/data.yaml").write_text("nc: 2\nnames:\n- a\n- b\n")
     (tmp_path / "ds1/train/labels/i1.txt").write_text("0 1 1\n\n 1 2 2\n")
-    (tmp_path / "ds1/train/labels/i2.txt").write_text("")
+    (tmp_path / "ds1/train/labels/i2.txt").write_text("\n \n")
+    (tmp_path / "ds1/train/labels/i3.txt").write_text("")
     names, lines = FS.read_annotations(spark, str(tmp_path))
     assert {tuple(r) for r in names.collect()} == {("ds1", 0, "a"), ("ds1", 1, "b")}
     got = {(r["stem"], r["line"]) for r in lines.collect()}

@@ -7,9 +7,9 @@ from check_oracle import compare, sql_engine
 
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = [
-    "near_dup_edges", "orbit_hash", "leak_report_group_split", "label_audit", "annotation_labels",
-    "class_root", "dataset_alerts", "balanced_resample", "same_class_fill", "roc_auc", "pick_threshold",
-    "fit_temperature", "early_stop", "decide", "field_test", "dashboard", "image_groups",
+    "near_dup_edges", "orbit_hash", "label_audit", "annotation_labels", "class_root",
+    "dataset_alerts", "balanced_resample", "roc_auc", "fit_temperature", "early_stop", "decide",
+    "field_test", "image_groups",
 ]
 
 
