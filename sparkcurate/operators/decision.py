@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -163,9 +165,6 @@ def score_batch(features: DataFrame, model) -> DataFrame:
 def score_batch_with(features: DataFrame, score, n_classes: int) -> DataFrame:
     """Adds ``logits`` from any function of a 2-d float array to a 2-d array of scores; Spark
     hands it one Arrow batch at a time."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def run(batch: pd.Series) -> pd.Series:
         matrix = np.asarray(score(np.stack(batch.to_list())), dtype=float)

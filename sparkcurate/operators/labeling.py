@@ -133,6 +133,12 @@ def label_audit(labelled: DataFrame) -> DataFrame:
     return assigned.unionByName(leaves)
 
 
+def status_counts(labelled: DataFrame) -> DataFrame:
+    """Files per source and status: also shows those that vanish without a line in the audit
+    (ignored folders, loose files above a labelled level, files beside a binary shortcut)."""
+    return labelled.groupBy("source", "status").agg(F.count(F.lit(1)).alias("n_images"))
+
+
 def class_roots(paths: DataFrame) -> DataFrame:
     """Per source, the shallowest directory holding a child directory named ``crop___condition``
     (first by path among equals). The source directory itself may be the one; a source without

@@ -311,6 +311,12 @@ def label_audit(spark, sf_dir):
     return L.label_audit(L.label_files(files))
 
 
+@query
+def label_status(spark, sf_dir):
+    files = A.paths(spark, sf_dir).select("id", "path")
+    return L.status_counts(L.label_files(files))
+
+
 @query
 def flat_names(spark, sf_dir):
     files = A.paths(spark, sf_dir).filter(X.has_extension(F.col("path")))
@@ -779,6 +785,15 @@ def model_catalogue(spark, sf_dir):
     return HI.model_catalogue(ready).select("model", "label", "has_weights", "n_ready")
 
 
+@query
+def evaluable_models(spark, sf_dir):
+    """Score tables of models without weights are skipped: two of the three have some."""
+    scored = A.scores2(spark, sf_dir)
+    weights = scored.filter("model <> 'm_flat'").select("model")
+    kept = HI.evaluable_models(scored, weights)
+    return kept.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def pixel_vegetation(spark, sf_dir):
     px = A.pixels(spark, sf_dir)

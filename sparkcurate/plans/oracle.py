@@ -319,6 +319,7 @@ ORACLES["label_audit"] = f"""
 {LABELLED} SELECT source, folder_found AS folder, label, count(*) AS n_images, 'assigned' AS status
 FROM labelled WHERE status = 'labelled' GROUP BY ALL
 UNION ALL SELECT source, folder, NULL, n_images, 'unrecognized' FROM leaves"""
+ORACLES["label_status"] = f"{LABELLED} SELECT source, status, count(*) AS n_images FROM labelled GROUP BY ALL"
 _IMAGE = f"list_contains({texts(K.IMAGE_EXTENSIONS)}, ext)"
 _FLAT = "source || '__' || array_to_string(dirs, '_') || '_' || id || sfx"
 ORACLES["flat_names"] = f"""
@@ -702,6 +703,7 @@ ORACLES["model_catalogue"] = f"""
 WITH {DIAG}, r AS (SELECT model_name AS model FROM dg GROUP BY 1 HAVING count(*) * 4 > (SELECT count(*) FROM dg)),
 cat(model, label) AS (VALUES {values(K.MODEL_LABELS.items())})
 SELECT cat.model, label, r.model IS NOT NULL AS has_weights, (SELECT count(*) FROM r) AS n_ready FROM cat LEFT JOIN r USING (model)"""
+ORACLES["evaluable_models"] = f"WITH {SCORES2} SELECT model, count(*) AS n FROM s2 WHERE model <> 'm_flat' GROUP BY 1"
 ORACLES["pixel_vegetation"] = f"""
 WITH c AS (SELECT vec_id AS id, least(floor(abs(unnest(embedding)::double) * 1000.0::double), 255)::double AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
 p AS (SELECT id, i // 3 AS px, max(x) FILTER (i % 3 = 0) AS r, max(x) FILTER (i % 3 = 1) AS g, max(x) FILTER (i % 3 = 2) AS b

@@ -160,3 +160,9 @@ def test_history_views(spark):
     assert HI.delete_diagnoses(df, df.filter("id < 10").select("id")).count() == 50
     with pytest.raises(ValueError):
         HI.history_page(df, 201)
+
+
+def test_score_batch_with_a_function(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "id int, features array<double>")
+    got = {r["id"]: r["logits"] for r in D.score_batch_with(df, lambda x: x * 10.0, 2).collect()}
+    assert got == {1: [10.0, 20.0], 2: [30.0, 40.0]}
