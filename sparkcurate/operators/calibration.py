@@ -7,7 +7,6 @@ aggregate per model; no score table is ever ordered or collected.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkcurate import constants as K
