@@ -109,7 +109,7 @@ def base_failed(m: Column) -> Column:
 
 #: name -> vote as a column of the measures. Rules about the make-up of short texts abstain.
 RULES = {
-    "length": lambda m: _vote(m["n_words"] >= 80, m["n_words"] < 50),
+    "length": lambda m: _vote(m["n_words"] >= 50, m["n_words"] < 50),
     "word_length": lambda m: _vote(
         _ratio(m, "word_chars", "n_words").between(3.5, 7.0),
         ~_ratio(m, "word_chars", "n_words").between(3.0, 9.0),
@@ -119,7 +119,7 @@ RULES = {
     ),
     "same_lines": lambda m: _vote(None, m["n_dup_lines"] > 0.3 * m["n_lines"]),
     "same_windows": lambda m: _vote(
-        _ratio(m, "n_repeat_words", "n_words") < 0.05, _ratio(m, "n_repeat_words", "n_words") > 0.25
+        _ratio(m, "n_repeat_words", "n_words") < 0.15, _ratio(m, "n_repeat_words", "n_words") > 0.3
     ),
     "line_ends": lambda m: _vote(
         _ratio(m, "n_ended_lines", "n_lines") > 0.8, _ratio(m, "n_ended_lines", "n_lines") < 0.4

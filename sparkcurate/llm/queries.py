@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcurate.llm import quality
+from sparkcurate.llm import mixing, quality, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,19 @@ def op9_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op2_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
+    "op2_url_aliases": op2_url_aliases,
+    "op6_weighted_mix": op6_weighted_mix,
     "op9_quality_votes": op9_quality_votes,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_weighted_mix": mixing.ORACLE,
+}
