@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcurate.llm import mixing, quality, urls
+from sparkcurate.llm import langid, mixing, quality, tokenids, urls
+from sparkcurate.session import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +32,22 @@ def op2_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = new_path(spark, "token-ids")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokenids.write_ids(documents, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenids.read_documents(spark, path)
+
+
+def op7_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 QUERIES = {
+    "op4_token_ids": op4_token_ids,
+    "op7_language_ppm": op7_language_ppm,
     "op2_url_aliases": op2_url_aliases,
     "op6_weighted_mix": op6_weighted_mix,
     "op9_quality_votes": op9_quality_votes,
