@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcurate.llm import langid, mixing, quality, tokenids, urls
+from sparkcurate.llm import langid, licenses, mixing, pii, quality, tokenids, urls
 from sparkcurate.session import new_path
 
 
@@ -45,7 +45,29 @@ def op7_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op1_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(documents, pii.learn(documents))
+    names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
+    return found.select("doc_id", *[F.col("pii")[name].alias(name) for name in names])
+
+
+def op3_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.col("license")
+    base = F.array_distinct(F.transform(found.places, lambda p: p.label))
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", found.n_words.alias("n_words"), F.size(found.places).cast("long").alias("n_base"),
+        F.array_min(F.transform(found.places, lambda p: p.start)).alias("first_word"),
+        F.array_max(F.transform(found.places, lambda p: p.start)).alias("last_word"),
+        F.array_join(F.sort_array(base), ",").alias("base_labels"),
+        F.array_join(F.sort_array(F.array_union(base, found.found.labels)), ",").alias("labels"),
+        found.found.score.alias("score"),
+    )
+
+
 QUERIES = {
+    "op1_pii_field": op1_pii_field,
+    "op3_license_rules": op3_license_rules,
     "op4_token_ids": op4_token_ids,
     "op7_language_ppm": op7_language_ppm,
     "op2_url_aliases": op2_url_aliases,
