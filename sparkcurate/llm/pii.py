@@ -48,6 +48,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NUMBER = re.compile(r"[0-9](?:[ ().\-/]{0,2}[0-9])++")
+RUN = re.compile(r"[0-9]++")
 NAME = re.compile(r"[A-Za-z0-9._%+-]{6,}")
 DIGIT = re.compile(r"[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
@@ -116,8 +117,13 @@ def mentions(text: str, base: list[Span]) -> list[tuple[int, int, int, str, tupl
     taken = sorted((s, e) for s, e, _ in base)
     rest, reach = [], 0
     if DIGIT.search(text):
-        rest += [number(m.start(), m.end(), NONE) for m in NUMBER.finditer(text) if m.end() - m.start() >= 7]
-        rest = [x for x in rest if int(x[3][1:]) >= 7]
+        for m in NUMBER.finditer(text):
+            whole = number(m.start(), m.end(), NONE)
+            if whole[3] == "n20":  # several numbers side by side
+                runs = (number(m.start() + r.start(), m.start() + r.end(), NONE) for r in RUN.finditer(m[0]))
+                rest += [x for x in runs if int(x[3][1:]) >= 7]
+            elif int(whole[3][1:]) >= 7:
+                rest.append(whole)
     if names:
         rest += [
             (m.start(), m.end(), NONE, "w", ("w" + m[0].lower(),)) for m in NAME.finditer(text) if m[0].lower() in names
