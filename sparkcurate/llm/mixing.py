@@ -85,7 +85,7 @@ def schedule(rows: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
     sizes = store(sizes, "mix-sources")
     total, n_rows = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     sources = small_side(store(source_targets(sizes.drop("n"), weights, max_epochs), "mix-targets"))
-    digits = max(1, math.ceil(math.log(max(n_rows / BUCKET_ROWS, 1), 16)))
+    digits = max(2, math.ceil(math.log(max(n_rows / BUCKET_ROWS, 1), 16)))
     ranges = max(64, math.ceil(n_rows * max_epochs / BUCKET_ROWS))
 
     same = rows["source"].eqNullSafe(sources["source"])
