@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcurate.llm import langid, licenses, mixing, pii, quality, tokenids, urls
+from sparkcurate.llm import decontaminate, langid, licenses, mixing, pii, quality, tokenids, urls
 from sparkcurate.session import new_path
 
 
@@ -65,7 +65,13 @@ def op3_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_benchmark_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(documents, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 QUERIES = {
+    "op8_benchmark_walks": op8_benchmark_walks,
     "op1_pii_field": op1_pii_field,
     "op3_license_rules": op3_license_rules,
     "op4_token_ids": op4_token_ids,
