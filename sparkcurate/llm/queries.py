@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcurate.llm import decontaminate, langid, licenses, mixing, pii, quality, tokenids, urls
+from sparkcurate.llm import bagminhash, decontaminate, langid, licenses, mixing, pii, quality, tokenids, urls
 from sparkcurate.session import new_path
 
 
@@ -70,7 +70,13 @@ def op8_benchmark_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op5_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bagminhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size")
+
+
 QUERIES = {
+    "op5_bag_minhash": op5_bag_minhash,
     "op8_benchmark_walks": op8_benchmark_walks,
     "op1_pii_field": op1_pii_field,
     "op3_license_rules": op3_license_rules,
