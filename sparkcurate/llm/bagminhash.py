@@ -68,16 +68,20 @@ def _word_hashes() -> dict[bytes, int]:
     return {}
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Hashes of the shingles of a text, in order."""
-    words = (text or "").encode("utf-8", "surrogatepass").split()
+def word_hashes(words: list[bytes]) -> np.ndarray:
     known = _word_hashes()
     if len(known) > CACHED_WORDS:
         known.clear()
     for word in words:
         if word not in known:
             known[word] = xxhash.xxh64_intdigest(word)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Hashes of the shingles of a text, in order."""
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    h = word_hashes(words)
     width = min(SHINGLE, len(words))
     if not width:
         return h

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcurate.llm import bagminhash, decontaminate, langid, licenses, mixing, pii, quality, tokenids, urls
+from sparkcurate.llm import bagminhash, decontaminate, langid, licenses, mixing, pii, quality, substring, tokenids, urls
 from sparkcurate.session import new_path
 
 
@@ -75,7 +75,13 @@ def op5_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", "class_size")
 
 
+def op10_fm_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES = {
+    "op10_fm_index_repeats": op10_fm_index_repeats,
     "op5_bag_minhash": op5_bag_minhash,
     "op8_benchmark_walks": op8_benchmark_walks,
     "op1_pii_field": op1_pii_field,
