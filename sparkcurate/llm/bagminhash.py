@@ -167,7 +167,7 @@ PRINT = "print1 long, print2 long, n_shingles long, bands array<long>"
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of ``(row struct, text)`` to the same rows with the columns of ``PRINT``."""
+    """Batches with a column ``text``, to the same rows with the columns of ``PRINT`` added."""
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
             batch = whole.slice(at, 256)
@@ -175,13 +175,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             keys = band_keys(signatures(bags))
             one = [int(mix(b).sum(dtype=np.uint64).view(np.int64)) for b in bags]
             two = [int(mix(b ^ MIX2).sum(dtype=np.uint64).view(np.int64)) for b in bags]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row"), batch.column("id"), batch.column("text"), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                    pa.array([len(b) for b in bags], pa.int64()), pa.array(list(keys), pa.list_(pa.int64())),
-                ],
-                ["row", "id", "text", "print1", "print2", "n_shingles", "bands"],
-            )
+            added = [
+                pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([len(b) for b in bags], pa.int64()),
+                pa.array(list(keys), pa.list_(pa.int64())),
+            ]
+            names = [c.split()[0] for c in PRINT.split(", ")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
 
 
 def _compare(groups: Iterator[tuple[np.ndarray, ...]], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -254,11 +253,12 @@ def _verify_pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterat
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", extra: Column | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """``row, id, text`` and the columns of ``PRINT`` for all of ``docs``, in a table in the shared folder;
-    ``row`` numbers the rows."""
+    ``row`` numbers the rows. With ``whole`` the other columns come along in a struct ``rest``."""
+    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("rest")] if whole else []
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"), *rest
     )
     schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(PRINT).fields])
     return store(rows.mapInArrow(_fingerprints, schema), "near-rows")
@@ -326,10 +326,8 @@ def classes(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """``row, id, component, class_id, class_size`` for every row of ``docs``: ``class_id`` is the smallest id in
-    its class, ``component`` is null for rows that are alone for want of words."""
-    rows = fingerprints(docs, id_col, text)
+def labels(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """``row, id, component, class_id, class_size`` for every row of ``fingerprints``."""
     found = classes(rows, similar)
     same = ["print1", "print2", "n_shingles"]
     wordy = attach(rows.filter("n_shingles > 0").select("row", "id", *same), found, same, "row", "n").select(
@@ -341,17 +339,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return wordy.unionByName(alone)
 
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """``id, component, class_id, class_size`` for every row of ``docs``: ``class_id`` is the smallest id in
+    its class, ``component`` is null for rows that are alone for want of words."""
+    return labels(fingerprints(docs, id_col, text), similar).drop("row")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """``docs`` with one row of each class, that of the smallest id; columns as before."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    wide = store(
-        docs.select(
-            F.monotonically_increasing_id().alias("place"), whole.alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text")
-        ),
-        "near-wide",
-    )
-    found = near_duplicates(wide.select("place", "text"), "place", "text", similar)
-    ids = wide.select("place", "id").join(found.select(F.col("id").alias("place"), "component"), "place")
-    first = ids.filter("component is not null").groupBy("component").agg(F.min(F.struct("id", "place")).alias("first"))
-    kept = first.select("first.place").unionByName(ids.filter("component is null").select("place"))
-    return wide.join(kept, "place", "left_semi").select("row.*")
+    rows = fingerprints(docs, id_col, text, whole=True)
+    found = store(labels(rows, similar).select("row", "id", "component"), "near-labels")
+    first = found.filter("component is not null").groupBy("component").agg(F.min(F.struct("id", "row")).alias("first"))
+    kept = first.select("first.row").unionByName(found.filter("component is null").select("row"))
+    back = [F.col("text").alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in docs.columns]
+    return rows.join(kept, "row", "left_semi").select(*back)
