@@ -45,8 +45,8 @@ def text_grid(text: Column) -> Column:
 
 def doc_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: id, path, source, label, n_chars, and a one-hash orbit made from the
-    8x9 word grid of the whole text. A text under 20 characters counts as an unreadable file
-    (null orbit)."""
+    8x9 word grid of the whole text. A text without a word counts as an unreadable file (null
+    orbit)."""
     docs = fill_cores(
         table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
     )
@@ -60,7 +60,7 @@ def doc_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source",
         label.alias("label"),
         "n_chars",
-        F.when(F.col("n_chars") >= 20, F.array(hash_value)).alias("orbit"),
+        F.when(F.lower("text").rlike("[a-z0-9]"), F.array(hash_value)).alias("orbit"),
     )
 
 
@@ -214,7 +214,7 @@ BOX_NAMES = ("Healthy", "Downy_mildew", "Bacterial", "Thing")
 
 
 def box_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as annotation lines: two events make an image, a few lines are broken or name an
+    """Events as annotation lines: two events make an image, a few lines are blank, broken or name an
     unlisted class: ``dataset, labels_dir, stem, line``."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     number = (
@@ -227,13 +227,14 @@ def box_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     image = F.floor(F.col("event_id") / 2).cast("bigint")
     dataset = F.concat(F.lit("boxes"), (image % 3).cast("string"))
-    return events.filter("value >= 2").select(
+    line = F.concat(number, F.lit(" 0.5 0.5 0.1 0.1"))
+    return events.select(
         dataset.alias("dataset"),
         F.when(image % 2 == 0, F.concat(dataset, F.lit("/train/labels")))
         .otherwise(F.concat(dataset, F.lit("/labels/train")))
         .alias("labels_dir"),
         F.concat(F.lit("img"), image.cast("string")).alias("stem"),
-        F.concat(number, F.lit(" 0.5 0.5 0.1 0.1")).alias("line"),
+        F.when(F.col("value") < 2, "").otherwise(line).alias("line"),
     )
 
 
@@ -254,14 +255,15 @@ def box_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as 21 RGB pixels each: ``id, r, g, b`` in 0..255."""
+    """Embeddings as RGB pixels: ``id, r, g, b`` in 0..255, a pixel for each three numbers of the vector
+    and one for what is left over, whose missing channels are 0."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     level = lambda x: F.least(F.floor(F.abs(x.cast("double")) * 1000.0), F.lit(255)).cast("double")
     triples = F.transform(
-        F.sequence(F.lit(0), F.lit(20)),
+        F.sequence(F.lit(0), F.floor((F.size("embedding") - 1) / 3).cast("int")),
         lambda k: F.struct(
             *[
-                level(F.element_at("embedding", (k * 3 + c + 1).cast("int"))).alias(name)
+                level(F.coalesce(F.get("embedding", (k * 3 + c).cast("int")), F.lit(0.0))).alias(name)
                 for c, name in enumerate("rgb")
             ]
         ),
@@ -270,14 +272,20 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_scores(rows: DataFrame) -> DataFrame:
-    """Embeddings as rows to decide on: ``id, model, logits, vegetation_fraction`` from the vector's
-    first numbers; works on a batch and on a stream."""
-    number = lambda k: F.element_at("embedding", k).cast("double")
+    """Embeddings as rows to decide on: ``id, model, logits, vegetation_fraction``. The logits are the sums
+    of the vector's two halves, the fraction its mean size, in whole thousandths of each number so
+    that sums are exact; works on a batch and on a stream."""
+    whole = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000.0).cast("bigint"))
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    add = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x)
     return rows.select(
         F.col("vec_id").alias("id"),
         F.lit("stream").alias("model"),
-        F.array(number(1) * 10.0, number(2) * 10.0).alias("logits"),
-        F.abs(number(3)).alias("vegetation_fraction"),
+        F.array(
+            add(F.slice(whole, F.lit(1), half)) / 200.0,
+            add(F.slice(whole, half + 1, F.size("embedding"))) / 200.0,
+        ).alias("logits"),
+        (add(F.transform(whole, lambda x: F.abs(x))) / F.size("embedding") / 500.0).alias("vegetation_fraction"),
     )
 
 

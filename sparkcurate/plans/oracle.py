@@ -46,7 +46,7 @@ hashed AS (SELECT doc_id, (sum(CASE WHEN NOT bit THEN 0::hugeint WHEN k = 0 THEN
            FROM bits GROUP BY 1),
 files AS (SELECT doc_id AS id, source,
                  CASE WHEN regexp_extract(source, '[0-9]+$')::int % 2 = 1 THEN 'anomalous' ELSE 'healthy' END AS label,
-                 n_chars, CASE WHEN n_chars >= 20 THEN h END AS h
+                 n_chars, CASE WHEN regexp_matches(lower(text), '[a-z0-9]') THEN h END AS h
           FROM documents JOIN hashed USING (doc_id)),
 named AS (SELECT *, 'staging/' || label || '/' || source || '__' || lpad(id::varchar, 8, '0') || '.txt' AS path
           FROM files)
@@ -357,8 +357,8 @@ ORACLES["source_class_counts"] = f"""
 UNION ALL SELECT source, NULL, count(*) FROM mapped GROUP BY source"""
 BOXES = """
 ev AS (SELECT *, event_id // 2 AS image, 'boxes' || (event_id // 2) % 3 AS dataset FROM events),
-ln AS (SELECT dataset, image, CASE WHEN event_type IN ('view', 'purchase') THEN '0' WHEN event_type = 'click' THEN '1'
-  WHEN event_type = 'signup' THEN '2' WHEN value < 10 THEN 'abc' WHEN value < 20 THEN '9' ELSE '3' END AS cid FROM ev WHERE value >= 2)
+ln AS (SELECT dataset, image, CASE WHEN value < 2 THEN NULL WHEN event_type IN ('view', 'purchase') THEN '0' WHEN event_type = 'click' THEN '1'
+  WHEN event_type = 'signup' THEN '2' WHEN value < 10 THEN 'abc' WHEN value < 20 THEN '9' ELSE '3' END AS cid FROM ev)
 """
 ORACLES["annotation_lines"] = f"""
 WITH {BOXES} SELECT dataset, TRY_CAST(cid AS int) AS class_id, count(*) AS n FROM ln GROUP BY ALL"""
@@ -706,11 +706,13 @@ SELECT cat.model, label, r.model IS NOT NULL AS has_weights, (SELECT count(*) FR
 ORACLES["evaluable_models"] = f"WITH {SCORES2} SELECT model, count(*) AS n FROM s2 WHERE model <> 'm_flat' GROUP BY 1"
 ORACLES["pixel_vegetation"] = f"""
 WITH c AS (SELECT vec_id AS id, least(floor(abs(unnest(embedding)::double) * 1000.0::double), 255)::double AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
-p AS (SELECT id, i // 3 AS px, max(x) FILTER (i % 3 = 0) AS r, max(x) FILTER (i % 3 = 1) AS g, max(x) FILTER (i % 3 = 2) AS b
-      FROM c WHERE i < 63 GROUP BY ALL)
+p AS (SELECT id, i // 3 AS px, coalesce(max(x) FILTER (i % 3 = 0), 0) AS r, coalesce(max(x) FILTER (i % 3 = 1), 0) AS g,
+             coalesce(max(x) FILTER (i % 3 = 2), 0) AS b FROM c GROUP BY ALL)
 SELECT id, {r6('avg((r + g + b > 0 AND 2 * g / (r + g + b) - r / (r + g + b) - b / (r + g + b) > 0.05)::int)')} AS vegetation FROM p GROUP BY 1"""
 ORACLES["stream_decide"] = f"""
-WITH v AS (SELECT vec_id AS id, embedding[1]::double * 10.0::double AS a, embedding[2]::double * 10.0::double AS b, abs(embedding[3]::double) AS veg FROM embeddings),
+WITH n AS (SELECT vec_id AS id, round(unnest(embedding)::double * 1000.0::double)::bigint AS x, generate_subscripts(embedding, 1) AS i, len(embedding) AS k FROM embeddings),
+v AS (SELECT id, coalesce(sum(x) FILTER (i <= k // 2), 0)::bigint / 200.0::double AS a, coalesce(sum(x) FILTER (i > k // 2), 0)::bigint / 200.0::double AS b,
+      sum(abs(x))::bigint / any_value(k)::double / 500.0::double AS veg FROM n GROUP BY 1),
 e AS (SELECT id, veg, exp(a - greatest(a, b)) AS e0, exp(b - greatest(a, b)) AS e1 FROM v),
 p AS (SELECT id, veg, e0 / (e0 + e1) AS p0, e1 / (e0 + e1) AS p1 FROM e)
 SELECT id, CASE WHEN veg < 0.10 THEN 'not_a_leaf' WHEN greatest(p0, p1) < 0.70 THEN 'inconclusive' WHEN p0 >= p1 THEN 'healthy' ELSE 'anomalous' END AS label,
