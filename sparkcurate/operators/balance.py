@@ -123,16 +123,23 @@ def class_distribution(rows: DataFrame, by: str = "label") -> DataFrame:
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_weights(rows: DataFrame, by: str = "label") -> DataFrame:
-    """Per present class ``n``, ``weight`` = total / (classes * n); the ratio of the largest to
-    the smallest class repeats on every line."""
+def class_weights(rows: DataFrame, by: str = "label", classes: list | None = None) -> DataFrame:
+    """Per class ``n``, ``weight`` = total / (present classes * n); the ratio of the largest to the
+    smallest present class repeats on every line. ``classes`` adds a line with weight 0 for each of
+    them that has no row."""
     counts = class_distribution(rows, by)
+    if classes is not None:
+        wanted = F.explode(F.array(*map(F.lit, classes))).cast(rows.schema[by].dataType).alias(by)
+        absent = rows.sparkSession.range(1).select(wanted).join(counts, by, "left_anti")
+        counts = counts.unionByName(absent.withColumn("n", F.lit(0).cast("bigint")))
     everything = W.partitionBy()
+    present = F.when(F.col("n") > 0, F.col("n"))
+    weight = F.sum("n").over(everything) / (F.count(present).over(everything) * present)
     return counts.select(
         by,
         "n",
-        (F.sum("n").over(everything) / (F.count(F.lit(1)).over(everything) * F.col("n"))).alias("weight"),
-        (F.max("n").over(everything) / F.min("n").over(everything)).alias("max_min_ratio"),
+        F.coalesce(weight, F.lit(0.0)).alias("weight"),
+        (F.max(present).over(everything) / F.min(present).over(everything)).alias("max_min_ratio"),
     )
 
 

@@ -120,62 +120,59 @@ def newton_step_terms(logits: Column, label: Column, beta: Column) -> Column:
             S.total(zipped),
             lambda mean: F.struct(
                 (mean - F.element_at(logits, label + 1)).alias("g"),
-                (
-                    S.total(F.zip_with(p, logits, lambda a, z: a * z * z)) - mean * mean
-                ).alias("h"),
+                S.total(F.zip_with(p, logits, lambda a, z: a * (z - mean) * (z - mean))).alias("h"),
             ),
         )
 
     return let(S.softmax(logits, 1.0 / beta), from_probs)
 
 
-def fit_temperature(
-    scores: DataFrame, max_steps: int = 50, tolerance: float = 1e-9, split: str | None = None
-) -> DataFrame:
-    """``model, temperature, steps, at_bound``: the T > 0 with the smallest mean NLL.
+def fit_temperature(scores: DataFrame, tolerance: float = 1e-9, split: str | None = None) -> DataFrame:
+    """``model, temperature, steps, at_bound, converged``: the T > 0 with the smallest mean NLL.
 
-    The NLL is convex in beta = 1 / T, so Newton's method finds the optimum. A step is one
-    aggregate per model that returns two numbers per model; the models' betas travel as
-    constants of the next step's plan. Scores that carry no signal push beta to its lower
-    bound, which ``at_bound`` reports.
+    The NLL is convex in beta = 1 / T, so its slope has one zero. Each step is one aggregate per model
+    that returns slope and curvature; the sign of the slope narrows a bracket around the zero, and
+    the next beta is Newton's where it falls inside, else the bracket's geometric middle, so
+    saturated scores without usable curvature are halved down to their optimum. It ends when the
+    bracket, or Newton's step, is within ``tolerance``, which is always reached. Scores that carry
+    no signal push beta to its bound, which ``at_bound`` reports. Betas travel as a table of a row per
+    model; ``split`` stops the job at rows of any other split.
     """
     if split:
         scores = _require_split(scores, split)
     spark = scores.sparkSession
     rows = scores.select("model", "label_idx", "logits").persist()
     try:
-        betas = {r["model"]: 1.0 for r in rows.select("model").distinct().collect()}
-        steps = dict.fromkeys(betas, 0)
-        open_models = set(betas)
-        for _ in range(max_steps):
-            if not open_models:
-                break
-            known = F.create_map(
-                *[F.lit(x) for m in sorted(open_models) for x in (m, betas[m])]
-            )
-            terms = newton_step_terms(F.col("logits"), F.col("label_idx"), known[F.col("model")])
-            means = (
-                rows.filter(F.col("model").isin(*open_models))
-                .select("model", terms.alias("t"))
-                .groupBy("model")
-                .agg(F.avg("t.g").alias("g"), F.avg("t.h").alias("h"))
-                .collect()
+        state = {r["model"]: [MIN_BETA, MAX_BETA, 1.0] for r in rows.select("model").distinct().collect()}
+        steps, done = dict.fromkeys(state, 0), {}
+        while len(done) < len(state):
+            table = [(m, beta) for m, (_, _, beta) in sorted(state.items()) if m not in done]
+            betas = small_side(spark.createDataFrame(table, "model string, beta double"))
+            terms = newton_step_terms(F.col("logits"), F.col("label_idx"), F.col("beta"))
+            means = rows.join(betas, "model").select("model", terms.alias("t")).groupBy("model").agg(
+                F.avg("t.g").alias("g"), F.avg("t.h").alias("h")
             )
-            for row in means:
-                model = row["model"]
-                step = row["g"] / row["h"] if row["h"] > 0 else 0.0
-                moved = min(max(betas[model] - step, MIN_BETA), MAX_BETA)
+            for model, g, h in means.collect():
+                low, high, beta = state[model]
                 steps[model] += 1
-                if abs(moved - betas[model]) <= tolerance * max(1.0, abs(moved)):
-                    open_models.discard(model)
-                betas[model] = moved
+                if g == 0 or (beta == MIN_BETA and g > 0) or (beta == MAX_BETA and g < 0):
+                    done[model] = beta
+                    continue
+                low, high = (low, beta) if g > 0 else (beta, high)
+                moved = beta - g / h if h > 0 else 0.0
+                if not low < moved < high:
+                    # An end of the bracket that no step has looked at is a bound: look at it now.
+                    bound = MIN_BETA if g > 0 else MAX_BETA
+                    beyond = moved <= MIN_BETA or moved >= MAX_BETA
+                    moved = bound if bound in (low, high) and h > 0 and beyond else (low * high) ** 0.5
+                if abs(moved - beta) <= tolerance * beta or high - low <= tolerance * low:
+                    done[model] = moved
+                state[model] = [low, high, moved]
     finally:
         rows.unpersist()
-    fitted = [
-        (m, 1.0 / b, steps[m], b in (MIN_BETA, MAX_BETA)) for m, b in sorted(betas.items())
-    ]
+    fitted = [(m, 1.0 / b, steps[m], b in (MIN_BETA, MAX_BETA), True) for m, b in sorted(done.items())]
     return spark.createDataFrame(
-        fitted, "model string, temperature double, steps int, at_bound boolean"
+        fitted, "model string, temperature double, steps int, at_bound boolean, converged boolean"
     )
 
 
@@ -192,15 +189,20 @@ def pick_threshold(
     target: float = K.TARGET_SELECTIVE_ACCURACY,
     min_rows: int = K.MIN_SUPPORT_ROWS,
     min_share: float = K.MIN_SUPPORT_SHARE,
+    split: str | None = "val",
 ) -> DataFrame:
     """``model, threshold, coverage, selective_accuracy``: the smallest threshold of 0.50 … 0.99
     whose decided rows are at least ``target`` correct and numerous enough; otherwise 0.5 with
     full coverage and overall accuracy.
 
+    Where ``preds`` says which split its rows are of, rows of another than ``split`` stop the job.
     Rows are counted by the highest threshold they reach, at most 51 lines per model, and the
     running totals over those lines give every threshold at once.
     """
     n_steps, start, step = 50, 0.50, 0.01
+    if split and "split" in preds.columns:
+        stop = F.raise_error(F.concat(F.lit(f"a threshold reads {split} only, found "), F.col("split")))
+        preds = preds.withColumn("correct", F.when(F.col("split") == split, F.col("correct")).otherwise(stop.cast("double")))
     by_step = (
         preds.withColumn("k", F.coalesce(S.threshold_step(F.col("confidence"), start, step, n_steps), F.lit(-1)))
         .groupBy("model", "k")
@@ -228,14 +230,18 @@ def pick_threshold(
     )
 
 
-def calibration_rows(scores: DataFrame, fitted: DataFrame | None = None) -> DataFrame:
-    """One calibration record per model, rounded as it is stored."""
+def calibration_rows(
+    scores: DataFrame, fitted: DataFrame | None = None, split: str | None = "val"
+) -> DataFrame:
+    """One calibration record per model, rounded as it is stored; rows of another split stop the job."""
+    if split and "split" in scores.columns:
+        scores = _require_split(scores, split)
     fitted = fit_temperature(scores) if fitted is None else fitted
     before = predictions(scores)
     after = predictions(with_temperature(scores, fitted), F.col("temperature"))
     return (
         fitted.select("model", F.round("temperature", 6).alias("temperature"))
-        .join(pick_threshold(after), "model")
+        .join(pick_threshold(after, split=split), "model")
         .join(calibration_error(before).withColumnRenamed("ece", "ece_before"), "model")
         .join(calibration_error(after).withColumnRenamed("ece", "ece_after"), "model")
         .join(mean_confidence(after).select("model", "accuracy"), "model")

@@ -40,7 +40,7 @@ def _star(edges: DataFrame, large: bool, hot_rows: int | None) -> DataFrame:
 
 
 def connected_components(
-    nodes: DataFrame, edges: DataFrame, max_rounds: int = 60, hot_rows: int = HOT_ROWS
+    nodes: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """``(node, component)``: the smallest node that can be reached; isolated nodes keep their own.
 
@@ -50,14 +50,12 @@ def connected_components(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     )
     current = cut(ends.distinct())
-    for _ in range(max_rounds):
+    while True:
         n_edges, unsettled = _progress(current)
         if not unsettled:
             break
         spread_above = hot_rows if 2 * n_edges > hot_rows else None
         current = cut(_star(_star(current, True, spread_above), False, spread_above))
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.select("node").join(found, "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")

@@ -160,18 +160,14 @@ def smoothed_loss(scores: DataFrame, weights: DataFrame, n_classes: int,
                   smoothing: float = K.LABEL_SMOOTHING) -> DataFrame:
     """``model, loss``: class-weighted, label-smoothed cross entropy, averaged by weight.
 
-    ``weights`` has ``label_idx, weight``, a row per class. The weight of every class enters the
-    smoothed part with that class, the weight of the true class normalises.
+    ``weights`` has ``label_idx, weight``; a class without a row weighs 0. The weight of every class
+    enters the smoothed part with that class, the weight of the true class normalises.
     """
     from sparkcurate.functions import scores as S
     from sparkcurate.functions.let import let
 
-    by_class = weights.agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("label_idx", "weight"))), lambda s: s["weight"]
-        ).alias("w")
-    ).first()["w"]
-    w = F.array(*[F.lit(float(x)) for x in by_class])
+    known = dict(weights.filter(F.col("label_idx").between(0, n_classes - 1)).select("label_idx", "weight").collect())
+    w = F.array(*[F.lit(float(known.get(k, 0.0))) for k in range(n_classes)])
     label = F.col("label_idx")
 
     def row_loss(logp: Column) -> Column:

@@ -270,7 +270,6 @@ def tolerance_sweep(
     count_if = lambda cond: F.count(F.when(cond, 1))
     sigs = cut(
         readable.groupBy(H.orbit_signature(F.col("orbit")).alias("signature")).agg(
-            F.min("id").alias("rep"),
             F.count(F.lit(1)).alias("n_files"),
             count_if(F.col("split") == "train").alias("train"),
             count_if(F.col("split") == "test").alias("test"),
@@ -278,6 +277,8 @@ def tolerance_sweep(
             F.max("label").alias("last_label"),
         )
     )
+    # Small numbers of their own, so that a node and a level fit into one number whatever the ids are.
+    sigs = cut(sigs.withColumn("rep", F.monotonically_increasing_id()))
     width = len(distances)
     edges = representative_edges(sigs, max(distances), max_bucket, hot_rows)
     levels = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(d).alias("d")) for k, d in enumerate(distances)])

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkcurate import constants as K
-from sparkcurate.operators.ranking import prefix_scan
+from sparkcurate.operators.ranking import into_buckets, prefix_scan
+from sparkcurate.session import store
 
 
 def with_display_label(rows: DataFrame, column: str = "predicted_class") -> DataFrame:
@@ -45,14 +46,13 @@ def delete_diagnoses(diagnoses: DataFrame, tombstones: DataFrame) -> DataFrame:
     return diagnoses.join(tombstones.select("id").distinct(), "id", "left_anti")
 
 
-def dashboard(diagnoses: DataFrame, latest: int = K.HISTORY_MAX_LIMIT) -> DataFrame:
-    """Count per predicted class over the latest rows, with their number and mean confidence in
-    percent on every line."""
-    window = (
-        diagnoses.orderBy(F.col("created_at").desc(), F.col("id").desc())
-        .limit(latest)
-        .select("predicted_class", "confidence")
-    )
+def dashboard(diagnoses: DataFrame, latest: int | None = K.HISTORY_MAX_LIMIT) -> DataFrame:
+    """Count per predicted class over the latest rows (all of them for None), with their number and
+    mean confidence in percent on every line."""
+    window = diagnoses.select("predicted_class", "confidence")
+    if latest is not None:
+        newest = diagnoses.orderBy(F.col("created_at").desc(), F.col("id").desc())
+        window = newest.limit(latest).select("predicted_class", "confidence")
     per_class = window.groupBy("predicted_class").agg(
         F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("confidence")
     )
@@ -71,14 +71,16 @@ def dashboard(diagnoses: DataFrame, latest: int = K.HISTORY_MAX_LIMIT) -> DataFr
     )
 
 
-def model_catalogue(weights: DataFrame) -> DataFrame:
-    """Every model of the catalogue with label, description and ``has_weights``; the number of
-    ready models is on every line. ``weights`` lists ``model`` names that have a weights file."""
+def model_catalogue(weights: DataFrame, descriptions: DataFrame | None = None) -> DataFrame:
+    """Every model of the catalogue with label and ``has_weights``; the number of ready models is on
+    every line. ``weights`` lists ``model`` names that have a weights file; ``descriptions``, a table
+    of ``model, description``, adds the caller's own texts."""
     spark = weights.sparkSession
     catalogue = spark.createDataFrame(
-        [(m, K.MODEL_LABELS[m], K.MODEL_DESCRIPTIONS[m]) for m in K.MODEL_LABELS],
-        "model string, label string, description string",
+        list(K.MODEL_LABELS.items()), "model string, label string"
     )
+    if descriptions is not None:
+        catalogue = catalogue.join(descriptions.select("model", "description"), "model", "left")
     from pyspark.sql import Window as W
 
     there = weights.select("model").distinct().withColumn("_there", F.lit(True))
@@ -107,35 +109,20 @@ def early_stop(history: DataFrame, patience: int, epoch: str = "epoch", metric:
 
     An epoch improves when its metric is strictly above all earlier ones and above -1. Training
     stops at the first epoch with ``patience`` misses since the last improvement; later epochs
-    are not kept. Two prefix scans, so one model may hold any share of the rows.
+    are not kept. Three running aggregates over one cut of the epochs into buckets, so one model may
+    hold any share of the rows; hand in no more columns than needed, they are stored on the way.
     """
-    first = prefix_scan(
-        history,
-        ["model"],
-        [epoch],
-        {
-            "_seen": ("count", F.lit(1)),
-            "_best": ("max", F.col(metric)),
-        },
-    )
+    cut_once = into_buckets(history, epoch)
+    scan = lambda df, aggs: prefix_scan(df, ["model"], [epoch], aggs)
+    first = scan(cut_once, {"_seen": ("count", F.lit(1)), "_best": ("max", F.col(metric))})
     marked = first.withColumn("position", F.col("_seen") + 1).withColumn(
         "improved", F.col(metric) > F.coalesce("_best", F.lit(-1.0))
     )
-    second = prefix_scan(
-        marked,
-        ["model"],
-        [epoch],
-        {"_last": ("max", F.when(F.col("improved"), F.col("position")))},
-    )
+    second = scan(store(marked), {"_last": ("max", F.when(F.col("improved"), F.col("position")))})
     since = F.col("position") - F.coalesce("_last", F.lit(0))
     counted = second.withColumn("misses", F.when(F.col("improved"), F.lit(0)).otherwise(since))
-    third = prefix_scan(
-        counted,
-        ["model"],
-        [epoch],
-        {"_stops": ("count", F.when((F.col("misses") >= patience), 1))},
-    )
-    return third.withColumn("kept", F.col("_stops") == 0).drop("_seen", "_best", "_last", "_stops")
+    third = scan(store(counted), {"_stops": ("count", F.when((F.col("misses") >= patience), 1))})
+    return third.withColumn("kept", F.col("_stops") == 0).drop("_seen", "_best", "_last", "_stops", "_bucket")
 
 
 def training_summary(stopped: DataFrame, epoch: str = "epoch", metric: str = "val_f1") -> DataFrame:

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 from sparkcurate.session import store
 
+# Rows of a bucket of a running aggregate, and cuts that one list of them may have.
+BUCKET_ROWS = 200_000
+MAX_BUCKETS = 50_000
+
 
 def hash_rank(
     df: DataFrame, by: list[str], hash_col: str, tie: str, out: str = "rank",
@@ -57,6 +61,16 @@ def with_bucket(df: DataFrame, order_col: str, bounds: list[float], out: str = "
     return cutter.transform(df.withColumn("_order", F.col(order_col).cast("double"))).drop("_order")
 
 
+def into_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None) -> DataFrame:
+    """``df`` with ``_bucket``, stored: the cut is made once, for any number of scans. Buckets hold about
+    ``BUCKET_ROWS`` rows, whatever share of them one group has."""
+    df = store(df)
+    if n_buckets is None:
+        least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        n_buckets = max(least, 2, min(df.count() // BUCKET_ROWS, MAX_BUCKETS))
+    return with_bucket(df, order_col, order_bounds(df, order_col, n_buckets))
+
+
 def prefix_scan(
     df: DataFrame,
     by: list[str],
@@ -68,17 +82,19 @@ def prefix_scan(
 
     ``order[0]`` is numeric and spreads the rows; the rest break its ties. ``aggs`` maps an
     output name to ``("sum" | "max" | "min" | "count", expression)``. Sums and counts start at
-    0, max and min at null.
+    0, max and min at null. Rows that ``into_buckets`` has cut already are read as they are, twice;
+    any others are stored and cut first.
     """
-    spark = df.sparkSession
-    # Read three times below, and scans get chained: without this the work would triple each time.
-    df = store(df)
-    n_buckets = n_buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    if "_bucket" in df.columns:
+        return _scan(df, by, order, aggs)
+    return _scan(into_buckets(df, order[0], n_buckets), by, order, aggs).drop("_bucket")
+
+
+def _scan(df: DataFrame, by: list[str], order: list[str], aggs: dict[str, tuple[str, Column]]) -> DataFrame:
     functions = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
     keyed = df
     for name, (_, expression) in aggs.items():
         keyed = keyed.withColumn(f"_in_{name}", expression)
-    keyed = with_bucket(keyed, order[0], order_bounds(df, order[0], n_buckets))
     per_bucket = keyed.groupBy(*by, "_bucket").agg(
         *[functions[kind](f"_in_{name}").alias(f"_b_{name}") for name, (kind, _) in aggs.items()]
     )
