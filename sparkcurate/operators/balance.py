@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkcurate import constants as K
 
@@ -129,7 +130,7 @@ def class_weights(rows: DataFrame, by: str = "label", classes: list | None = Non
     them that has no row."""
     counts = class_distribution(rows, by)
     if classes is not None:
-        wanted = F.explode(F.array(*map(F.lit, classes))).cast(rows.schema[by].dataType).alias(by)
+        wanted = F.explode(F.array(*map(F.lit, classes)).cast(T.ArrayType(rows.schema[by].dataType))).alias(by)
         absent = rows.sparkSession.range(1).select(wanted).join(counts, by, "left_anti")
         counts = counts.unionByName(absent.withColumn("n", F.lit(0).cast("bigint")))
     everything = W.partitionBy()

@@ -480,6 +480,13 @@ def class_weights(spark, sf_dir):
     return rounded(B.class_weights(A.labelled_docs(spark, sf_dir)), "weight", "max_min_ratio")
 
 
+@query
+def class_weights_with_absent(spark, sf_dir):
+    rows = A.labelled_docs(spark, sf_dir)
+    weights = B.class_weights(rows, classes=[*K.LABELS, "unseen"])
+    return rounded(weights, "weight", "max_min_ratio")
+
+
 @query
 def loss_weights(spark, sf_dir):
     return rounded(
@@ -497,6 +504,12 @@ def class_cap(spark, sf_dir):
     return SP.class_cap(A.labelled_docs(spark, sf_dir), 50).select("id", "label")
 
 
+@query
+def capped_sufficiency(spark, sf_dir):
+    capped = SP.class_cap(A.labelled_docs(spark, sf_dir), 50)
+    return rounded(B.class_sufficiency(capped, K.LABELS, "label"), "pct")
+
+
 @query
 def sample_grid(spark, sf_dir):
     return SP.sample_grid(A.labelled_docs(spark, sf_dir)).select("id", "label", "slot")
@@ -609,6 +622,15 @@ def fit_temperature(spark, sf_dir):
     return rounded(fitted.select("model", "temperature", "at_bound"), "temperature", digits=4)
 
 
+@query
+def fit_temperature_saturated(spark, sf_dir):
+    """The same scores sixty times as far apart: all probabilities are 0 or 1 in doubles."""
+    val = A.scores2(spark, sf_dir).filter("split = 'val'")
+    far = val.withColumn("logits", F.transform("logits", lambda z: z * 60.0))
+    fitted = C.fit_temperature(far, split="val")
+    return rounded(fitted.select("model", "temperature", "at_bound"), "temperature", digits=3)
+
+
 @query
 def pick_threshold(spark, sf_dir):
     preds = C.predictions(A.scores2(spark, sf_dir).filter("split = 'val'"))
@@ -627,7 +649,7 @@ def calibration_row(spark, sf_dir):
 @query
 def model_comparison(spark, sf_dir):
     fitted = spark.createDataFrame(list(FIXED_TEMPERATURES), "model string, temperature double")
-    table = E.model_comparison(store(A.scores2(spark, sf_dir)), fitted)
+    table = E.model_comparison(store(A.scores2(spark, sf_dir).filter("split = 'test'")), fitted)
     return rounded(
         table, "accuracy", "balanced_accuracy", "precision_macro", "recall_macro", "f1_macro",
         "roc_auc", "ece", "mean_confidence",
@@ -641,6 +663,15 @@ def smoothed_ce(spark, sf_dir):
     return rounded(E.smoothed_loss(rows, weights, 2), "loss")
 
 
+@query
+def smoothed_ce_absent_class(spark, sf_dir):
+    """Three classes of which the first has no row: labels and logits move up by one."""
+    rows = A.scores2(spark, sf_dir).withColumn("label_idx", F.col("label_idx") + 1)
+    rows = rows.withColumn("logits", F.concat(F.array(F.lit(-3.0)), "logits"))
+    labelled = A.labelled_docs(spark, sf_dir).withColumn("label_idx", F.col("label_idx") + 1)
+    return rounded(E.smoothed_loss(rows, B.class_weights(labelled, "label_idx"), 3), "loss")
+
+
 @query
 def fn_fp_rank(spark, sf_dir):
     return E.fn_fp_ranking(C.predictions(A.scores2(spark, sf_dir)))

@@ -418,6 +418,11 @@ ORACLES["class_weights"] = f"""
 WITH {LABELLED_DOCS}, c AS (SELECT label, count(*) AS n FROM ld GROUP BY 1)
 SELECT label, n, {r6('sum(n) OVER () / (count(*) OVER () * n)::double')} AS weight,
   {r6('max(n) OVER () / (min(n) OVER ())::double')} AS max_min_ratio FROM c"""
+ORACLES["class_weights_with_absent"] = f"""
+WITH {LABELLED_DOCS}, c AS (SELECT label, count(*) AS n FROM ld GROUP BY 1)
+SELECT label, n, {r6('sum(n) OVER () / (count(*) OVER () * n)::double')} AS weight,
+  {r6('max(n) OVER () / (min(n) OVER ())::double')} AS max_min_ratio FROM c
+UNION ALL SELECT 'unseen', 0, 0.0::double, (SELECT {r6('max(n) / min(n)::double')} FROM c)"""
 ORACLES["loss_weights"] = f"""
 WITH {LABELLED_DOCS}, c AS (SELECT count(*) FILTER (label = 'healthy') AS h, count(*) FILTER (label = 'anomalous') AS a FROM ld)
 SELECT {r6('(h + a) / (2.0::double * h)')} AS healthy_weight, {r6('(h + a) / (2.0::double * a)')} AS anomalous_weight,
@@ -427,6 +432,11 @@ WITH {SPLIT_DOCS} SELECT source, count(*) FILTER (split = 'train') AS train, cou
   count(*) FILTER (split = 'test') AS test FROM sd GROUP BY 1"""
 _RANKED = "SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || path), path) AS rk, count(*) OVER (PARTITION BY label) AS cn FROM ld"
 ORACLES["class_cap"] = f"WITH {LABELLED_DOCS}, k AS ({_RANKED}) SELECT id, label FROM k WHERE rk <= 50"
+ORACLES["capped_sufficiency"] = f"""
+WITH {LABELLED_DOCS}, k AS ({_RANKED}), c AS (SELECT l.label, count(k.id) AS n
+  FROM (SELECT unnest({texts(K.LABELS)}) AS label) l LEFT JOIN k ON k.label = l.label AND k.rk <= 50 GROUP BY 1)
+SELECT label, n, {r6('100.0::double * n / sum(n) OVER ()')} AS pct, n < 300 AS insufficient,
+  CASE WHEN n = 0 THEN 'empty' WHEN n < 300 THEN 'insufficient' WHEN n < 800 THEN 'acceptable' ELSE 'ok' END AS tier FROM c"""
 ORACLES["sample_grid"] = f"WITH {LABELLED_DOCS}, k AS ({_RANKED}) SELECT id, label, rk::int AS slot FROM k WHERE rk <= 8"
 ORACLES["balanced_resample"] = f"""
 WITH {LABELLED_DOCS}, k AS ({_RANKED}),
@@ -561,6 +571,16 @@ newton AS (
            avg(z * z * (1 / (1 + exp(-z * beta))) * (1 - 1 / (1 + exp(-z * beta)))) AS h
     FROM newton n JOIN v USING (model) WHERE n.step < 40 GROUP BY ALL))
 SELECT model, {r6('1 / beta', 4)} AS temperature, beta IN (1e-3, 1e3) AS at_bound FROM newton WHERE step = 40"""
+# The slope's sign halves a bracket of 1 / T; no curvature is needed.
+ORACLES["fit_temperature_saturated"] = f"""
+WITH RECURSIVE {SCORES2}, v AS (SELECT model, label_idx, z * 60 AS z FROM s2 WHERE split = 'val'),
+half AS (
+  SELECT model, 0 AS step, 1e-3::double AS lo, 1e3::double AS hi FROM (SELECT DISTINCT model FROM v)
+  UNION ALL
+  SELECT model, step + 1, CASE WHEN g > 0 THEN lo ELSE sqrt(lo * hi) END, CASE WHEN g > 0 THEN sqrt(lo * hi) ELSE hi END FROM (
+    SELECT n.model, n.step, n.lo, n.hi, avg(z / (1 + exp(greatest(-700, least(700, -z * sqrt(lo * hi))))) - label_idx * z) AS g
+    FROM half n JOIN v USING (model) WHERE n.step < 60 GROUP BY ALL))
+SELECT model, {r6('1 / sqrt(lo * hi)', 3)} AS temperature, lo = 1e-3 OR hi = 1e3 AS at_bound FROM half WHERE step = 60"""
 THRESHOLD = """
 SELECT model, coalesce(min(tau) FILTER (ok), 0.5) AS threshold,
   coalesce(arg_min(n / n_all::double, tau) FILTER (ok), 1.0) AS coverage,
@@ -583,7 +603,7 @@ SELECT model, {r6('t::double')} AS temperature, {r6('threshold', 4)} AS threshol
   {r6('selective_accuracy', 4)} AS selective_accuracy
 FROM tmp JOIN th USING (model) JOIN b1_ece USING (model) JOIN b2_ece USING (model) JOIN ac USING (model)"""
 ORACLES["model_comparison"] = f"""
-WITH {TEMPERED}, {probs2('t', 'pr', 'st')}, {per_class('pr')}, {bins('pr')},
+WITH {TEMPERED}, tst AS (SELECT * FROM st WHERE split = 'test'), {probs2('t', 'pr', 'tst')}, {per_class('pr')}, {bins('pr')},
 sc AS (SELECT model, label_idx, p1 AS score FROM pr), auc AS ({AUC.format('sc')}),
 mc AS (SELECT model, avg(confidence) AS mean_confidence, any_value(t) AS temperature FROM pr GROUP BY 1)
 SELECT model, n, {_HEAD}, {r6('roc_auc')} AS roc_auc, {r6('ece')} AS ece, {r6('mean_confidence')} AS mean_confidence, temperature,
@@ -595,6 +615,12 @@ w2 AS (SELECT max(w) FILTER (label_idx = 0) AS w0, max(w) FILTER (label_idx = 1)
 lp AS (SELECT model, label_idx, w0, w1, -ln(1 + exp(z)) AS l0, -ln(1 + exp(-z)) AS l1 FROM s2, w2)
 SELECT model, {r6("sum(0.9 * CASE WHEN label_idx = 1 THEN -w1 * l1 ELSE -w0 * l0 END + 0.05 * (-w0 * l0 - w1 * l1)) / sum(CASE WHEN label_idx = 1 THEN w1 ELSE w0 END)")} AS loss
 FROM lp GROUP BY 1"""
+ORACLES["smoothed_ce_absent_class"] = f"""
+WITH {SCORES2}, w AS (SELECT label_idx, sum(count(*)) OVER () / (count(*) OVER () * count(*))::double AS w FROM ld GROUP BY 1),
+w2 AS (SELECT max(w) FILTER (label_idx = 0) AS w0, max(w) FILTER (label_idx = 1) AS w1 FROM w),
+lp AS (SELECT model, label_idx, w0, w1, -ln(exp(-3) + 1 + exp(z)) AS l0, z - ln(exp(-3) + 1 + exp(z)) AS l1 FROM s2, w2)
+SELECT model, {r6("sum(0.9 * CASE WHEN label_idx = 1 THEN -w1 * l1 ELSE -w0 * l0 END + 0.1 / 3 * (-w0 * l0 - w1 * l1)) / sum(CASE WHEN label_idx = 1 THEN w1 ELSE w0 END)")} AS loss
+FROM lp GROUP BY 1"""
 ORACLES["fn_fp_rank"] = f"""
 WITH {SCORES2}, c AS (SELECT model, count(*) FILTER (label_idx = 1 AND z <= 0) AS false_negatives,
   count(*) FILTER (label_idx = 0 AND z > 0) AS false_positives FROM s2 GROUP BY 1)

@@ -15,6 +15,15 @@ from sparkcurate.operators.ranking import hash_rank, prefix_scan
 from sparkcurate.operators.skew import attach
 
 
+def test_sweep_takes_any_ids(spark):
+    """Ids over the whole range of 64 bits: a node number and a level must not overflow."""
+    rows = [(i, [h], "train" if i % 3 else "test", "healthy") for i, h in enumerate(planted(60, 4))]
+    small = spark.createDataFrame(rows, "id bigint, orbit array<bigint>, split string, label string")
+    large = small.withColumn("id", F.xxhash64("id"))
+    found = [sorted(map(tuple, G.tolerance_sweep(df, [0, 2, 4]).collect())) for df in (small, large)]
+    assert found[0] == found[1] and len(found[0]) == 3
+
+
 def hamming(a, b):
     return ((a ^ b) & (2**64 - 1)).bit_count()
 

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sparkcurate.operators import balance as B
 from sparkcurate.operators import calibration as C
 from sparkcurate.operators import decision as D
 from sparkcurate.operators import evaluation as E
@@ -83,6 +84,36 @@ def test_temperature_of_noise_hits_the_bound(spark):
     assert line["at_bound"] and line["temperature"] == pytest.approx(1000.0)
 
 
+@pytest.mark.parametrize("gap", [5, 20, 40, 80, 110])
+def test_temperature_of_saturated_logits(spark, gap):
+    rows = []
+    for k in range(200):
+        label, right = k % 2, k % 50 < 41
+        logits = [0.0, 0.0]
+        logits[label if right else 1 - label] = float(gap)
+        rows.append((label, logits))
+    line = C.fit_temperature(scores_table(spark, rows)).first()
+    assert line["converged"] and not line["at_bound"]
+    assert line["temperature"] == pytest.approx(gap / math.log(0.82 / 0.18), rel=0.01)
+
+
+def test_threshold_and_record_read_validation_only(spark):
+    df = scores_table(spark, overconfident(50)).withColumn("split", F.lit("test"))
+    with pytest.raises(Exception, match="reads val only"):
+        C.pick_threshold(C.predictions(df)).collect()
+    with pytest.raises(Exception, match="reads val only"):
+        C.calibration_rows(df, C.fit_temperature(df)).collect()
+
+
+def test_weights_of_absent_classes(spark):
+    rows = spark.createDataFrame([(1,), (1,), (2,)], "label_idx int")
+    weights = {r["label_idx"]: r["weight"] for r in B.class_weights(rows, "label_idx", [0, 1, 2]).collect()}
+    assert weights == {0: 0.0, 1: 0.75, 2: 1.5}
+    scores = scores_table(spark, [(1, [0.0, 2.0, 1.0]), (2, [0.0, 0.0, 0.0])])
+    known = E.smoothed_loss(scores, B.class_weights(rows, "label_idx"), 3).first()["loss"]
+    assert known == pytest.approx(E.smoothed_loss(scores, B.class_weights(rows, "label_idx", [0, 1, 2]), 3).first()["loss"])
+
+
 def test_threshold_cases(spark):
     def pick(pairs):
         df = spark.createDataFrame([("m", float(c), float(k)) for c, k in pairs], "model string, confidence double, correct double")
