@@ -63,7 +63,8 @@ def _renumber(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class FMIndex:
-    """Index of ``text``, word numbers from 1 on with 0 between its parts; ``depth`` is at least 2."""
+    """Index of ``text``, word numbers from 1 on with a 0 behind each of its parts, the last one
+    included; ``depth`` is at least 2."""
 
     def __init__(self, text: np.ndarray, depth: int):
         n, self.depth = len(text), depth
