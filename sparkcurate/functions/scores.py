@@ -56,17 +56,6 @@ def neg_log_likelihood(logits: Column, label: Column, temperature: Column | floa
     return -F.element_at(log_softmax(logits, temperature), label + 1)
 
 
-def smoothed_cross_entropy(
-    logits: Column, label: Column, n_classes: int, smoothing: float = K.LABEL_SMOOTHING
-) -> Column:
-    """Cross entropy against ``(1 - s) * onehot + s / n``."""
-    return let(
-        log_softmax(logits),
-        lambda logp: (1.0 - smoothing) * -F.element_at(logp, label + 1)
-        + (smoothing / n_classes) * -total(logp),
-    )
-
-
 def confidence_bin(confidence: Column, n_bins: int = K.N_CALIBRATION_BINS) -> Column:
     """1-based right-closed bin; a confidence of exactly 0 falls in none (null). The float guess
     is corrected against the bin edges themselves."""

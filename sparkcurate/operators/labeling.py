@@ -195,11 +195,13 @@ def find_annotations(images: DataFrame, lines: DataFrame) -> DataFrame:
     """Each image with its annotation lines (null when there is none).
 
     ``images``: ``dataset, image, labels_dir_1, labels_dir_2, stem``, ``lines``: ``dataset,
-    labels_dir, stem, line``. The second directory counts only when the first does not exist.
+    labels_dir, stem, line``. The second directory counts only when the first does not exist; a
+    directory exists if a file of it is listed, be it an empty one (``lines`` then has a null line).
+    There are few directories: their list is counted, then sent to the images.
     """
     existing = lines.select("dataset", F.col("labels_dir").alias("labels_dir_1")).distinct()
     located = images.join(
-        existing.withColumn("_first", F.lit(True)), ["dataset", "labels_dir_1"], "left"
+        small_side(existing.withColumn("_first", F.lit(True))), ["dataset", "labels_dir_1"], "left"
     ).withColumn(
         "labels_dir",
         F.when(F.col("_first"), F.col("labels_dir_1")).otherwise(F.col("labels_dir_2")),

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from functools import cache
+from hashlib import md5
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkcurate.functions import hashing as H
 from sparkcurate.functions import text as X
-from sparkcurate.functions.let import let
 
 GRID_CELLS = 72
 
@@ -17,30 +23,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fill_cores(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan out again when it has fewer tasks than the cluster has cores (one
-    small file); a large table already has more and is left where it is."""
+    """Deal the rows of a small scan out over the cores. One file of a few megabytes is one task however
+    long its rows take; a scan of more than ``SMALL_SCAN`` bytes, by the optimizer's own estimate, has
+    enough tasks and stays where it is."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if int(str(size)) < SMALL_SCAN else df
+
+
+SMALL_SCAN = 256 << 20
+WORD = re.compile("[a-z0-9]+")
+CACHED_WORDS = 200_000
+
+
+@cache
+def _cells() -> dict[str, int]:
+    return {}
+
+
+def _count_cells(text: str | None) -> np.ndarray | None:
+    if text is None:
+        return None
+    words, known = WORD.findall(text), _cells()
+    if len(known) > CACHED_WORDS:
+        known.clear()
+    for word in words:
+        if word not in known:
+            known[word] = int(md5(word.encode()).hexdigest()[:8], 16) % GRID_CELLS
+    return np.bincount([known[word] for word in words], minlength=GRID_CELLS) if words else np.zeros(GRID_CELLS, int)
 
 
 def text_grid(text: Column) -> Column:
-    """Counts of a text's words over 72 cells, a word's cell being its md5 modulo 72.
+    """Counts of a text's words over 72 cells, a word's cell being its md5 modulo 72: one pass over each
+    text in Arrow batches. No word is shuffled."""
+    return _grids(F.lower(text))
 
-    Each cell number becomes one character, so that a count is the length a string loses when
-    that character is removed: everything stays in the row and no word is shuffled.
-    """
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
-    first = 40
-    marks = F.transform(
-        words, lambda w: F.char(F.pmod(X.hex_number(F.md5(w), 1, 8), F.lit(GRID_CELLS)) + first)
-    )
-    return let(
-        F.array_join(marks, ""),
-        lambda m: F.transform(
-            F.sequence(F.lit(first), F.lit(first + GRID_CELLS - 1)),
-            lambda c: F.length(m) - F.length(F.replace(m, F.char(c))),
-        ),
-    )
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _grids(lowered: pd.Series) -> pd.Series:
+    return lowered.map(_count_cells)
 
 
 def doc_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,13 +67,17 @@ def read_annotations(spark: SparkSession, root: str) -> tuple[DataFrame, DataFra
     is a direct child directory: ``(dataset, class_id, class_name)`` and ``(dataset, labels_dir,
     stem, line)``. Blank lines are dropped; a file of blank lines leaves one null line,
     and an empty one none: its images drop out for want of an annotation either way."""
-    base = root.rstrip("/")
+    # As the file system itself writes it, scheme and host included: that is how file paths come back.
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    qualified = files.makeQualified(hadoop).toString().rstrip("/")
+    base = re.sub("^file:/+", "/", qualified)
 
     def whole(pattern: str) -> DataFrame:
         found = (
             spark.read.option("recursiveFileLookup", "true")
             .option("pathGlobFilter", pattern)
-            .text(base, wholetext=True)
+            .text(qualified, wholetext=True)
         )
         path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
         below = F.substring(path, F.lit(len(base) + 2), F.length(path))
@@ -139,13 +145,13 @@ def hash_plan(files: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """A one-line or few-line report as one JSON file."""
-    report.coalesce(1).write.mode("overwrite").json(path)
+    """A one-line or few-line report as one JSON file: its rows meet in one task only after the work."""
+    report.repartition(1).write.mode("overwrite").json(path)
 
 
 def write_csv(table: DataFrame, path: str) -> None:
-    """A small table as one CSV file with a header."""
-    table.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A small table as one CSV file with a header; its rows meet in one task only after the work."""
+    table.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_field_rows(rows: DataFrame, path: str) -> None:
@@ -179,7 +185,14 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_groups(groups: DataFrame, path: str) -> None:
-    groups.select("path", "group_id").write.mode("overwrite").parquet(path)
+    """The group of each path, and the group's key where there is one."""
+    kept = [c for c in ("path", "group_id", "group_key") if c in groups.columns]
+    groups.select(*kept).write.mode("overwrite").parquet(path)
+
+
+def read_groups(spark: SparkSession, path: str) -> DataFrame:
+    """``path, group_id`` and, where it was written, ``group_key``."""
+    return spark.read.parquet(path)
 
 
 def append_diagnoses(rows: DataFrame, path: str) -> None:
