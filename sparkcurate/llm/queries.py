@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkcurate.llm import bagminhash, decontaminate, langid, licenses, mixing, pii, quality, substring, tokenids, urls
+from sparkcurate.llm.oracle import ORACLES  # noqa: F401
 from sparkcurate.session import new_path
 
 
@@ -92,6 +93,3 @@ QUERIES = {
     "op6_weighted_mix": op6_weighted_mix,
     "op9_quality_votes": op9_quality_votes,
 }
-ORACLES: dict[str, str] = {
-    "op6_weighted_mix": mixing.ORACLE,
-}
