@@ -16,8 +16,12 @@ def with_display_label(rows: DataFrame, column: str = "predicted_class") -> Data
     return rows.withColumn("predicted_label", F.coalesce(pairs[F.col(column)], F.col(column)))
 
 
-def history_page(diagnoses: DataFrame, limit: int = K.HISTORY_LIMIT, offset: int = 0) -> DataFrame:
-    """One page of the list view, newest first, equal times by falling id."""
+def history_page(
+    diagnoses: DataFrame, limit: int = K.HISTORY_LIMIT, offset: int = 0, after: tuple | None = None
+) -> DataFrame:
+    """One page of the list view, newest first, equal times by falling id. ``after``, the ``(created_at,
+    id)`` of the last row of the page before, costs the same on every page; ``offset`` sorts all the
+    rows it skips."""
     if not 0 < limit <= K.HISTORY_MAX_LIMIT or offset < 0:
         raise ValueError(f"limit must be 1..{K.HISTORY_MAX_LIMIT} and offset >= 0")
     columns = [
@@ -28,6 +32,10 @@ def history_page(diagnoses: DataFrame, limit: int = K.HISTORY_LIMIT, offset: int
         )
         if c in diagnoses.columns
     ]
+    if after is not None:
+        created_at, last_id = F.lit(after[0]), F.lit(after[1])
+        older = F.col("created_at") < created_at
+        diagnoses = diagnoses.filter(older | ((F.col("created_at") == created_at) & (F.col("id") < last_id)))
     page = (
         diagnoses.select(*columns)
         .orderBy(F.col("created_at").desc(), F.col("id").desc())

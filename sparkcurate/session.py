@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,7 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="sparkcurate-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -50,9 +54,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_JOB: ContextVar[str | None] = ContextVar("job", default=None)
+
+
+@contextmanager
+def job(spark: SparkSession) -> Iterator[str]:
+    """Gives what ``store`` and ``new_path`` write inside the block a folder of its own in the shared
+    folder, and removes it at the end, through Spark's file system. Results must have been written
+    elsewhere, or collected, by then."""
+    folder = f"{shared_dir(spark).rstrip('/')}/job-{uuid.uuid4().hex}"
+    token = _JOB.set(folder)
+    try:
+        yield folder
+    finally:
+        _JOB.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, for a table or a stream's own checkpoint."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = _JOB.get() or shared_dir(spark).rstrip("/")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def store(df: DataFrame, name: str = "table") -> DataFrame:
