@@ -220,37 +220,43 @@ def split_metadata(
 
     none = F.lit(None).cast("string")
 
-    def line(df: DataFrame, section: str, value: Column, split=none, item=none) -> DataFrame:
-        return df.select(
-            F.lit(section).alias("section"),
-            split.alias("split"),
-            item.alias("item"),
-            value.cast("double").alias("n"),
+    def lines(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+        """A line for each value of a one-row table."""
+        cells = [F.struct(F.lit(k).alias("section"), v.cast("double").alias("n")) for k, v in values.items()]
+        return df.select(F.explode(F.array(*cells)).alias("c")).select(
+            "c.section", none.alias("split"), none.alias("item"), "c.n"
         )
 
-    stats = group_stats(groups)
-    files = listed.agg(
-        F.count(F.lit(1)).alias("n"), _count(F.col("orbit").isNull()).alias("corrupt")
-    )
+    stats, n, corrupt = group_stats(groups), F.col("n"), F.col("corrupt")
+    files = listed.agg(F.count(F.lit(1)).alias("n"), _count(F.col("orbit").isNull()).alias("corrupt"))
     conflicts = label_conflicts(groups).agg(F.count(F.lit(1)).alias("n"))
-    per_cell = assigned.groupBy("split", "label", "source", "group_id").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    per_split = per_cell.groupBy("split").agg(F.countDistinct("group_id").alias("n"))
-    per_label = per_cell.groupBy("split", "label").agg(F.sum("n").alias("n"))
-    per_source = per_cell.groupBy("split", "source").agg(F.sum("n").alias("n"))
-    scalars = (
-        line(files, "seed", F.lit(seed))
-        .unionByName(line(files, "max_hamming_distance", F.lit(max_distance)))
-        .unionByName(line(files, "n_images_staging", F.col("n")))
-        .unionByName(line(files, "n_corrupted_dropped", F.col("corrupt")))
+
+    def cell(section: str, item: Column, group: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), item.alias("item"), group.alias("g"))
+
+    # One pass over the files kept: each cell counts for its split's groups, its label and its source.
+    group = F.col("group_id")
+    cells = (
+        assigned.groupBy("split", "label", "source", "group_id").agg(F.count(F.lit(1)).alias("n"))
+        .select("split", "n", F.explode(F.array(
+            cell("groups_per_split", none, group),
+            cell("images_per_split", F.col("label"), F.lit(None).cast(assigned.schema["group_id"].dataType)),
+            cell("sources_per_split", F.col("source"), F.lit(None).cast(assigned.schema["group_id"].dataType)),
+        )).alias("c"))
+        .groupBy("c.section", "split", "c.item").agg(F.sum("n").alias("files"), F.countDistinct("c.g").alias("groups"))
+        .select(
+            "section", "split", "item",
+            F.when(F.col("section") == "groups_per_split", F.col("groups")).otherwise(F.col("files")).cast("double").alias("n"),
+        )
     )
     return (
-        scalars.unionByName(line(conflicts, "n_conflicted_groups_dropped", F.col("n")))
-        .unionByName(line(stats, "n_distinct_photos", F.col("n_groups")))
-        .unionByName(line(stats, "redundancy_pct", F.round("redundancy_pct", 2)))
-        .unionByName(line(stats, "largest_group", F.col("largest_group")))
-        .unionByName(line(per_split, "groups_per_split", F.col("n"), F.col("split")))
-        .unionByName(line(per_label, "images_per_split", F.col("n"), F.col("split"), F.col("label")))
-        .unionByName(line(per_source, "sources_per_split", F.col("n"), F.col("split"), F.col("source")))
+        lines(files, {
+            "seed": F.lit(seed), "max_hamming_distance": F.lit(max_distance), "n_images_staging": n, "n_corrupted_dropped": corrupt,
+        })
+        .unionByName(lines(conflicts, {"n_conflicted_groups_dropped": n}))
+        .unionByName(lines(stats, {
+            "n_distinct_photos": F.col("n_groups"), "redundancy_pct": F.round("redundancy_pct", 2),
+            "largest_group": F.col("largest_group"),
+        }))
+        .unionByName(cells)
     )

@@ -13,6 +13,7 @@ from sparkcurate import constants as K
 from sparkcurate.functions import scores as S
 from sparkcurate.functions.let import let
 from sparkcurate.operators.skew import small_side
+from sparkcurate.session import store
 
 
 def predictions(scores: DataFrame, temperature: Column | float = 1.0) -> DataFrame:
@@ -48,12 +49,14 @@ def reliability(preds: DataFrame, n_bins: int = K.N_CALIBRATION_BINS) -> DataFra
     )
 
 
-def score_summary(preds: DataFrame, n_bins: int = K.N_CALIBRATION_BINS) -> DataFrame:
-    """``model, label_idx, pred, bin, n, sum_confidence``: all that the confusion, calibration
+def score_summary(
+    preds: DataFrame, n_bins: int = K.N_CALIBRATION_BINS, extra: list[str] | None = None
+) -> DataFrame:
+    """``model, label_idx, pred, bin, n, sum_confidence``, by the columns ``extra`` too: all that the confusion, calibration
     and confidence reports need, from one pass; classes x classes x bins lines per model."""
     return (
         preds.withColumn("bin", S.confidence_bin(F.col("confidence"), n_bins))
-        .groupBy("model", "label_idx", "pred", "bin")
+        .groupBy("model", "label_idx", "pred", "bin", *(extra or []))
         .agg(F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("sum_confidence"))
     )
 
@@ -199,15 +202,26 @@ def pick_threshold(
     Rows are counted by the highest threshold they reach, at most 51 lines per model, and the
     running totals over those lines give every threshold at once.
     """
-    n_steps, start, step = 50, 0.50, 0.01
     if split and "split" in preds.columns:
         stop = F.raise_error(F.concat(F.lit(f"a threshold reads {split} only, found "), F.col("split")))
         preds = preds.withColumn("correct", F.when(F.col("split") == split, F.col("correct")).otherwise(stop.cast("double")))
-    by_step = (
-        preds.withColumn("k", F.coalesce(S.threshold_step(F.col("confidence"), start, step, n_steps), F.lit(-1)))
-        .groupBy("model", "k")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("correct").alias("right"))
+    by_step = preds.withColumn("k", threshold_reached()).groupBy("model", "k").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("correct").alias("right")
     )
+    return threshold_of_steps(by_step, target, min_rows, min_share)
+
+
+N_STEPS, FIRST_STEP, STEP = 50, 0.50, 0.01
+
+
+def threshold_reached() -> Column:
+    """Number of the highest threshold that the confidence reaches, -1 for none."""
+    return F.coalesce(S.threshold_step(F.col("confidence"), FIRST_STEP, STEP, N_STEPS), F.lit(-1))
+
+
+def threshold_of_steps(by_step: DataFrame, target: float, min_rows: int, min_share: float) -> DataFrame:
+    """The threshold from ``model, k, n, right``, a line per model and highest threshold reached."""
+    start, step = FIRST_STEP, STEP
     totals = by_step.groupBy("model").agg(F.sum("n").alias("n_all"), F.sum("right").alias("right_all"))
     # One line per model and threshold that some row ends at, plus the gaps below them.
     reached = by_step.filter("k >= 0").select(
@@ -233,18 +247,25 @@ def pick_threshold(
 def calibration_rows(
     scores: DataFrame, fitted: DataFrame | None = None, split: str | None = "val"
 ) -> DataFrame:
-    """One calibration record per model, rounded as it is stored; rows of another split stop the job."""
+    """One calibration record per model, rounded as it is stored; rows of another split stop the job.
+    Two passes over the scores, raw and tempered; all else comes from their stored summaries, at most
+    classes x classes x bins x thresholds lines per model."""
     if split and "split" in scores.columns:
         scores = _require_split(scores, split)
     fitted = fit_temperature(scores) if fitted is None else fitted
-    before = predictions(scores)
-    after = predictions(with_temperature(scores, fitted), F.col("temperature"))
+    before = store(score_summary(predictions(scores)), "summary-raw")
+    tempered = predictions(with_temperature(scores, fitted), F.col("temperature"))
+    after = store(score_summary(tempered.withColumn("k", threshold_reached()), extra=["k"]), "summary-tempered")
+    right = F.sum(F.when(F.col("label_idx") == F.col("pred"), F.col("n")).otherwise(0)).cast("double")
+    steps = after.groupBy("model", "k").agg(F.sum("n").alias("n"), right.alias("right"))
+    accuracy = after.groupBy("model").agg((right / F.sum("n")).alias("accuracy"))
+    threshold = threshold_of_steps(steps, K.TARGET_SELECTIVE_ACCURACY, K.MIN_SUPPORT_ROWS, K.MIN_SUPPORT_SHARE)
     return (
         fitted.select("model", F.round("temperature", 6).alias("temperature"))
-        .join(pick_threshold(after, split=split), "model")
-        .join(calibration_error(before).withColumnRenamed("ece", "ece_before"), "model")
-        .join(calibration_error(after).withColumnRenamed("ece", "ece_after"), "model")
-        .join(mean_confidence(after).select("model", "accuracy"), "model")
+        .join(threshold, "model")
+        .join(error_of_summary(before).select("model", F.col("ece").alias("ece_before")), "model")
+        .join(error_of_summary(after).select("model", F.col("ece").alias("ece_after")), "model")
+        .join(accuracy, "model")
         .select(
             "model",
             "temperature",
