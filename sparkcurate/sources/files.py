@@ -70,8 +70,9 @@ def read_annotations(spark: SparkSession, root: str) -> tuple[DataFrame, DataFra
     # As the file system itself writes it, scheme and host included: that is how file paths come back.
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
     files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    qualified = files.makeQualified(hadoop).toString().rstrip("/")
-    base = re.sub("^file:/+", "/", qualified)
+    found_at = files.makeQualified(hadoop)
+    qualified = found_at.toString().rstrip("/")
+    base = re.sub("^file:/+", "/", found_at.toUri().toString().rstrip("/"))  # escaped, as file paths are
 
     def whole(pattern: str) -> DataFrame:
         found = (

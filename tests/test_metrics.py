@@ -187,6 +187,10 @@ def test_history_views(spark):
     page = HI.history_page(df, 3, 1).collect()
     assert [r["id"] for r in page] == [29, 58, 28]
     assert {r["predicted_label"] for r in page} == {"Míldio", "other"}
+    first = HI.history_page(df, 4).collect()
+    later = HI.history_page(df, 3, after=(first[0]["created_at"], first[0]["id"])).collect()
+    assert [r["id"] for r in later] == [29, 58, 28]
+    assert HI.dashboard(df, 10).first()["n_shown"] == 10 and HI.dashboard(df, None).first()["n_shown"] == 60
     assert HI.find_diagnosis(df, 7).count() == 1 and HI.find_diagnosis(df, 700).count() == 0
     assert HI.delete_diagnoses(df, df.filter("id < 10").select("id")).count() == 50
     with pytest.raises(ValueError):
