@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 #: Ids after which a segment is closed.
 SEGMENT_IDS = 1 << 20
 #: Pieces of text whose ids a worker remembers; there are two generations of this size.
-CACHED_PIECES = 500_000
+CACHED_PIECES = 150_000
 SAMPLE = 256
 SEGMENTS = "segment long, n_docs long, n_tokens long, doc_ids array<long>, ids binary, id_bytes int, bounds binary"
 
@@ -123,12 +124,13 @@ class EliasFano:
 
 
 class Encoder:
-    """Texts to packed ids. A text is cut before each space at which its tokens surely part, and the
-    ids of pieces seen before are taken from memory; a text with white space that could join tokens
-    across such a cut, or with a special token's string, is encoded in one go."""
+    """Texts to packed ids. With byte-level vocabularies, a text is cut before each space at which its
+    tokens surely part, and the ids of pieces seen before are taken from memory; words of letters go
+    straight to the library's merges. A text with white space that could join tokens across such a
+    cut, or with a special token's string, is encoded in one go, as is every text with others."""
 
-    #: A space between white space on both sides (or at the end) may belong to one token with it.
-    JOINED = re.compile(r"\s (?:\s|$)|\0")
+    #: A space before white space, or at the end, may belong to one token with what is around it.
+    JOINED = re.compile(r" (?:\s|$)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel work
@@ -137,29 +139,91 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.merges = self.tokenizer.model
+        self.letters = self._byte_letters()
+        self.code = {"<u2": "H", "<u4": "I"}[self.type]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _byte_letters(self) -> dict[int, str] | None:
+        """The letter that stands for each byte, as the library writes them; None if the tokenizer is not
+        a byte-level one that parts words by the usual pattern."""
+        from tokenizers import models, pre_tokenizers
+
+        pre = self.tokenizer.pre_tokenizer
+        usual = isinstance(pre, pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space
+        if not usual or self.tokenizer.normalizer or not isinstance(self.merges, models.BPE):
+            return None
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        letters = {}
+        for point in [*range(0x800), *range(0x800, 0xD800, 61), *range(0x10000, 0x110000, 4093)]:
+            char = chr(point)
+            letters |= zip(char.encode(), spell(char)[0][0])
+        return letters
+
+    def word(self, piece: str) -> bytes:
+        """Ids of letters with at most one space before them, which are never parted further."""
+        ids = [t.id for t in self.merges.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
     def direct(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.type).tobytes() for e in found]
 
+    @staticmethod
+    def parts(piece: str) -> list[str]:
+        """Where the tokens of a piece surely part: at a single line break between other characters,
+        and between a word of letters and one full stop or comma behind it."""
+        out = []
+        left, line_break, right = piece.partition("\n")
+        if line_break and left and right and not left[-1].isspace() and not right[0].isspace() and "\n" not in right:
+            halves = [left, line_break, right]
+        else:
+            halves = [piece]
+        for half in halves:
+            if half[-1:] in (".", ",") and half[:-1].removeprefix(" ").isalpha():
+                out += [half[:-1], half[-1]]
+            else:
+                out.append(half)
+        return out
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Remember the ids of pieces, from those of their parts."""
+        young, old, whole = self.young, self.old, {}
+        others = set()
+        for piece in pieces:
+            if piece in old:
+                young[piece] = old[piece]
+                continue
+            parts = self.parts(piece)
+            if len(parts) > 1:
+                whole[piece] = parts
+            for part in parts:
+                if part in young:
+                    continue
+                if part in old:
+                    young[part] = old[part]
+                elif part.removeprefix(" ").isalpha():
+                    young[part] = self.word(part)
+                else:
+                    others.add(part)
+        fresh = sorted(others)
+        young.update(zip(fresh, self.direct(fresh)))
+        for piece, parts in whole.items():
+            young[piece] = b"".join([young[part] for part in parts])
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut, unknown = [], {}
+        if len(self.young) > CACHED_PIECES:
+            self.old, self.young = self.young, {}
+        cut, unknown = [], set()
         for text in texts:
-            if self.JOINED.search(text) or any(s in text for s in self.special):
+            if not self.letters or "\0" in text or self.JOINED.search(text) or any(s in text for s in self.special):
                 cut.append(None)
                 continue
             pieces = text.replace(" ", "\0 ").split("\0")
             cut.append(pieces)
-            unknown.update(dict.fromkeys(p for p in pieces if p not in self.young))
-        if len(self.young) > CACHED_PIECES:
-            # What this batch needs of the generation that goes is looked up like anything unknown.
-            self.old, self.young = self.young, {}
-            unknown = dict.fromkeys(p for pieces in cut if pieces for p in pieces)
-        fresh = [p for p in unknown if p not in self.old]
-        self.young.update((p, self.old[p]) for p in unknown if p in self.old)
-        self.young.update(zip(fresh, self.direct(fresh)))
+            unknown |= set(pieces).difference(self.young)
+        self.learn(unknown)
         whole = iter(self.direct([t for t, pieces in zip(texts, cut) if pieces is None]))
         return [next(whole) if p is None else b"".join(map(self.young.__getitem__, p)) for p in cut]
 
