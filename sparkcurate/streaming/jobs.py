@@ -37,13 +37,20 @@ def decide_stream(
     )
 
 
+# Parts of a hash store; a number of the store, not to be changed once it is written.
+STORE_PARTS = 16
+
+
 def hash_stream(files: DataFrame, store: str, checkpoint: str, hasher, key=("path", "length", "mtime_s")):
     """Hash what the store does not know yet and append it, batch by batch.
 
     ``hasher`` maps a batch to ``key`` plus ``orbit``. A batch that is replayed after a crash
-    finds its own rows in the store and adds nothing.
+    finds its own rows in the store and adds nothing. The store lies in ``STORE_PARTS`` parts by a hash
+    of the key: a batch reads only the parts its own files fall into, so a trickle of new files does
+    not read the whole store each time.
     """
     key = list(key)
+    part = F.pmod(F.xxhash64(*key), F.lit(STORE_PARTS)).cast("int").alias("part")
 
     def run(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
@@ -51,8 +58,10 @@ def hash_stream(files: DataFrame, store: str, checkpoint: str, hasher, key=("pat
         there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
         todo = batch.dropDuplicates(key)
         if there:
-            todo = todo.join(spark.read.parquet(store).select(*key), key, "left_anti")
-        hasher(todo).write.mode("append").parquet(store)
+            touched = [r["part"] for r in todo.select(part).distinct().collect()]  # at most STORE_PARTS
+            known = spark.read.parquet(store).filter(F.col("part").isin(touched)).select(*key)
+            todo = todo.join(known, key, "left_anti")
+        hasher(todo).withColumn("part", part).repartition("part").write.mode("append").partitionBy("part").parquet(store)
 
     return (
         files.writeStream.foreachBatch(run)
