@@ -846,6 +846,15 @@ def fit_baseline(spark, sf_dir):
     return scored.select("id", "label_idx", S.argmax(F.col("logits")).alias("pred"))
 
 
+@query
+def fit_baseline_counts(spark, sf_dir):
+    """Per class, how many rows the fitted model scored and how many of them got a class."""
+    scored = fit_baseline(spark, sf_dir)
+    return scored.groupBy("label_idx").agg(
+        F.count(F.lit(1)).alias("n_scored"), F.count(F.when(F.col("pred") >= 0, 1)).alias("n_decided")
+    )
+
+
 @query
 def image_hash(spark, sf_dir):
     """Texts as pictures, hashed pixel by pixel: the plain hash and the eight of the orbit."""

@@ -730,6 +730,8 @@ WITH {DIAG}, r AS (SELECT model_name AS model FROM dg GROUP BY 1 HAVING count(*)
 cat(model, label) AS (VALUES {values(K.MODEL_LABELS.items())})
 SELECT cat.model, label, r.model IS NOT NULL AS has_weights, (SELECT count(*) FROM r) AS n_ready FROM cat LEFT JOIN r USING (model)"""
 ORACLES["evaluable_models"] = f"WITH {SCORES2} SELECT model, count(*) AS n FROM s2 WHERE model <> 'm_flat' GROUP BY 1"
+ORACLES["fit_baseline_counts"] = """
+SELECT label::int AS label_idx, count(*) AS n_scored, count(*) AS n_decided FROM embeddings WHERE vec_id % 2 = 1 GROUP BY 1"""
 ORACLES["pixel_vegetation"] = f"""
 WITH c AS (SELECT vec_id AS id, least(floor(abs(unnest(embedding)::double) * 1000.0::double), 255)::double AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
 p AS (SELECT id, i // 3 AS px, coalesce(max(x) FILTER (i % 3 = 0), 0) AS r, coalesce(max(x) FILTER (i % 3 = 1), 0) AS g,
