@@ -4,8 +4,9 @@
    equal anchors. Neighbouring windows with one anchor form a run. Only anchors that occur in two
    documents can hold a repeated window; all others are left behind before any text moves.
 2. Cut. The stretch of text under each run that is left is dealt by its anchor. Equal stretches are merged
-   first and keep the smallest document id. An anchor of more than ``HOT_RUNS`` runs is dealt window by
-   window instead, by a hash of all its words, so what stays together is equal and merges.
+   first and keep the smallest document id. The runs of an anchor with more than ``HOT_RUNS`` of them
+   are parted by a second, independent anchor; with more than ``CROWDED_RUNS`` they are dealt window by
+   window, by a hash of all its words, so that what stays together is equal and merges.
 3. Search. Each shard builds a compressed FM-index of its stretches and streams them through it by
    backward search over a wavelet matrix; the matching statistics, held at ``WINDOW`` words, give each
    window its interval of equal windows, and with it the smallest document in which it starts.
@@ -42,6 +43,7 @@ WINDOW = 50
 GRAM = 8
 LONGEST_RUN = 128
 HOT_RUNS = 5_000
+CROWDED_RUNS = 25_000
 SHARD_WORDS = 400_000
 
 RUNS = "doc_id long, text_hash long, anchor long, first int, last int"
@@ -52,6 +54,20 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+def anchors(h: np.ndarray, window: int = WINDOW, gram: int = GRAM, salt: int = 0) -> np.ndarray:
+    """The smallest hash of ``gram`` words in each window of the word hashes ``h``; every ``salt`` has its
+    own, independent ones."""
+    g = np.full(max(len(h) - gram + 1, 0), U(gram + salt * 1000), np.uint64)
+    for k in range(gram):
+        g = mix(g * GOLD + h[k : len(g) + k])
+    width, inside = 1, window - gram + 1
+    while 2 * width <= inside:
+        g = np.minimum(g[:-width], g[width:])
+        width *= 2
+    rest = inside - width
+    return np.minimum(g[: len(g) - rest], g[rest:]) if rest else g
+
+
 def runs_of(texts: list[list[bytes]], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """``(text, anchor, first, last)`` of all runs of windows."""
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -59,16 +75,7 @@ def runs_of(texts: list[list[bytes]], window: int = WINDOW, gram: int = GRAM) ->
     n = len(h) - window + 1
     if n <= 0:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
-    g = np.full(len(h) - gram + 1, U(gram), np.uint64)
-    for k in range(gram):
-        g = mix(g * GOLD + h[k : len(g) + k])
-    width, least = 1, g
-    inside = window - gram + 1
-    while 2 * width <= inside:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    rest = inside - width
-    least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
+    least = anchors(h, window, gram)
     owner = np.repeat(np.arange(len(texts)), sizes)
     begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
     places = np.flatnonzero(owner[:n] == owner[window - 1 :])
@@ -105,15 +112,20 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc_id, text_hash, text, runs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text", "runs"))):
             words = words_of(text)
+            second = anchors(word_hashes(words), salt=1).tolist() if any(run["hot"] == 1 for run in runs) else []
             for run in runs:
-                pieces = [(run["first"], run["last"])]
+                first, last = run["first"], run["last"]
+                starts = [first]
                 if run["hot"]:
-                    pieces = [(i, i) for i in range(run["first"], run["last"] + 1)]
-                for first, last in pieces:
+                    starts += [i for i in range(first + 1, last + 1) if run["hot"] > 1 or second[i] != second[i - 1]]
+                for first, last in zip(starts, [*(i - 1 for i in starts[1:]), last]):
                     stretch = b" ".join(words[first : last + WINDOW])
                     one = signed(xxhash.xxh64_intdigest(stretch))
                     two = signed(xxhash.xxh64_intdigest(stretch, 1))
-                    rows.append((doc_id, text_hash, one if run["hot"] else run["anchor"], first, stretch, one, two))
+                    key = run["anchor"]
+                    if run["hot"]:
+                        key = one if run["hot"] > 1 else signed((key * 31 + second[first]) & 0xFFFFFFFFFFFFFFFF)
+                    rows.append((doc_id, text_hash, key, first, stretch, one, two))
             if len(rows) > 5_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kind)], names)
                 rows = []
@@ -147,8 +159,8 @@ def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sizes = np.array([len(x) for x in found])
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
     starts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
-    columns = [table.column(c).combine_chunks() for c in ("anchor", "part1", "part2")]
-    yield pa.RecordBatch.from_arrays([*columns, starts], ["anchor", "part1", "part2", "starts"])
+    columns = [table.column(c).combine_chunks() for c in ("anchor", "part1", "part2", "n")]
+    yield pa.RecordBatch.from_arrays([*columns, starts], ["anchor", "part1", "part2", "n", "starts"])
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +199,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
     shared = (
         runs.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
-        .filter("low < high").select("anchor", "n", (F.col("n") > HOT_RUNS).alias("hot"))
+        .filter("low < high").select("anchor", "n", F.when(F.col("n") > CROWDED_RUNS, 2).when(F.col("n") > HOT_RUNS, 1).otherwise(0).alias("hot"))
     )
     left = attach(runs, shared, "anchor", ["doc_id", "first"], "n")
     by_doc = left.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("anchor", "first", "last", "hot")).alias("runs"))
@@ -199,12 +211,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     merged = cut.groupBy(*key, "stretch").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     size = cut.agg(F.coalesce(F.sum(F.octet_length("stretch")), F.lit(0))).first()[0]
     n_shards = max(1, -(-size // (SHARD_WORDS * 6)))
-    sharded = merged.select(*key, "stretch", "doc_id").repartition(n_shards, "anchor")
-    schema = T.StructType.fromDDL("anchor long, part1 long, part2 long, starts array<long>")
-    found = sharded.mapInArrow(_shard, schema)
+    sharded = merged.select(*key, "stretch", "doc_id", "n").repartition(n_shards, "anchor")
+    schema = T.StructType.fromDDL("anchor long, part1 long, part2 long, n long, starts array<long>")
+    found = store(sharded.mapInArrow(_shard, schema), "repeat-starts")  # read twice below
     gone = F.transform("starts", lambda x: x < F.col("doc_id"))
     removed = (
-        cut.select(*key, "doc_id", "text_hash", "first").join(found, key).withColumn("gone", gone)
+        attach(cut.select(*key, "doc_id", "text_hash", "first"), found, key, "doc_id", "n").withColumn("gone", gone)
         .filter(F.exists("gone", lambda x: x)).groupBy("doc_id", "text_hash")
         .agg(F.collect_set(F.struct("first", "gone")).alias("removed"))
     )
