@@ -49,6 +49,7 @@ SIMILAR = 0.8
 BANDS, ROWS = 20, 4
 SIZE = BANDS * ROWS
 BLOCK = 256
+HUB_ROWS = 200
 CACHED_WORDS = 500_000
 COLUMNS = 20_000  # of a block product at a time
 
@@ -287,9 +288,15 @@ def classes(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     by_hub = meets.groupBy("node", "hub", "hub_score").agg(F.count(F.lit(1)).alias("shared"))
     best = W.partitionBy("node").orderBy(F.desc("shared"), F.desc("hub_score"), "hub")
     chosen = by_hub.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("node", "hub")
+    # A hub's text goes once to every HUB_ROWS of its members, which are dealt out over its copies.
+    members = chosen.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).cast("int").alias("copies"))
+    hub_texts = members.join(texts.select(F.col("node").alias("hub"), F.col("text").alias("left")), "hub").select(
+        "hub", "left", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")
+    )
+    dealt = chosen.join(members, "hub").withColumn("copy", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int"))
     pairs = (
-        chosen.join(texts.withColumnRenamed("text", "right"), "node")
-        .join(texts.select(F.col("node").alias("hub"), F.col("text").alias("left")), "hub")
+        dealt.select("hub", "copy", "node").join(texts.withColumnRenamed("text", "right"), "node")
+        .join(hub_texts, ["hub", "copy"])
         .select(F.col("hub").alias("a"), F.col("node").alias("b"), "left", "right")
     )
     links = store(pairs.mapInArrow(lambda x: _verify_pairs(x, similar), "a long, b long"), "near-links")
@@ -303,7 +310,7 @@ def classes(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     ).filter("low <> high")
     once = open_sets.groupBy("n", "set1", "set2").agg(F.min("key").alias("key")).select("key", "n")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = (
+    in_blocks = (
         attach(placed, once, "key", "node", "n")
         .withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -312,7 +319,7 @@ def classes(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
             F.col("block").alias("side"),
         )
     )
-    ready = dealt.join(texts, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    ready = in_blocks.join(texts, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     more = ready.select("key", "lo", "hi", "node", "component", "side", "text").mapInArrow(
         lambda x: _verify_blocks(x, similar), "a long, b long"
     )
