@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import prose
+from llm_rows import prose
 from sparkcurate.llm import decontaminate as D
 
 
