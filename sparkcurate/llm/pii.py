@@ -11,7 +11,8 @@ of an address in the same text. Potentials:
   held between ``WEAK`` and ``STRONG``, below even odds: alone it never makes a span of a mention;
 * neighbours in the chain: how much likelier two labels follow each other than by chance, held small;
 * skip links between distant mentions with the same key (the same digits, or the last ten of them,
-  the same name): ``AGREE`` for equal labels.
+  the same name): ``AGREE`` for equal labels. It outweighs the weakest evidence and both neighbours
+  together, so what is linked to a base span takes its label, however rare such labels are in the corpus.
 
 Base spans are clamped. Sum-product messages are passed over chain and skip links (a graph with
 loops) until they settle, and a mention whose likeliest label is not "none" becomes a span. Equal
@@ -39,7 +40,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
-WEAK, STRONG, AGREE, CHAIN = -4.0, -1.0, 3.0, 0.2
+WEAK, STRONG, CHAIN = -4.0, -1.0, 0.2
+AGREE = 1.0 - WEAK + 4 * CHAIN  # a neighbour's message is at most 2 * CHAIN
 ROUNDS = 30
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"

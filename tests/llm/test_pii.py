@@ -61,3 +61,18 @@ def test_field_labels_repeats_and_leaves_the_rest(spark, edges, none):
     assert found[2].spans == "" and found[3].spans == "" and found[3].n_email == 0
     out = P.find(edges, P.learn(edges))
     assert out.count() == edges.count() and P.find(none, P.learn(none)).count() == 0
+
+
+def test_a_large_corpus_does_not_outvote_a_link(spark):
+    phone = "Call +1 (743) 555-3824 now. Later: 743 555 3824 was busy, order 8891234 came."
+    name = "Write to rosalind.k@example.org today. It was rosalind.k who asked, not someone.k at all."
+    noise = [f"number {7_000_000_000 + 7919 * i} and {1_000_000 + 13 * i}" for i in range(3_000)]
+    noise += [f"person{i}x@example.org wrote, then person{i}x left" for i in range(2_000)]
+    docs = spark.createDataFrame(list(enumerate([phone, name, *noise])), "doc_id long, text string")
+    field = P.learn(docs)
+    assert field.evidence("n10", P.NONE)[3] == field.evidence("w", P.NONE)[0] == P.WEAK
+    for text, again, kind in ((phone, "743 555 3824", 3), (name, "rosalind.k who", 0)):
+        start = text.index(again)
+        assert field.added(text, P.base_spans(text)) == [(start, start + len(again.removesuffix(" who")), kind)]
+    found = P.find(docs, field).filter("doc_id >= 2").selectExpr("sum(pii.n_added)", "sum(pii.n_email)").first()
+    assert tuple(found) == (2_000, 2_000)
