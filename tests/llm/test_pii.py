@@ -76,3 +76,28 @@ def test_a_large_corpus_does_not_outvote_a_link(spark):
         assert field.added(text, P.base_spans(text)) == [(start, start + len(again.removesuffix(" who")), kind)]
     found = P.find(docs, field).filter("doc_id >= 2").selectExpr("sum(pii.n_added)", "sum(pii.n_email)").first()
     assert tuple(found) == (2_000, 2_000)
+
+
+def test_every_repeat_is_labelled_however_many():
+    for odds in (P.WEAK, P.STRONG):
+        field = P.Field({})
+        field.shapes = {s: np.array([*np.full(P.NONE, 100 * np.exp(odds)), 100.0]) for s in ("n10", "n7", "w")}
+        for n in (1, 5, 100, 500):
+            for base, again, kind in (("+1 (743) 555-3824", "743 555 3824", 3), ("rosalind.k@example.org", "Rosalind.k", 0)):
+                for head, tail in ((0, n), (n, 0), (n // 2, n - n // 2)):  # the base span first, last, between
+                    text = f"{again}; 8891234, 8891234, " * head + base + f"; {again}, 8891234" * tail
+                    want = {m.span() for m in re.finditer(re.escape(again), text)}
+                    added = field.added(text, P.base_spans(text))
+                    assert len(want) == n and {(a, b) for a, b, k in added if k == kind} == want and len(added) == n
+                    chain, skip = P.links(P.mentions(text, P.base_spans(text)))
+                    assert len(skip) <= 2 * len(chain)
+
+
+def test_messages_settle_within_the_rounds():
+    field, text = P.Field({}), "+1 743 555 3824; " + "743 555 3824, 8891234, 555 123 9876; " * 500
+    nodes = P.mentions(text, P.base_spans(text))
+    chain, skip = P.links(nodes)
+    own = np.array([field.evidence(node[3], node[2]) for node in nodes])
+    edges = np.concatenate([chain, skip])
+    pair = np.concatenate([np.repeat(field.chain[None], len(chain), 0), np.repeat(field.skip[None], len(skip), 0)])
+    assert np.allclose(P.infer(own, edges, pair), P.infer(own, edges, pair, rounds=P.ROUNDS // 2), atol=1e-9)
