@@ -13,7 +13,8 @@ Candidates are then verified exactly by dynamic programming over the words aroun
 
 Windows that cannot match are not embedded, which loses nothing: each word that occurs in no item needs
 an edit of its own, and each edit spoils at most two of the item's n - 1 pairs of neighbouring words, so
-a window needs at least n - 1 - 2k pairs that occur in some item.
+a window needs at least n - 1 - 2k pairs that occur in some item. Windows may run over both ends of a
+text, by as many words as an item of their length may have lost: those count as words of no item.
 
 Scale: documents are read once, in place, without any shuffle, one pass for each block of items. A block
 holds at most ``BLOCK_WORDS`` words of items, which bounds what is sent to the executors whatever the
@@ -244,23 +245,34 @@ class Index:
             cuts = np.flatnonzero(np.diff(items)) + 1
             yield from zip(items[np.concatenate([[0], cuts])].tolist(), np.split(places, cuts))
 
+    def beyond(self, sizes: np.ndarray) -> np.ndarray:
+        """By how many words windows may run over an end of texts of ``sizes`` words: as many as the longest
+        item may lose of which such a text can hold the rest."""
+        lengths = sorted(self.tables)
+        limits = np.array([0, *map(allowed, lengths)], np.int64)
+        return limits[np.searchsorted(np.array(lengths, np.int64) - limits[1:], sizes, "right")]
+
     def search(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """For every text ``(item_id, distance, item_words, start)`` of each item found in it."""
         get = self.number.get
         words = [np.fromiter(map(get, w, repeat(OTHER)), np.uint32, len(w)) for w in map(words_of, texts)]
-        apart = np.zeros(1, np.uint32)
-        flat = np.concatenate([x for w in words for x in (w, apart)]) if words else apart
         sizes = np.array([len(w) for w in words], np.int64)
-        firsts = np.cumsum(sizes + 1) - sizes - 1
+        pads = self.beyond(sizes)  # fillers before and behind a text, then one word that no window may cross
+        widths = sizes + 2 * pads + 1
+        blocks = np.cumsum(widths) - widths
+        firsts = blocks + pads
+        flat = np.zeros(int(widths.sum()), np.uint32)
+        for first, w in zip(firsts.tolist(), words):
+            flat[first : first + len(w)] = w
         weight = (flat == OTHER).astype(np.int32)
-        weight[firsts + sizes] = 1 << 20
+        weight[blocks + widths - 1] = 1 << 20
         best: dict[tuple[int, int], tuple[int, int]] = {}
         there = np.zeros(len(self.number) + 1, bool)
-        number = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes + 1) if len(sizes) else apart
+        number = np.repeat(np.arange(len(sizes), dtype=np.uint64), widths)
         for item, places in self.candidates(flat, weight, number):
             ids = self.items[item][1]
             n, k = len(ids), allowed(len(ids))
-            owner = np.searchsorted(firsts, places, "right") - 1
+            owner = np.searchsorted(blocks, places, "right") - 1
             new = np.flatnonzero((np.diff(places) > n) | (np.diff(owner) > 0)) + 1
             for group in np.split(np.arange(len(places)), new):
                 text = int(owner[group[0]])

@@ -67,3 +67,41 @@ def test_edges(spark, edges, none):
     clean = D.clean(edges, items)
     assert clean.columns == edges.columns and {r.doc_id for r in clean.collect()} == {None, 0, 1, 2, 4, 5, 8, 9, 10, 12}
     assert D.contaminated(none, items).count() == 0 and D.clean(edges, items.limit(0)).count() == edges.count()
+
+
+def test_items_with_deletions_at_the_ends_of_texts(spark):
+    items = [tuple(r) for r in table(spark).collect()]
+    index = D.Index(items)
+    rng = random.Random(3)
+    texts = []
+    for i in range(300):
+        words = D.words_of(rng.choice(items)[1])
+        most = D.allowed(len(words))
+        if i % 3:  # lost anywhere, or at one end
+            first = rng.choice([0, len(words) - most])
+            gone = set(range(first, first + most)) if i % 3 == 1 else set(rng.sample(range(len(words)), rng.randint(1, most)))
+            words = [w for j, w in enumerate(words) if j not in gone]
+        else:
+            del words[rng.randrange(len(words))]
+        words = " ".join(w.decode() for w in words)
+        texts += [words, words + " " + prose(i, 40), prose(i, 40) + " " + words, "zq " + words + " zq"]
+    near = found = 0
+    for text, hits in zip(texts, index.search(texts)):
+        ids = [index.number.get(w, 0) for w in D.words_of(text)]
+        got = {h[0]: h[1] for h in hits}
+        for item, want in index.items:
+            k = D.allowed(len(want))
+            if np.isin(want, ids).sum() >= len(want) - k and (d := distance(list(want), ids)) <= k:
+                near += 1
+                found += got.get(item) == d
+        assert all(0 <= h[3] < len(ids) for h in hits)
+    assert near >= 1_000 and found >= 0.97 * near
+
+
+def test_fillers_do_not_join_texts():
+    words = [f"w{i}" for i in range(40)]
+    text = " ".join(words)
+    index = D.Index([(1, text)])
+    halves = [" ".join(words[:20]), " ".join(words[20:]), "", None, " ".join(words[:31]), " ".join(words[:32]), " ".join(words[8:])]
+    assert [[h[1:] for h in hits] for hits in index.search(halves)] == [[], [], [], [], [], [(8, 40, 0)], [(8, 40, 0)]]
+    assert D.Index([]).search(["one", None]) == [[], []] and index.search([]) == []
