@@ -8,7 +8,9 @@ Search, per item length n: every window of n words is embedded by the walk of Ch
 and Koucky (a copy of the window in which each word is repeated or passed as a hash of step and word
 says), which maps edit distance to Hamming distance; keys of ``SAMPLED`` positions of the embedding are
 looked up among the keys of the items. Walks and samples are repeated until items under as many edits as
-allowed are found at the target recall; the number is measured on mutated items when the index is built.
+allowed are found at the target recall; the number is measured on mutated items, every item of the
+length among them, when the index is built. Where ``MOST_SAMPLES`` a walk miss the target, the length does
+without LSH: of k + 1 pieces of an item, k edits leave one whole, so whatever holds a piece is a candidate.
 Candidates are then verified exactly by dynamic programming over the words around the window.
 
 Windows that cannot match are not embedded, which loses nothing: each word that occurs in no item needs
@@ -45,6 +47,7 @@ MOST_SAMPLES = 64  # a walk
 BLOCK_WORDS = 2_000_000
 LONGEST = 3 * 128  # steps drawn at a time
 CHUNK = 4_000  # windows embedded at a time
+TRIAL_WORDS = 240_000  # words of mutated items embedded at a time
 BATCH_CHARS = 4_000_000
 HITS = "array<struct<item_id:bigint,distance:int,item_words:int,start:int>>"
 
@@ -100,6 +103,15 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0xD1B54A32D192ED03)
 
 
+def running(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``sums, unroll``: ``(sums[b] - sums[a]) * unroll[a]`` depends on ``words[a:b]`` only."""
+    power = np.cumprod(np.full(len(words), BASE, np.uint64))
+    unroll = np.cumprod(np.full(len(words), pow(int(BASE), -1, 1 << 64), np.uint64))
+    mixed = (words + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(31)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * power, dtype=np.uint64)]), unroll
+
+
 def best_match(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
     """Least edits between ``item`` and any stretch of ``region``, and where such a stretch starts."""
     m = len(region)
@@ -142,8 +154,17 @@ class Index:
         self.pairs[flat_pairs >> self.shift] = True
         #: length -> (walk, sample, sorted keys, items in that order)
         self.tables: dict[int, list[tuple[int, int, np.ndarray, np.ndarray]]] = {}
+        pieces: dict[int, list[tuple[np.uint64, int, int]]] = defaultdict(list)
         for n, members in sorted(by_length.items()):
             samples, self.recall[n] = self._samples(n, members, target)
+            if self.recall[n] < target:
+                self.recall[n] = 1.0
+                bounds = [j * n // (allowed(n) + 1) for j in range(allowed(n) + 2)]
+                for i in members:
+                    sums, unroll = running(self.items[i][1])
+                    for a, b in zip(bounds, bounds[1:]):
+                        pieces[b - a].append(((sums[b] - sums[a]) * unroll[a], i, a))
+                continue
             flat = np.concatenate([self.items[i][1] for i in members])
             starts = np.arange(len(members)) * n
             tables = []
@@ -154,40 +175,49 @@ class Index:
                     order = np.argsort(keys, kind="stable")
                     tables.append((walk, s, keys[order], np.array(members)[order]))
             self.tables[n] = tables
+        #: words of a piece -> (sorted keys, items and places in them in that order), of lengths without LSH
+        self.pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size, found in pieces.items():
+            keys, members, places = (np.array(x, t) for x, t in zip(zip(*found), (np.uint64, np.int64, np.int64)))
+            order = np.argsort(keys, kind="stable")
+            self.pieces[size] = keys[order], members[order], places[order]
 
     def _samples(self, n: int, members: list[int], target: float, trials: int = 60) -> tuple[int, float]:
         """Samples a walk that find items under ``allowed(n)`` random edits with the target recall, and
-        the recall measured. The trials are fixed in number and seed."""
+        the recall measured: below the target if ``MOST_SAMPLES`` do not reach it. Every item is tried, few
+        items several times; the seed is fixed."""
         k = allowed(n)
         if not k:
             return 1, 1.0
         rng = np.random.default_rng(n)
-        flat, want = [], []
-        for t in range(trials):
-            item = self.items[members[t % len(members)]][1]
-            changed = item.tolist()
-            for _ in range(k):
-                kind, place = rng.integers(3), int(rng.integers(max(len(changed), 1)))
-                word = int(rng.integers(len(self.number) + 1))
-                if kind == 0:
-                    changed[place : place + 1] = [word]
-                elif kind == 1:
-                    changed[place:place] = [word]
-                elif len(changed) > 1:
-                    del changed[place]
-            changed += rng.integers(len(self.number) + 1, size=n).tolist()
-            flat += changed[:n]
-            want.append(item)
-        windows, items = np.array(flat, np.uint32), np.concatenate(want)
-        starts = np.arange(trials) * n
+        trials, step = max(trials, len(members)), max(1, TRIAL_WORDS // n)
         first = np.full(trials, MOST_SAMPLES + 1)
-        lengths = np.full(trials, n)
-        a, b = embed(windows, starts, lengths), embed(items, starts, lengths)
-        for walk in range(WALKS):
+        for low in range(0, trials, step):
+            part = first[low : low + step]
+            flat, want = [], []
+            for t in range(low, low + len(part)):
+                item = self.items[members[t % len(members)]][1]
+                changed = item.tolist()
+                for _ in range(k):
+                    kind, place = rng.integers(3), int(rng.integers(max(len(changed), 1)))
+                    word = int(rng.integers(len(self.number) + 1))
+                    if kind == 0:
+                        changed[place : place + 1] = [word]
+                    elif kind == 1:
+                        changed[place:place] = [word]
+                    elif len(changed) > 1:
+                        del changed[place]
+                changed += rng.integers(len(self.number) + 1, size=n).tolist()
+                flat += changed[:n]
+                want.append(item)
+            starts, lengths = np.arange(len(part)) * n, np.full(len(part), n)
+            a = embed(np.array(flat, np.uint32), starts, lengths)
+            b = embed(np.concatenate(want), starts, lengths)
             for s in range(MOST_SAMPLES):
-                same = sample_keys(a[:, walk], n, walk, s) == sample_keys(b[:, walk], n, walk, s)
-                first = np.where(same, np.minimum(first, s + 1), first)
-                if (first <= s + 1).mean() >= target:
+                for walk in range(WALKS):
+                    same = sample_keys(a[:, walk], n, walk, s) == sample_keys(b[:, walk], n, walk, s)
+                    part[same] = np.minimum(part[same], s + 1)
+                if (part <= s + 1).all():
                     break
         enough = int(np.sort(first)[int(np.ceil(target * trials)) - 1])
         samples = min(enough, MOST_SAMPLES)
@@ -200,11 +230,7 @@ class Index:
         known = (flat[:-1] != OTHER) & (flat[1:] != OTHER)
         known[known] = self.pairs[pair_hash(flat[:-1][known], flat[1:][known]) >> self.shift]
         pairs_before = np.concatenate([[0], np.cumsum(known, dtype=np.int32)]).astype(np.int32)
-        power = np.cumprod(np.full(len(flat), BASE, np.uint64))
-        unroll = np.cumprod(np.full(len(flat), pow(int(BASE), -1, 1 << 64), np.uint64))
-        mixed = (flat + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(31)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * power, dtype=np.uint64)])
+        sums, unroll = running(flat)
         passed = []
         for n in sorted(self.tables, reverse=True):
             if len(flat) < n:
@@ -215,16 +241,14 @@ class Index:
             starts = starts[before[starts + n] - before[starts] <= k]
             if len(starts):
                 passed.append((np.full(len(starts), n), starts))
-        if not passed:
-            return
-        lengths, starts = (np.concatenate(x) for x in zip(*passed))
+        pairs = [*self.whole_pieces(sums, unroll, owner)]
+        lengths, starts = (np.concatenate(x) for x in zip(*passed)) if passed else np.zeros((2, 0), np.int64)
         # Of windows with the same words in one text, the first stands for all (runs of one word, say).
         content = (sums[starts + lengths] - sums[starts]) * unroll[starts]
         content ^= (owner[starts] * np.uint64(1024) + lengths.astype(np.uint64)) * np.uint64(0xD1B54A32D192ED03)
         _, firsts = np.unique(content, return_index=True)
         firsts.sort()
         lengths, starts = lengths[firsts], starts[firsts]
-        pairs = []
         for low in range(0, len(starts), CHUNK):
             some, n_of = starts[low : low + CHUNK], lengths[low : low + CHUNK]
             symbols = embed(flat, some, n_of)
@@ -245,6 +269,21 @@ class Index:
             cuts = np.flatnonzero(np.diff(items)) + 1
             yield from zip(items[np.concatenate([[0], cuts])].tolist(), np.split(places, cuts))
 
+    def whole_pieces(self, sums: np.ndarray, unroll: np.ndarray, owner: np.ndarray) -> Iterator[np.ndarray]:
+        """Item and place, as one number, wherever a piece of an item of a length without LSH occurs: where
+        the item would start, or the text's first place if that lies before it."""
+        for size, (keys, members, places) in self.pieces.items():
+            if len(owner) < size:
+                continue
+            got = (sums[size:] - sums[:-size]) * unroll[: len(owner) - size + 1]
+            left, right = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
+            hit = np.flatnonzero(right > left)
+            number = (right - left)[hit]
+            inside = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+            row, at = np.repeat(left[hit], number) + inside, np.repeat(hit, number)
+            start = np.maximum(at - places[row], np.searchsorted(owner, owner[at], "left"))
+            yield np.unique(members[row] << 40 | start)
+
     def beyond(self, sizes: np.ndarray) -> np.ndarray:
         """By how many words windows may run over an end of texts of ``sizes`` words: as many as the longest
         item may lose of which such a text can hold the rest."""

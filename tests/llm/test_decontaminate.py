@@ -105,3 +105,33 @@ def test_fillers_do_not_join_texts():
     halves = [" ".join(words[:20]), " ".join(words[20:]), "", None, " ".join(words[:31]), " ".join(words[:32]), " ".join(words[8:])]
     assert [[h[1:] for h in hits] for hits in index.search(halves)] == [[], [], [], [], [], [(8, 40, 0)], [(8, 40, 0)]]
     assert D.Index([]).search(["one", None]) == [[], []] and index.search([]) == []
+
+
+def test_lengths_that_miss_the_target_do_without_lsh(spark, monkeypatch):
+    items = [tuple(r) for r in table(spark).collect()]
+    monkeypatch.setattr(D, "MOST_SAMPLES", 1)
+    index = D.Index(items, target=1.0)
+    assert min(index.recall.values()) == 1.0 and index.pieces
+    rng = random.Random(4)
+    texts, want = [], []
+    for i in range(200):
+        item, text = rng.choice(items)
+        words = D.words_of(text)
+        for _ in range(D.allowed(len(words))):
+            place = rng.randrange(len(words))
+            words[place : place + rng.randrange(2)] = rng.choice([[], [b"new"], [rng.choice(words)]])
+        words = " ".join(w.decode() for w in words)
+        texts.append(rng.choice([words, prose(i, 40) + " " + words + " " + prose(-i - 1, 40)]))
+        want.append(item)
+    ids = dict(index.items)
+    for text, item, hits in zip(texts, want, index.search(texts)):
+        d = distance(list(ids[item]), [index.number.get(w, 0) for w in D.words_of(text)])
+        assert {h[0]: h[1] for h in hits}.get(item) == (d if d <= D.allowed(len(ids[item])) else None)
+
+
+def test_every_item_of_a_length_is_tried(monkeypatch):
+    tried, embed = [], D.embed
+    monkeypatch.setattr(D, "embed", lambda words, starts, n: tried.append((words, starts)) or embed(words, starts, n))
+    monkeypatch.setattr(D, "TRIAL_WORDS", 1_000)
+    index = D.Index([(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(150)])
+    assert len({int(words[s]) for words, starts in tried[1:-1:2] for s in starts}) == 150 and len(index.tables) == 1
