@@ -5,9 +5,10 @@ bytes seen after the longest context; where it was not seen there, an escape is
 shorter context is asked, down to 8 bits for any byte (escape method C, no exclusions). The language
 with the shortest code for the whole text wins; statistics are frozen after training.
 
-Training takes a bounded sample: about ``SAMPLE_BYTES`` bytes of whole texts a language, drawn by a hash
-of the id. The trees are therefore at most that many contexts a language, whatever the corpus: this is
-the proven bound of what is collected and broadcast. Every text is scored, over all its bytes.
+Training takes a bounded sample: ``SAMPLE_BYTES`` bytes a language, or all it has, of texts in order of a
+hash of the id; the last one is cut at the bound. Every language with a byte of labelled text is therefore
+learned, and the trees are at most that many contexts a language, whatever the corpus: this is the proven
+bound of what is collected and broadcast. Every text is scored, over all its bytes.
 
 The trees of all languages are merged into one table by gram: code length and escape of each language
 side by side, so that one look-up serves all. A gram that no language knows falls through to the
@@ -28,10 +29,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 ORDER = 4
 SAMPLE_BYTES = 1_500_000
 BLOCK = 1 << 20
+STEPS = (1_000, 1_000)  # the hash order is narrowed to the bound's place in so many parts at a time
 PAD = b"\0" * ORDER
 
 
@@ -54,7 +57,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         frame = batch.to_pandas()
         for lang, texts in frame.groupby("lang")["text"]:
-            keys = [grams(np.frombuffer(PAD + t.encode(), np.uint8)) for t in texts]
+            keys = [grams(np.frombuffer(PAD + t, np.uint8)) for t in texts]
             gram, n = np.unique(np.concatenate(keys), return_counts=True)
             yield pa.RecordBatch.from_pandas(
                 pd.DataFrame({"lang": lang, "gram": gram.astype(np.int64), "n": n.astype(np.int64)}),
@@ -63,14 +66,40 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def training_counts(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> pd.DataFrame:
-    """``lang, gram, n`` of a sample of ``docs`` (``doc_id, text, lang``)."""
-    usable = docs.filter("text is not null and lang is not null")
-    sizes = usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()
-    if not sizes:
-        return pd.DataFrame({"lang": [], "gram": [], "n": []})
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_bytes / max(r["bytes"], 1)))])
-    place = F.pmod(F.xxhash64("doc_id", F.lit("ppm")), F.lit(1_000_000)) / 1_000_000
-    sample = usable.filter(place < share[F.col("lang")]).select("lang", "text")
+    """``lang, gram, n`` of the first ``sample_bytes`` bytes of each language in ``docs`` (``doc_id, text,
+    lang``), in order of a hash of the id."""
+    draw = F.xxhash64("doc_id", F.lit("ppm"))
+    usable = docs.filter("text is not null and lang is not null").select(
+        "lang", F.encode("text", "utf-8").alias("text"), draw.alias("draw")
+    )
+    size, place = F.octet_length("text"), F.lit(0).cast("long")
+    bound: dict[str, tuple[int, int]] = {}  # lang -> part of the order that the bound lies in, bytes before it
+    rows, parts = usable, 1
+    for step in STEPS:
+        parts *= step
+        place = F.pmod("draw", F.lit(STEPS[0])) * (parts // STEPS[0])
+        if parts > STEPS[0]:
+            place += F.pmod(F.floor(F.col("draw") / STEPS[0]), F.lit(parts // STEPS[0]))
+        sums = rows.groupBy("lang", place.cast("long").alias("place")).agg(F.sum(size).alias("bytes")).collect()
+        reached = {lang: before for lang, (_, before) in bound.items()}
+        bound = {}
+        for lang, at, n in sorted(map(tuple, sums)):
+            before = reached.get(lang, 0)
+            if lang not in bound and before + n > sample_bytes:
+                bound[lang] = at, before
+            reached[lang] = before + n
+        if not sums or not bound:
+            break
+        part = F.create_map(*[F.lit(x) for lang, (at, _) in bound.items() for x in (lang, at)])[F.col("lang")]
+        rows = usable.filter(place.cast("long") == part)
+    sample = usable.select("lang", "text")
+    if bound:
+        before = F.create_map(*[F.lit(x) for lang, (_, n) in bound.items() for x in (lang, n)])[F.col("lang")]
+        whole = usable.filter(part.isNull() | (place.cast("long") < part)).select("lang", "text")
+        order = W.partitionBy("lang").orderBy("draw", F.xxhash64("text")).rowsBetween(W.unboundedPreceding, -1)
+        room = F.lit(sample_bytes) - before - F.coalesce(F.sum(size).over(order), F.lit(0))
+        edge = rows.withColumn("room", room).filter("room > 0")
+        sample = whole.unionByName(edge.select("lang", F.expr("substring(text, 1, cast(room as int))").alias("text")))
     counted = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     return counted.toPandas()
 

@@ -75,3 +75,11 @@ def test_edges(spark, edges, none):
     assert I.identify(none).count() == 0
     nothing = edges.withColumn("lang", F.lit(None).cast("string"))
     assert I.identify(nothing).filter("lang_pred <> 'und'").count() == 0
+
+
+def test_a_language_of_one_long_text_is_learned_up_to_the_bound(spark):
+    rows = [(i, f"der hund sah die katze {i} ", "de") for i in range(300)] + [(1_000 + i, "xyz " * 5_000, f"l{i}") for i in range(8)]
+    docs = spark.createDataFrame([*rows, (2_000, "kurz", "s")], "doc_id long, text string, lang string")
+    for bound in (500, 2_000):
+        total = I.training_counts(docs, bound).groupby("lang")["n"].sum().to_dict()
+        assert total == {"de": bound, "s": 4, **{f"l{i}": bound for i in range(8)}}
