@@ -842,14 +842,14 @@ def fit_baseline(spark, sf_dir):
     train = rows.filter("id % 2 = 0")
     weights = B.class_weights(train, "label_idx")
     model = D.fit_baseline(train, weights)
-    scored = D.score_batch(rows.filter("id % 2 = 1"), model)
-    return scored.select("id", "label_idx", S.argmax(F.col("logits")).alias("pred"))
+    scored = D.score_batch(rows, model).withColumn("held_out", F.expr("id % 2 = 1"))
+    return scored.select("id", "label_idx", S.argmax(F.col("logits")).alias("pred"), "held_out")
 
 
 @query
 def fit_baseline_counts(spark, sf_dir):
-    """Per class, how many rows the fitted model scored and how many of them got a class."""
-    scored = fit_baseline(spark, sf_dir)
+    """Per class, how many held-out rows the fitted model scored and how many of them got a class."""
+    scored = fit_baseline(spark, sf_dir).filter("held_out")
     return scored.groupBy("label_idx").agg(
         F.count(F.lit(1)).alias("n_scored"), F.count(F.when(F.col("pred") >= 0, 1)).alias("n_decided")
     )

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from sparkcurate.operators import calibration as C
 from sparkcurate.operators import decision as D
 from sparkcurate.operators import evaluation as E
 from sparkcurate.operators import history as HI
+from sparkcurate.plans.catalog import QUERIES
 
 MATRICES = {
     "a": ((10461, 197, 179, 20788), (0.988111, 0.986490, 0.986692, 0.986895)),
@@ -201,3 +203,32 @@ def test_score_batch_with_a_function(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "id int, features array<double>")
     got = {r["id"]: r["logits"] for r in D.score_batch_with(df, lambda x: x * 10.0, 2).collect()}
     assert got == {1: [10.0, 20.0], 2: [30.0, 40.0]}
+
+
+def test_baseline_fit_is_the_optimum(spark):
+    rng = np.random.default_rng(5)
+    y = np.repeat([0, 1, 2], [150, 40, 10])
+    x = rng.normal(size=(200, 4)) + np.eye(3, 4)[y] * 1.5
+    rows = [(i, [float(v) for v in r], int(k)) for i, (r, k) in enumerate(zip(x, y))]
+    docs = spark.createDataFrame(rows, "id long, features array<double>, label_idx int")
+    weights = spark.createDataFrame([(0, 0.5), (1, 1.5), (2, 6.0)], "label_idx int, weight double")
+    model = D.fit_baseline(docs, weights, max_iter=300)
+    scored = D.score_batch(docs, model).orderBy("id").select("logits").collect()
+    logits = np.array([r.logits for r in scored])
+    w = np.array([0.5, 1.5, 6.0])[y] / np.array([0.5, 1.5, 6.0])[y].sum()
+    share = np.exp(logits - logits.max(1, keepdims=True))
+    share /= share.sum(1, keepdims=True)
+    slope = (w[:, None] * (share - np.eye(3)[y])).T  # of the weighted loss
+    coefficients = model.coefficientMatrix.toArray()
+    spread = w @ x**2 - (w @ x) ** 2  # the penalty is on features of unit variance
+    assert np.abs(slope.sum(1)).max() < 1e-3
+    assert np.abs(slope @ x + 0.01 * coefficients * spread).max() < 2e-3
+    hit = logits.argmax(1) == y
+    assert np.mean([hit[y == k].mean() for k in range(3)]) > 0.7
+
+
+def test_fit_baseline_scores_all_rows_and_says_which_were_held_out(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = QUERIES["fit_baseline"](spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    assert all(r.held_out == (r.id % 2 == 1) for r in rows)
