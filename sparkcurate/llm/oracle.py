@@ -98,7 +98,24 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n
   sha256(coalesce(array_to_string(list_filter(ws, lambda x, i: places IS NULL OR NOT list_contains(places, i)), ' '), '')) AS kept_sha256
 FROM w LEFT JOIN gone USING (doc_id)"""
 
+TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+RANKING = f"""
+WITH lower_case AS (SELECT doc_id, translate(text, '{licenses.UPPER}', '{licenses.LOWER}') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, {TERMS}) AS ws FROM lower_case),
+d AS (SELECT doc_id, len(ws)::BIGINT AS n FROM w WHERE len(ws) > 0),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS total FROM d),
+wanted AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{licenses.UPPER}', '{licenses.LOWER}'), {TERMS})) AS term FROM benchmark),
+tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(ws) AS term FROM w) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight
+  FROM tf, totals GROUP BY term, n_docs),
+scores AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // total))))::BIGINT AS score
+  FROM wanted JOIN tf USING (term) JOIN weights USING (term) JOIN d USING (doc_id), totals GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50"""
+
 ORACLES = {
+    "op13_mask_ranking": RANKING,
     "op2_url_aliases": _urls(),
     "op3_license_rules": _licenses(),
     "op5_bag_minhash": NEAR,

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcurate.llm import bagminhash, decontaminate, langid, licenses, mixing, pii, quality, substring, tokenids, urls
+from sparkcurate.llm import (
+    bagminhash, decontaminate, langid, lexical, licenses, mixing, neighbours, pii, quality, substring, tokenids, urls, whitening,
+)
 from sparkcurate.llm.oracle import ORACLES  # noqa: F401
 from sparkcurate.session import new_path
 
@@ -81,7 +83,31 @@ def op10_fm_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    error = whitening.identity_error(vectors, model)
+    white = whitening.transform(vectors, model)
+    each = F.posexplode("white.whitened").alias("at", "whitened")
+    shares = F.array(*map(F.lit, model.explained)).cast("array<double>")
+    return white.select("vec_id", F.col("white.deviation").alias("deviation"), each).select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(shares, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"),
+    )
+
+
+def op12_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_mask_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op11_feast_whitening": op11_feast_whitening,
+    "op12_collision_neighbours": op12_collision_neighbours,
+    "op13_mask_ranking": op13_mask_ranking,
     "op10_fm_index_repeats": op10_fm_index_repeats,
     "op5_bag_minhash": op5_bag_minhash,
     "op8_benchmark_walks": op8_benchmark_walks,
