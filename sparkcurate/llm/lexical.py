@@ -119,7 +119,7 @@ def index(docs: DataFrame, items: Items, doc_id: str = "doc_id", text: str = "te
             yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), *lists], ["n", "terms", "counts"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), count(F.col(text).cast("string")).alias("held"))
-    return rows.select("doc_id", "held.*").filter("n > 0")
+    return rows.select("doc_id", "held.*")
 
 
 def document_counts(indexed: DataFrame, n_terms: int) -> np.ndarray:
@@ -212,7 +212,8 @@ def rank(docs: DataFrame, items: DataFrame, k: int = BEST, doc_id: str = "doc_id
     spark = docs.sparkSession
     results = []
     for block in blocks(items):
-        indexed = store(index(docs, block, doc_id, text), "lexical-index")
+        # Filtered as it is read back: a filter on the function's result would have Spark run it twice.
+        indexed = store(index(docs, block, doc_id, text), "lexical-index").filter("n > 0")
         n_docs, total = indexed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         if not n_docs:
             continue
