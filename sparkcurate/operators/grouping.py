@@ -7,14 +7,18 @@ anything else happens, so a photo that fills a third of the table costs one row
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkcurate import constants as K
 from sparkcurate.functions import hashing as H
 from sparkcurate.functions.let import let
-from sparkcurate.operators.components import connected_components
-from sparkcurate.operators.skew import HOT_ROWS, attach
+from sparkcurate.operators.components import connected_components, contract
+from sparkcurate.operators.skew import HOT_ROWS, SMALL_ROWS, attach
 from sparkcurate.session import cut
 
 # Entries one bucket may hold before it is cut finer; pairs are only formed in smaller buckets.
@@ -30,22 +34,47 @@ def signatures(hashes: DataFrame) -> DataFrame:
     )
 
 
-def worth_slicing(n_bits: int, max_distance: int) -> bool:
-    """Slicing ``n_bits`` into ``d + 1`` parts repeats every entry ``d + 1`` times and thins each
-    bucket by the width of a part; it pays when the second number is the larger one."""
-    return 2 ** (n_bits // (max_distance + 1)) > max_distance + 1
+@dataclass(frozen=True)
+class Slice:
+    """Some bits of a hash, and how many of them two near hashes may differ in to meet here."""
 
+    mask: int
+    radius: int
 
-def start_masks(n: int, max_distance: int, max_bucket: int) -> list[int]:
-    """Bit masks to meet under first: ``d + 1`` slices, each cut further while evenly filled
-    buckets of ``n`` hashes would still be too large and another cut pays."""
-    fan_out = max_distance + 1
-    masks = H.slice_mask(H.FULL_MASK, fan_out)
-    while True:
-        width = min(m.bit_count() for m in masks)
-        if n / 2**width <= max_bucket or not worth_slicing(H.HASH_BITS - width - 1, max_distance):
-            return masks
-        masks = [m | part for m in masks for part in H.slice_mask(H.FULL_MASK & ~m, fan_out)]
+    @property
+    def ball(self) -> list[int]:
+        """The ways to differ: every choice of up to ``radius`` bits."""
+        bits = [1 << i for i in range(H.HASH_BITS) if self.mask >> i & 1]
+        return [sum(flip) for r in range(self.radius + 1) for flip in combinations(bits, r)]
+
+
+# What an entry written costs, in comparisons, and the largest ball that is looked up.
+ENTRY_COST = 10
+MAX_BALL = 1_000
+
+
+def search_plan(n: int, max_distance: int) -> tuple[list[Slice], int, float]:
+    """The cheapest slices for ``n`` hashes, entries written per hash, and comparisons expected per
+    evenly spread hash.
+
+    If two hashes differ in at most ``d`` bits and the slices' radii r fulfil sum(r + 1) > d, they are
+    within the radius on some slice: were all exceeded, they would differ in sum(r + 1) bits. Fewer slices are
+    wider, so fewer strangers meet, but their balls are larger. For d = 12 there are 35 entries a hash at
+    1e4 hashes, 154 at 1e5 and 556 from 1e6 on.
+    """
+    best = None
+    for k in range(1, max_distance + 2):
+        radii = [(max_distance + 1) // k - 1 + (i < (max_distance + 1) % k) for i in range(k)]
+        parts = [Slice(m, r) for m, r in zip(H.slice_mask(H.FULL_MASK, k), radii)]
+        balls = [sum(comb(p.mask.bit_count(), i) for i in range(p.radius + 1)) for p in parts]
+        if max(balls) > MAX_BALL:
+            continue
+        # Each hash is stored once a slice; of two that meet, only the one with the smaller slice looks up.
+        entries = k + (sum(balls) - k + 1) // 2
+        met = n / 2 * sum(ball / 2 ** p.mask.bit_count() for p, ball in zip(parts, balls))
+        if best is None or ENTRY_COST * entries + met < ENTRY_COST * best[1] + best[2]:
+            best = (parts, entries, met)
+    return best
 
 
 def slices_of(varying: Column, fan_out: int) -> Column:
@@ -74,24 +103,68 @@ def near_pairs(
     hashes: DataFrame, max_distance: int, max_bucket: int = MAX_BUCKET, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """``(a, b, distance)`` for every two distinct hashes ``h`` within ``max_distance``, named by
-    their owners. ``hashes`` has ``h`` (distinct) and ``owner``. A pair that agrees on several
-    slices comes out once for each.
-
-    Two hashes within ``d`` agree fully on one of any ``d + 1`` slices of their bits, so entries
-    meet in buckets of equal slices. A bucket above ``max_bucket`` is cut again by the bits that
-    vary inside it: the same argument holds there, so nothing is missed at any depth. Where the
-    varying bits are too few for another cut to pay, the bucket is a dense cluster of near
-    hashes; its pairs are formed by many tasks, each taking a share of one side. Nothing is
-    skipped or capped.
+    their owners. ``hashes`` has ``h`` (distinct) and ``owner``.
+
+    Every hash is stored under its bits of each slice, and the one with the smaller slice looks the other
+    up under all values within the slice's radius (``search_plan``). A pair is kept on the first
+    slice that it meets on, so it comes out once. Buckets that hold more than ``max_bucket`` stored hashes leave the
+    look-up: whatever meets there is cut finer by ``_cut_finer``. Nothing is skipped or capped.
     """
-    fan_out = max_distance + 1
-    masks = start_masks(hashes.count(), max_distance, max_bucket)
-    mask_list = F.expr("array(" + ", ".join(f"bigint('{H.signed64(m)}')" for m in masks) + ")")
-    entries = hashes.select(
-        "h", "owner", F.posexplode(mask_list).alias("node", "mask")
-    ).select(
-        F.col("node").cast("bigint").alias("node"), F.col("mask").bitwiseAND(F.col("h")).alias("shared"), "h", "owner"
+    n = hashes.count()
+    plan, *_ = search_plan(n, max_distance)
+    big = lambda m: F.lit(H.signed64(m)).cast("bigint")
+    stored = hashes.select(
+        "h", "owner", F.posexplode(F.array(*[big(p.mask) for p in plan])).alias("slice", "mask")
+    ).select("slice", F.col("mask").bitwiseAND(F.col("h")).alias("shared"), "h", "owner")
+
+    def around(number: int) -> Column:
+        """The other values of the slice within its radius, above the hash's own."""
+        part = plan[number]
+        own = F.col("h").bitwiseAND(big(part.mask))
+        flips = F.expr("array(" + ", ".join(f"bigint('{H.signed64(m)}')" for m in part.ball[1:]) + ")")
+        return F.filter(F.transform(flips, lambda flip: own.bitwiseXOR(flip)), lambda key: key > own)
+
+    asking = stored.withColumn("own", F.lit(True))
+    for number, part in enumerate(plan):
+        if part.radius:
+            asked = hashes.select(F.lit(number).alias("slice"), F.explode(around(number)).alias("shared"), "h", "owner")
+            asking = asking.unionByName(asked.withColumn("own", F.lit(False)))
+    crowds = stored.groupBy("slice", "shared").agg(F.count(F.lit(1)).alias("n_here")).filter(F.col("n_here") > max_bucket)
+    crowds = cut(crowds)
+    crowded = not crowds.isEmpty()
+    here, there = stored, asking
+    if crowded:
+        few = crowds.drop("n_here")  # at most n * slices / max_bucket rows
+        few = F.broadcast(few) if n * len(plan) < max_bucket * SMALL_ROWS else few
+        here, there = (t.join(few, ["slice", "shared"], "left_anti") for t in (stored, asking))
+    differ = F.col("x.h").bitwiseXOR(F.col("y.h"))
+    distance = F.bit_count(differ)
+    first = F.coalesce(*[F.when(F.bit_count(differ.bitwiseAND(big(p.mask))) <= p.radius, F.lit(k)) for k, p in enumerate(plan)])
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("slice", "shared")]
+    pairs = (
+        there.alias("x").join(here.alias("y"), same[0] & same[1])
+        .filter((distance <= max_distance) & (~F.col("own") | (F.col("x.h") < F.col("y.h"))) & (first == F.col("x.slice")))
+        .select(
+            F.least("x.owner", "y.owner").alias("a"), F.greatest("x.owner", "y.owner").alias("b"),
+            distance.cast("int").alias("distance"),
+        )
     )
+    if not crowded:
+        return pairs
+    # Keys of different slices share no number: a slice's number is part of its bucket's name.
+    meeting = asking.join(few, ["slice", "shared"], "left_semi")
+    entries = meeting.select(F.col("slice").cast("bigint").alias("node"), "shared", "h", "owner").distinct()
+    return pairs.unionByName(_cut_finer(entries, max_distance, max_bucket, hot_rows)).distinct()
+
+
+def _cut_finer(entries: DataFrame, max_distance: int, max_bucket: int, hot_rows: int) -> DataFrame:
+    """Near pairs among the hashes ``h`` that meet in a bucket ``(node, shared)``.
+
+    Two hashes within ``d`` agree fully on one of any ``d + 1`` slices, so a bucket above ``max_bucket`` is cut
+    by the bits that vary inside it, and so on. Where the varying bits are too few for another cut to pay, the
+    bucket is a dense cluster of near hashes; its pairs are formed by many tasks, each taking a share of one side.
+    """
+    fan_out = max_distance + 1
     found = []
     while True:
         sizes = entries.groupBy("node", "shared").agg(
@@ -280,7 +353,10 @@ def tolerance_sweep(
     # Small numbers of their own, so that a node and a level fit into one number whatever the ids are.
     sigs = cut(sigs.withColumn("rep", F.monotonically_increasing_id()))
     width = len(distances)
+    # Of the many pairs of a wide tolerance, those of a lightest forest join the same groups at any tolerance.
     edges = representative_edges(sigs, max(distances), max_bucket, hot_rows)
+    edges = cut(contract(edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "distance"), "distance"))
+    edges = edges.withColumnsRenamed({"u": "a", "v": "b"})
     levels = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(d).alias("d")) for k, d in enumerate(distances)])
     leveled = edges.withColumn("level", F.explode(levels)).filter(
         "distance <= level.d and level.d > 0"

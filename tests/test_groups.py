@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkcurate.functions import hashing as H
 from sparkcurate.operators import grouping as G
-from sparkcurate.operators.components import connected_components
+from sparkcurate.operators.components import connected_components, contract
 from sparkcurate.operators.ranking import hash_rank, prefix_scan
 from sparkcurate.operators.skew import attach
 
@@ -87,10 +88,30 @@ def test_band_widths():
 
 @given(st.integers(1, 12), st.lists(st.integers(0, 63), max_size=12, unique=True), st.integers(1, 10**12))
 @settings(max_examples=60, deadline=None)
-def test_start_masks_keep_every_close_pair_together(d, flips, n):
-    """At any depth some mask is untouched by at most d flips."""
+def test_search_plan_keeps_every_close_pair_together(d, flips, n):
+    """However many hashes there are, d flips leave some slice within its radius."""
     x = sum(1 << b for b in flips[:d])
-    assert any(m & x == 0 for m in G.start_masks(min(n, 10**7), d, 2000))
+    plan, entries, _ = G.search_plan(n, d)
+    assert any((p.mask & x).bit_count() <= p.radius for p in plan)
+    assert sum(p.mask for p in plan) == H.FULL_MASK
+    if d <= 12 and max(p.mask.bit_count() for p in plan) < 17:
+        assert all(len(p.ball) == len(set(p.ball)) <= G.MAX_BALL for p in plan)
+
+
+def test_entries_of_a_wide_search():
+    """Entries written per hash at 12 bits: stated in search_plan."""
+    assert [G.search_plan(n, 12)[1] for n in (10**4, 10**5, 10**6, 10**9)] == [35, 154, 556, 556]
+
+
+def test_a_million_hashes_within_four_bits(spark):
+    """Each planted pair comes out, once, and nothing else does."""
+    rng = np.random.default_rng(8)
+    hashes = rng.integers(-(2**63), 2**63 - 1, 1_000_000)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, 4, replace=False)) for _ in range(50)], np.uint64)
+    hashes[-50:] = (hashes[:50].astype(np.uint64) ^ flips).astype(np.int64)
+    df = spark.createDataFrame(pd.DataFrame({"owner": np.arange(len(hashes)), "h": hashes}))
+    got = sorted(map(tuple, G.near_pairs(df, 4).collect()))
+    assert got == [(k, 999_950 + k, 4) for k in range(50)]
 
 
 def test_grid_hash_and_orbit(spark):
@@ -169,6 +190,35 @@ def test_components_on_hard_shapes(spark, hot_rows):
     assert got == want
 
 
+@pytest.mark.parametrize("weight", [None, "w"])
+@pytest.mark.parametrize("most", [7, 10**6])
+def test_contract_keeps_components(spark, weight, most):
+    """Fewer edges join the same nodes, with a weight at every bound on it; batches and limits change nothing."""
+    rng = random.Random(9)
+    edges = [(a, b, rng.randrange(5)) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(150)) if a != b]
+    df = spark.createDataFrame(edges, "u bigint, v bigint, w int").repartition(3)
+    kept = list(map(tuple, contract(df, weight, most).collect()))
+    assert len(kept) <= len(edges) and (not weight or set(kept) <= set(edges))
+    assert weight or most < 10 or len(kept) <= 3 * 59
+    for bound in range(5) if weight else [9]:
+        within = lambda rows: [e[:2] for e in rows if len(e) < 3 or e[2] <= bound]
+        assert reachable(range(60), within(kept)) == reachable(range(60), within(edges))
+    assert contract(df.filter("false"), weight).collect() == []
+
+
+def test_a_star_and_a_path_need_few_rounds(spark, monkeypatch):
+    from sparkcurate.operators import components as CC
+
+    rounds, real = [], CC._progress
+    monkeypatch.setattr(CC, "_progress", lambda e: rounds.append(real(e)) or rounds[-1])
+    ids = spark.range(20_000)
+    for edges, most in ((ids.selectExpr("0L as a", "id + 1 as b"), 0), (ids.selectExpr("id as a", "id + 1 as b"), 3)):
+        rounds.clear()
+        nodes = spark.range(20_001).withColumnRenamed("id", "node")
+        assert connected_components(nodes, edges).filter("component <> 0").count() == 0
+        assert len(rounds) - 1 <= most
+
+
 def test_stats_and_dense_ids(spark):
     rows = [(k, k // 3 * 3) for k in range(9)] + [(100, 100)]
     groups = spark.createDataFrame(rows, "id bigint, group_id bigint")
