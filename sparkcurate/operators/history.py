@@ -118,9 +118,12 @@ def early_stop(history: DataFrame, patience: int, epoch: str = "epoch", metric:
     An epoch improves when its metric is strictly above all earlier ones and above -1. Training
     stops at the first epoch with ``patience`` misses since the last improvement; later epochs
     are not kept. Three running aggregates over one cut of the epochs into buckets, so one model may
-    hold any share of the rows; hand in no more columns than needed, they are stored on the way.
+    hold any share of the rows. What is stored between them is model, epoch, metric and the aggregates; other
+    columns are joined back at the end, which takes (model, epoch) to be unique.
     """
-    cut_once = into_buckets(history, epoch)
+    keys = ["model", epoch]
+    rest = [c for c in history.columns if c not in (*keys, metric)]
+    cut_once = into_buckets(history.select(*keys, metric), epoch)
     scan = lambda df, aggs: prefix_scan(df, ["model"], [epoch], aggs)
     first = scan(cut_once, {"_seen": ("count", F.lit(1)), "_best": ("max", F.col(metric))})
     marked = first.withColumn("position", F.col("_seen") + 1).withColumn(
@@ -130,7 +133,10 @@ def early_stop(history: DataFrame, patience: int, epoch: str = "epoch", metric:
     since = F.col("position") - F.coalesce("_last", F.lit(0))
     counted = second.withColumn("misses", F.when(F.col("improved"), F.lit(0)).otherwise(since))
     third = scan(store(counted), {"_stops": ("count", F.when((F.col("misses") >= patience), 1))})
-    return third.withColumn("kept", F.col("_stops") == 0).drop("_seen", "_best", "_last", "_stops", "_bucket")
+    done = third.withColumn("kept", F.col("_stops") == 0).drop("_seen", "_best", "_last", "_stops", "_bucket")
+    if not rest:
+        return done
+    return history.join(done.drop(metric), keys).select(*history.columns, "position", "improved", "misses", "kept")
 
 
 def training_summary(stopped: DataFrame, epoch: str = "epoch", metric: str = "val_f1") -> DataFrame:

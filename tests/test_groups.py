@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from sparkcurate.functions import hashing as H
 from sparkcurate.operators import grouping as G
 from sparkcurate.operators.components import connected_components, contract
-from sparkcurate.operators.ranking import hash_rank, prefix_scan
+from sparkcurate.operators import ranking
+from sparkcurate.operators.ranking import hash_rank, into_buckets, prefix_scan
 from sparkcurate.operators.skew import attach
 
 
@@ -243,6 +244,27 @@ def test_attach_with_a_hot_key(spark, how):
     assert sorted(salted.columns) == columns
 
 
+def test_as_many_buckets_as_asked(spark):
+    """More buckets than one list of cuts may have: cut in two levels, even to a tenth, order kept."""
+    n, asked = 1_000_000, 20_000
+    df = spark.range(n).select(F.xxhash64("id").cast("double").alias("x"), F.lit(1).alias("one"))
+    cut = into_buckets(df, "x", asked)
+    sizes = cut.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).toPandas()
+    assert abs(len(sizes) - asked) <= 0.1 * asked and sizes.n.sum() == n and sizes.n.max() <= 4 * n / asked
+    sizes = sizes.sort_values("_bucket")
+    assert (sizes.high.to_numpy()[:-1] < sizes.low.to_numpy()[1:]).all()
+
+
+def test_ties_are_parted_by_the_next_column(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "MOST_CUTS", 7)
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, 5.0).otherwise(F.col("id") % 90).alias("x"), F.lit("g").alias("g"))
+    cut = into_buckets(df, ["x", "id"], 40)
+    assert cut.groupBy("_bucket").count().agg(F.max("count")).first()[0] <= 4 * 3000 / 40
+    got = prefix_scan(cut, ["g"], ["x", "id"], {"n": ("count", F.lit(1))}).collect()
+    assert [r.n for r in sorted(got, key=lambda r: (r.x, r.id))] == list(range(3000))
+    assert into_buckets(df.filter("false"), ["x", "id"], 40).count() == 0
+
+
 def test_hash_rank_and_prefix_scan(spark):
     rng = random.Random(5)
     rows = [(k, "hot" if rng.random() < 0.7 else rng.choice("abc"), rng.randrange(50)) for k in range(400)]
