@@ -15,12 +15,13 @@ Candidates are then verified exactly by dynamic programming over the words aroun
 
 Windows that cannot match are not embedded, which loses nothing: each word that occurs in no item needs
 an edit of its own, and each edit spoils at most two of the item's n - 1 pairs of neighbouring words, so
-a window needs at least n - 1 - 2k pairs that occur in some item. Windows may run over both ends of a
+a window needs at least n - 1 - 2k pairs that occur in some item of that length. Windows may run over both ends of a
 text, by as many words as an item of their length may have lost: those count as words of no item.
 
 Scale: documents are read once, in place, without any shuffle, one pass for each block of items. A block
 holds at most ``BLOCK_WORDS`` words of items, which bounds what is sent to the executors whatever the
-size of the benchmark. Each text is searched whole.
+size of the benchmark: a block's index is built in the driver and sent once to every Python worker, about 64
+bytes a word. Each text is searched whole.
 
 Defined results: null or empty texts and items without words match nothing; items shorter than
 1 / ``EDITS`` words must occur exactly; repeated documents or items each get their own row; a text that
@@ -152,6 +153,13 @@ class Index:
         self.shift = np.uint64(64 - max(16, int(len(flat_pairs)).bit_length() + 5))
         self.pairs = np.zeros(1 << (64 - int(self.shift)), bool)
         self.pairs[flat_pairs >> self.shift] = True
+        #: Each pair with a bit for every length of the items that hold it; beyond 64 lengths, some share one.
+        self.bit = {n: np.uint64(i % 64) for i, n in enumerate(sorted(by_length))}
+        bits = [np.full(len(p), np.uint64(1) << self.bit[len(ids)]) for p, (_, ids) in zip(pairs, self.items)]
+        self.pair_keys, inverse = np.unique(flat_pairs, return_inverse=True)
+        self.pair_lengths = np.zeros(len(self.pair_keys), np.uint64)
+        if bits:
+            np.bitwise_or.at(self.pair_lengths, inverse, np.concatenate(bits))
         #: length -> (walk, sample, sorted keys, items in that order)
         self.tables: dict[int, list[tuple[int, int, np.ndarray, np.ndarray]]] = {}
         pieces: dict[int, list[tuple[np.uint64, int, int]]] = defaultdict(list)
@@ -228,8 +236,13 @@ class Index:
         no item and larger than any limit for what parts two texts."""
         before = np.concatenate([[0], np.cumsum(weight, dtype=np.int64)])
         known = (flat[:-1] != OTHER) & (flat[1:] != OTHER)
-        known[known] = self.pairs[pair_hash(flat[:-1][known], flat[1:][known]) >> self.shift]
+        marks = pair_hash(flat[:-1][known], flat[1:][known])
+        known[known] = self.pairs[marks >> self.shift]
         pairs_before = np.concatenate([[0], np.cumsum(known, dtype=np.int32)]).astype(np.int32)
+        at = np.flatnonzero(known)
+        marks = pair_hash(flat[at], flat[at + 1])
+        row = np.minimum(np.searchsorted(self.pair_keys, marks), max(0, len(self.pair_keys) - 1))
+        held = np.where(self.pair_keys[row] == marks, self.pair_lengths[row], np.uint64(0)) if len(at) else marks
         sums, unroll = running(flat)
         passed = []
         for n in sorted(self.tables, reverse=True):
@@ -239,6 +252,9 @@ class Index:
             last = len(flat) - n + 1
             starts = np.flatnonzero(pairs_before[n - 1 :][:last] - pairs_before[:last] >= n - 1 - 2 * k)
             starts = starts[before[starts + n] - before[starts] <= k]
+            if len(starts) and n > 1:  # pairs of items of this very length
+                own = at[held >> self.bit[n] & np.uint64(1) > 0]
+                starts = starts[np.searchsorted(own, starts + n - 1) - np.searchsorted(own, starts) >= n - 1 - 2 * k]
             if len(starts):
                 passed.append((np.full(len(starts), n), starts))
         pairs = [*self.whole_pieces(sums, unroll, owner)]
