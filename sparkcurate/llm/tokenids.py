@@ -33,7 +33,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 #: Ids after which a segment is closed.
 SEGMENT_IDS = 1 << 20
 #: Pieces of text whose ids a worker remembers; there are two generations of this size.
-CACHED_PIECES = 300_000
+CACHED_PIECES = 500_000
 SAMPLE = 256
 SEGMENTS = "segment long, n_docs long, n_tokens long, doc_ids array<long>, ids binary, id_bytes int, bounds binary"
 
@@ -123,14 +123,29 @@ class EliasFano:
         return ((places - np.arange(self.n)) << k) + low
 
 
+class Memory(dict):
+    """Ids of pieces, worked out where they are asked for first; an older generation is still looked up."""
+
+    def __init__(self, learn: Callable[[str], bytes], old: Memory | None = None):
+        super().__init__({"": b""})
+        self.learn, self.old = learn, dict(old or ())
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        self[piece] = found = self.learn(piece) if found is None else found
+        return found
+
+
 class Encoder:
-    """Texts to packed ids. With byte-level vocabularies, a text is cut before each space at which its
-    tokens surely part, and the ids of pieces seen before are taken from memory; words of letters go
+    """Texts to packed ids. With byte-level vocabularies, a text is cut before each space, and around lone full
+    stops, commas and line breaks, where its tokens surely part, and the ids of pieces seen before are taken from memory; words of letters go
     straight to the library's merges. A text with white space that could join tokens across such a
     cut, or with a special token's string, is encoded in one go, as is every text with others."""
 
     #: A space before white space, or at the end, may belong to one token with what is around it.
     JOINED = re.compile(r" (?:\s|$)")
+    #: A full stop, comma or line break that may be one token with its neighbour, which no text has that is cut there.
+    MARKS = re.compile(r"[.,\n](?:(?<=[\W_][.,])|(?<=\s\n)|(?<=[.,])(?=[^\w\s]|_)|(?<=\n)(?=\s))")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel work
@@ -142,8 +157,7 @@ class Encoder:
         self.merges = self.tokenizer.model
         self.letters = self._byte_letters()
         self.code = {"<u2": "H", "<u4": "I"}[self.type]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young = Memory(self.learn)
 
     def _byte_letters(self) -> dict[int, str] | None:
         """The letter that stands for each byte, as the library writes them; None if the tokenizer is not
@@ -163,7 +177,8 @@ class Encoder:
 
     def word(self, piece: str) -> bytes:
         """Ids of letters with at most one space before them, which are never parted further."""
-        ids = [t.id for t in self.merges.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        spelled = piece.replace(" ", self.letters[32]) if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.merges.tokenize(spelled)]
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def direct(self, texts: list[str]) -> list[bytes]:
@@ -187,45 +202,27 @@ class Encoder:
                 out.append(half)
         return out
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Remember the ids of pieces, from those of their parts."""
-        young, old, whole = self.young, self.old, {}
-        others = set()
-        for piece in pieces:
-            if piece in old:
-                young[piece] = old[piece]
-                continue
-            parts = self.parts(piece)
-            if len(parts) > 1:
-                whole[piece] = parts
-            for part in parts:
-                if part in young:
-                    continue
-                if part in old:
-                    young[part] = old[part]
-                elif part.removeprefix(" ").isalpha():
-                    young[part] = self.word(part)
-                else:
-                    others.add(part)
-        fresh = sorted(others)
-        young.update(zip(fresh, self.direct(fresh)))
-        for piece, parts in whole.items():
-            young[piece] = b"".join([young[part] for part in parts])
+    def learn(self, piece: str) -> bytes:
+        """The ids of a piece that is not in memory, from those of its parts."""
+        if piece.removeprefix(" ").isalpha():
+            return self.word(piece)
+        parts = self.parts(piece)
+        return b"".join(map(self.young.__getitem__, parts)) if len(parts) > 1 else self.direct(parts)[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > CACHED_PIECES:
-            self.old, self.young = self.young, {}
-        cut, unknown = [], set()
+        out: list[bytes | None] = []
         for text in texts:
             if not self.letters or "\0" in text or self.JOINED.search(text) or any(s in text for s in self.special):
-                cut.append(None)
+                out.append(None)
                 continue
+            if len(self.young) > CACHED_PIECES:
+                self.young = Memory(self.learn, self.young)
+            if text[:1] not in ".,\n" and text[-1] != "\n" and not self.MARKS.search(text):
+                text = text.replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0")
             pieces = text.replace(" ", "\0 ").split("\0")
-            cut.append(pieces)
-            unknown |= set(pieces).difference(self.young)
-        self.learn(unknown)
-        whole = iter(self.direct([t for t, pieces in zip(texts, cut) if pieces is None]))
-        return [next(whole) if p is None else b"".join(map(self.young.__getitem__, p)) for p in cut]
+            out.append(b"".join(map(self.young.__getitem__, pieces)))
+        whole = iter(self.direct([t for t, ids in zip(texts, out) if ids is None]))
+        return [next(whole) if ids is None else ids for ids in out]
 
 
 @cache
