@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
 A few hundred signatures, regular expressions over the words of a text, name licenses. A signature
-is only tried where its keyword is among the words. Detections are intervals of the text; one that
+is only tried where its keyword is among the words and the text holds all of its fixed parts. Detections are intervals of the text; one that
 lies inside another of the same or higher priority is suppressed, so "GNU Lesser General Public
 License" does not also count as the plain one, and what is left gives labels and a score.
 
@@ -20,6 +20,8 @@ alike; an empty table gives an empty result; other columns pass through ``scan``
 
 from __future__ import annotations
 
+import os
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -130,9 +132,33 @@ def signatures() -> list[Signature]:
     return found
 
 
-def words_of(text: Column) -> Column:
-    lower = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
+def must_hold(pattern: str) -> list[str]:
+    """Plain strings that any match of the pattern holds: stretches outside all groups, and what the choices
+    of a group that is not optional have in common at their start."""
+    held, run, at = [], "", 0
+    while at < len(pattern):
+        if pattern[at] != "(":
+            run, at = run + pattern[at], at + 1
+            continue
+        end, depth = at, 0
+        while True:
+            depth += (pattern[end] == "(") - (pattern[end] == ")")
+            end += 1
+            if not depth:
+                break
+        held.append(run)
+        run, group, at = "", pattern[at + 3 : end - 1], end
+        if pattern[at : at + 1] == "?":
+            at += 1
+        elif choice := re.fullmatch(r" \(\?:([^()]*)\) ", group):
+            held.append(" " + os.path.commonprefix(choice[1].split("|")))
+        elif "(" not in group:
+            held.append(os.path.commonprefix(group.split("|")))
+    return sorted({h for h in [*held, run] if h.strip()}, key=len, reverse=True)
+
+
+def lowered(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
 def phrase_places(words: Column, phrases=PHRASES) -> Column:
@@ -157,7 +183,7 @@ def detections(words: Column, rules: list[Signature]) -> Column:
         *[
             F.struct(
                 F.lit(s.keyword).alias("keyword"), F.lit(s.pattern).alias("pattern"), F.lit(s.priority).alias("priority"),
-                F.lit(i).alias("rule"), F.lit(s.label).alias("label"), F.lit(s.weight).alias("weight"),
+                F.lit(i).alias("rule"), F.lit(s.label).alias("label"), F.lit(s.weight).alias("weight"), F.array(*map(F.lit, must_hold(s.pattern))).alias("holds"),
             )
             for i, s in enumerate(rules)
         ]
@@ -167,28 +193,36 @@ def detections(words: Column, rules: list[Signature]) -> Column:
     kind = "array<struct<start:int,back:int,priority:int,rule:int,label:string,weight:double>>"
 
     def intervals(text: Column, rule: Column) -> Column:
-        hits = F.regexp_extract_all(text, rule.pattern, F.lit(0))
-        gaps = F.split(text, rule.pattern, -1)
-        none = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-        def step(acc: Column, i: Column) -> Column:
-            start = acc.at + F.length(gaps[i])
-            end = start + F.length(hits[i])
-            found = F.struct(
-                start.alias("start"), (-end).alias("back"), rule.priority.alias("priority"), rule.rule.alias("rule"),
+        """One pass of the expression for the hits and one for what lies between; both are bound, so that no
+        hit runs them again."""
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+        def ends(parts: Column) -> Column:
+            lengths = F.zip_with(parts.hits, parts.gaps, lambda h, g: F.struct(F.length(h).alias("hit"), F.length(g).alias("gap")))
+            lengths = F.filter(lengths, lambda x: x.hit.isNotNull())  # there is one gap more
+            step = lambda acc, x: F.struct((acc.at + x.gap + x.hit).alias("at"), F.array_append(acc.out, acc.at + x.gap + x.hit).alias("out"))
+            return F.aggregate(lengths, none, step, lambda acc: acc.out)
+
+        def places(parts: Column) -> Column:
+            one = lambda end, hit: F.struct(
+                (end - F.length(hit)).alias("start"), (-end).alias("back"), rule.priority.alias("priority"), rule.rule.alias("rule"),
                 rule.label.alias("label"), rule.weight.alias("weight"),
             )
-            return F.struct(end.alias("at"), F.array_append(acc.out, found).alias("out"))
+            return let(ends(parts), lambda found: F.zip_with(found, parts.hits, one))
 
-        order = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(order, none, step, lambda acc: acc.out)
+        hits = F.regexp_extract_all(text, rule.pattern, F.lit(0))
+        return let(
+            hits, lambda found: F.when(F.size(found) == 0, F.array().cast(kind)).otherwise(
+                let(F.struct(found.alias("hits"), F.split(text, rule.pattern, -1).alias("gaps")), places)
+            )
+        )
 
     return let(
         F.struct(spaced.alias("text"), keywords.alias("keywords")),
         lambda doc: F.sort_array(
             F.flatten(
                 F.transform(
-                    F.filter(table, lambda r: F.array_contains(doc.keywords, r.keyword)),
+                    F.filter(table, lambda r: F.array_contains(doc.keywords, r.keyword) & F.forall(r.holds, lambda part: F.contains(doc.text, part))),
                     lambda r: intervals(doc.text, r),
                 )
             )
@@ -228,18 +262,23 @@ def scan(docs: DataFrame, text: str = "text", out: str = "license", rules: list[
     rules = signatures() if rules is None else rules
     priorities = sorted({s.priority for s in rules})
     gate = "(?:" + "|".join(sorted({s.keyword for s in rules} | {p[0][-1] for p in PHRASES})) + ")"
-    lower = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
     nothing = F.struct(
         F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n")
     )
+    no_places = F.array().cast("array<struct<start:bigint,label:string>>")
 
     def judge(words: Column) -> Column:
-        suspect = lower.rlike(gate)
-        no_places = F.array().cast("array<struct<start:bigint,label:string>>")
+        some = F.size(words) > 0
         return F.struct(
-            F.size(words).cast("long").alias("n_words"),
-            F.when(suspect & (F.size(words) > 0), phrase_places(words)).otherwise(no_places).alias("places"),
-            F.when(suspect & (F.size(words) > 0), resolve(detections(words, rules), priorities)).otherwise(nothing).alias("found"),
+            F.size(words).cast("long").alias("n_words"), F.when(some, phrase_places(words)).otherwise(no_places).alias("places"),
+            F.when(some, resolve(detections(words, rules), priorities)).otherwise(nothing).alias("found"),
+        )
+
+    def either(lower: Column) -> Column:
+        # Most texts hold no keyword: their words are counted, not taken out.
+        plain = F.struct(
+            F.regexp_count(lower, F.lit(WORD)).cast("long").alias("n_words"), no_places.alias("places"), nothing.alias("found")
         )
+        return F.when(lower.rlike(gate), let(F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)), judge)).otherwise(plain)
 
-    return docs.withColumn(out, let(words_of(F.col(text)), judge))
+    return docs.withColumn(out, let(lowered(F.col(text)), either))

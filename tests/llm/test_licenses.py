@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -49,3 +50,33 @@ def test_scan_equals_a_plain_one(spark, edges, none):
 def test_inner_names_are_suppressed(spark):
     docs = spark.createDataFrame([("GNU Lesser General Public License version 3",)], "text string")
     assert L.scan(docs).select(F.col("license.found.labels")).first()[0] == ["lgpl"]
+
+
+def test_fixed_parts_are_in_every_match():
+    rng = random.Random(2)
+    rules = L.signatures()
+    vocabulary = sorted({w for s in rules for w in re.findall(r"[a-z0-9]+", s.pattern)})
+    matched = 0
+    for s in rules:
+        assert L.must_hold(s.pattern)
+        words = re.findall(r"[a-z0-9]+", s.pattern)
+        for _ in range(20):  # words of the pattern in order, some left out, some strange
+            some = [w if rng.random() < 0.97 else rng.choice(vocabulary) for w in words if rng.random() < 0.8]
+            text = "".join(f" {w} " for w in some)
+            if re.search(s.pattern, text):
+                matched += 1
+                assert all(part in text for part in L.must_hold(s.pattern))
+    assert matched > 300
+    assert L.must_hold(" mit (?: (?:license|licence) )(?: x )?") == [" licen", " mit "]
+
+
+def test_many_hits_in_one_text(spark):
+    """Time follows the number of hits: no expression runs once a hit."""
+    times = []
+    for n in (1000, 8000):
+        docs = spark.createDataFrame([("mit license " * n,)], "text string")
+        began = time.perf_counter()
+        found = L.scan(docs).select(F.size("license.places").alias("n"), F.col("license.found.n").alias("left")).first()
+        times.append(time.perf_counter() - began)
+        assert found.n == n and found.left >= n
+    assert times[1] < 5 + 8 * times[0]
