@@ -36,6 +36,11 @@ def label_from_path(path: Column) -> Column:
     return deciding_dir(path)["label"]
 
 
+def skipped_source(source: Column) -> Column:
+    """Whether a source is left out of staging: listed by name, by prefix, or staged by its keep list alone."""
+    return source.isin(*K.SKIP_SOURCES, K.KEEP_LIST_SOURCE) | source.startswith(K.SKIP_SOURCE_PREFIX)
+
+
 def flat_name(path: Column) -> Column:
     """``source__dirs_joined_file``: the whole relative path below the source in one name."""
     parts = X.path_parts(path)

@@ -5,6 +5,8 @@ Every random choice is an order by ``md5(seed:key)``, so it survives re-partitio
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,10 @@ from sparkcurate.operators.ranking import hash_rank, prefix_scan
 from sparkcurate.operators.skew import HOT_ROWS, attach
 
 
+#: Numbers that a draw picks from to choose between a slot's two classes.
+DRAW_RANGE = 1 << 32
+
+
 def group_summary(groups: DataFrame) -> DataFrame:
     """Per group: ``group_key`` (smallest path), ``n``, ``label`` (null when contradictory)."""
     same = F.min("label") == F.max("label")
@@ -118,14 +124,32 @@ def running_index(
     )
 
 
+def alias_table(weights: list[float]) -> list[tuple[int, int]]:
+    """``(threshold, other)`` per class, after Walker: a draw picks a slot evenly and a number below 2**32;
+    below the slot's threshold the slot's own class is drawn, else ``other``. Shares are exact to 2**-32."""
+    if any(not 0 <= w < float("inf") for w in weights) or not any(weights):
+        raise ValueError("weights must be finite, not negative, and not all 0")
+    total = sum(map(Fraction, weights))
+    share = [Fraction(w) * len(weights) / total for w in weights]
+    table = [(DRAW_RANGE, k) for k in range(len(weights))]
+    low, high = ([k for k, s in enumerate(share) if (s < 1) == below] for below in (True, False))
+    while low and high:
+        small, large = low.pop(), high.pop()
+        table[small] = (int(share[small] * DRAW_RANGE), large)
+        share[large] -= 1 - share[small]
+        (low if share[large] < 1 else high).append(large)
+    return table
+
+
 def balanced_resample(
-    rows: DataFrame, key: str = "path", by: str = "label", seed: int = K.SPLIT_SEED
+    rows: DataFrame, key: str = "path", by: str = "label", seed: int = K.SPLIT_SEED, weights: dict | None = None
 ) -> DataFrame:
-    """As many draws with replacement as there are rows, every present class equally likely and
-    every row of a class equally likely inside it.
+    """As many draws with replacement as there are rows, and every row of a class equally likely inside it.
 
-    Draw ``k`` picks class and position by md5 and is then an equi-join on (class, position):
-    no cumulative weights and no sort over the table. Class sizes are one row per class.
+    Without ``weights`` every present class is equally likely; with them, classes are drawn in proportion to their
+    weight (of ``class_weights``, say), by an alias table, and those without one never. Draw ``k`` picks class and
+    position by md5 and is then an equi-join on (class, position): no cumulative weights and no sort over the table.
+    Class sizes are one row per class.
     """
     hashed = rows.withColumn("_hash", X.seeded_hash(F.col(key), seed))
     indexed = (
@@ -133,16 +157,24 @@ def balanced_resample(
         .withColumn("_position", F.col("_rank") - 1)
         .drop("_hash", "_rank")
     )
-    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_class")).orderBy(by).collect()
-    n_rows = sum(r["n_class"] for r in sizes)
+    found = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_class")).orderBy(by).collect()
+    n_rows = sum(r["n_class"] for r in found)
+    sizes = [r for r in found if weights is None or weights.get(r[by], 0)]
+    if not sizes:
+        return rows.filter("false").select(F.lit(0).cast("bigint").alias("draw"), *rows.columns)
     names = F.array(*[F.lit(r[by]) for r in sizes])
     counts = F.array(*[F.lit(r["n_class"]) for r in sizes])
     hashed_draw = F.md5(F.concat(F.lit(f"{seed}:draw:"), F.col("id").cast("string")))
-    spark = rows.sparkSession
+    slot = F.pmod(X.hex_number(F.col("_h"), 1, 8), F.lit(len(sizes))).cast("int")
+    if weights is not None:
+        table = alias_table([weights[r[by]] for r in sizes])
+        limits, others = (F.array(*map(F.lit, column)) for column in zip(*table))
+        own = X.hex_number(F.col("_h"), 22, 8) < F.get(limits.cast("array<bigint>"), slot)
+        slot = F.when(own, slot).otherwise(F.get(others, slot))
     draws = (
-        spark.range(n_rows)
+        rows.sparkSession.range(n_rows)
         .withColumn("_h", hashed_draw)
-        .withColumn("_class", F.pmod(X.hex_number(F.col("_h"), 1, 8), F.lit(len(sizes))).cast("int"))
+        .withColumn("_class", slot)
         .select(
             F.col("id").alias("draw"),
             names[F.col("_class")].alias(by),

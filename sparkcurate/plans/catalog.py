@@ -355,11 +355,7 @@ def skip_sources(spark, sf_dir):
         .when(k.between(3, 5), F.concat(F.lit(K.SKIP_SOURCE_PREFIX), F.col("source")))
         .otherwise(F.col("source")),
     )
-    staged = tagged.filter(
-        ~F.col("source").isin(*K.SKIP_SOURCES, K.KEEP_LIST_SOURCE)
-        & ~F.col("source").startswith(K.SKIP_SOURCE_PREFIX)
-        & X.has_extension(F.col("path"))
-    )
+    staged = tagged.filter(~L.skipped_source(F.col("source")) & X.has_extension(F.col("path")))
     return staged.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -521,6 +517,16 @@ def balanced_resample(spark, sf_dir):
     return SP.balanced_resample(rows).select("draw", "label", "id")
 
 
+#: Six classes of very different weight; the others are never drawn.
+DRAW_WEIGHTS = {0: 5.0, 1: 0.5, 2: 3.0, 3: 1.0, 4: 2.25, 5: 0.125}
+
+
+@query
+def weighted_resample(spark, sf_dir):
+    rows = A.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.concat(F.lit("vec/"), F.col("vec_id")).alias("path"))
+    return SP.balanced_resample(store(rows), weights=DRAW_WEIGHTS).select("draw", "label", "vec_id")
+
+
 @query
 def same_class_fill(spark, sf_dir):
     """Every document has a label by its source; one without a quality label is unreadable."""

@@ -444,6 +444,18 @@ cls AS (SELECT label, count(*) AS cn, row_number() OVER (ORDER BY label) - 1 AS
 dr AS (SELECT i AS draw, md5('42:draw:' || i) AS h FROM (SELECT unnest(range((SELECT count(*) FROM ld))) AS i))
 SELECT draw, k.label, k.id FROM dr JOIN cls ON ci = ('0x' || substr(h, 1, 8))::bigint % (SELECT count(*) FROM cls)
 JOIN k ON k.label = cls.label AND k.rk - 1 = ('0x' || substr(h, 9, 13))::bigint % cls.cn"""
+# Slots in order of the class; a slot's threshold is its own share of an even sixth, filled up by one other class.
+_SLOTS = ", ".join(
+    f"({slot}, {own}, {limit}, {list(Q.DRAW_WEIGHTS)[other]})"
+    for slot, (own, (limit, other)) in enumerate(zip(Q.DRAW_WEIGHTS, Q.SP.alias_table(list(Q.DRAW_WEIGHTS.values()))))
+)
+ORACLES["weighted_resample"] = f"""
+WITH ld AS (SELECT vec_id, label, 'vec/' || vec_id AS path FROM embeddings), k AS ({_RANKED}),
+slot(ci, own, lim, other) AS (VALUES {_SLOTS}),
+dr AS (SELECT i AS draw, md5('42:draw:' || i) AS h FROM (SELECT unnest(range((SELECT count(*) FROM ld))) AS i)),
+picked AS (SELECT draw, h, CASE WHEN ('0x' || substr(h, 22, 8))::bigint < lim THEN own ELSE other END AS label
+  FROM dr JOIN slot ON ci = ('0x' || substr(h, 1, 8))::bigint % 6)
+SELECT draw, k.label, k.vec_id FROM picked JOIN k ON k.label = picked.label AND k.rk - 1 = ('0x' || substr(h, 9, 13))::bigint % k.cn"""
 ORACLES["same_class_fill"] = """
 WITH r AS (SELECT d.doc_id AS id, lang, l.doc_id IS NOT NULL AS readable, source || '/' || d.doc_id AS path
            FROM documents d LEFT JOIN labels l USING (doc_id))

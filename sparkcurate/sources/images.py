@@ -6,6 +6,7 @@ helpers for one picture, called batch by batch through Arrow.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 from hashlib import md5
 
@@ -18,27 +19,86 @@ from sparkcurate import constants as K
 from sparkcurate.functions.hashing import square_moves
 
 
-def read_images(spark: SparkSession, root: str) -> DataFrame:
+#: What the files of a format start with: (offset, bytes) pairs.
+MAGIC = {
+    "jpeg": ((0, b"\xff\xd8\xff"),), "png": ((0, b"\x89PNG\r\n\x1a\n"),), "gif": ((0, b"GIF8"),), "bmp": ((0, b"BM"),),
+    "tiff-le": ((0, b"II*\0"),), "tiff-be": ((0, b"MM\0*"),), "webp": ((0, b"RIFF"), (8, b"WEBP")), "avif": ((4, b"ftypavif"),),
+    "heic": ((4, b"ftypheic"),),
+}
+#: Formats that Spark's own image source can read.
+BUILT_IN = ("jpeg", "png", "gif", "bmp", "tiff-le", "tiff-be")
+IMAGE = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+
+
+def format_of(content: Column) -> Column:
+    """Name of the format that a file's first bytes tell; null if none does."""
+    name = F.lit(None).cast("string")
+    for kind, marks in MAGIC.items():
+        same = F.lit(True)
+        for at, mark in marks:
+            same = same & (F.substring(content, at + 1, len(mark)) == F.lit(mark))
+        name = F.when(same, kind).otherwise(name)
+    return name
+
+
+def decode_with(decoders: dict[str, Callable[[bytes], np.ndarray]], path: Column, content: Column, kind: Column) -> Column:
+    """Spark's image struct from file contents, by the decoder of each file's format: bytes to an RGB array of
+    (height, width, 3). Null where there is none for it, or where it fails or returns something else."""
+
+    @F.pandas_udf(IMAGE)
+    def decode(paths: pd.Series, contents: pd.Series, kinds: pd.Series) -> pd.DataFrame:
+        rows = []
+        for origin, data, name in zip(paths, contents, kinds):
+            pixels = None
+            if name in decoders:
+                try:
+                    pixels = np.asarray(decoders[name](bytes(data)))
+                except Exception:  # noqa: BLE001  a decoder's error is a corrupt file, whatever its kind
+                    pixels = None
+            if pixels is None or pixels.ndim != 3 or pixels.shape[2] != 3 or pixels.dtype != np.uint8 or not pixels.size:
+                rows.append((origin, -1, -1, -1, -1, b""))
+            else:  # 16: three channels of unsigned bytes, blue first
+                rows.append((origin, *pixels.shape[:2], 3, 16, pixels[:, :, ::-1].tobytes()))
+        return pd.DataFrame(rows, columns=["origin", "height", "width", "nChannels", "mode", "data"])
+
+    return decode(path, content, kind)
+
+
+def read_images(
+    spark: SparkSession, root: str, decoders: dict[str, Callable[[bytes], np.ndarray]] | None = None
+) -> DataFrame:
     """``path, image, status``: readable, corrupt (cannot be decoded) or unsupported (no decoder
-    for the format here). Nothing is replaced; callers keep the readable ones."""
-    from sparkcurate.functions.text import file_extension
+    for the format here). Nothing is replaced; callers keep the readable ones.
 
+    Spark's image source decodes first. What it cannot read is looked at by its first bytes: a format of ``decoders``
+    (named as in ``MAGIC``) is decoded by the caller's function in Arrow batches. Files are read a second
+    time only if some were left and decoders are given.
+    """
     raw = (
         spark.read.format("image")
         .option("recursiveFileLookup", "true")
         .option("dropInvalid", "false")
         .load(root)
     )
-    path = F.regexp_replace(F.col("image.origin"), "^file:/+", "/")
+    plain = lambda origin: F.regexp_replace(origin, "^file:/+", "/")
+    images = raw.select(plain(F.col("image.origin")).alias("path"), F.col("image").cast(IMAGE).alias("image"))
     failed = F.col("image.height") < 0
-    return raw.select(
-        path.alias("path"),
-        "image",
-        F.when(failed & (file_extension(path) == ".webp"), "unsupported")
-        .when(failed, "corrupt")
-        .otherwise("readable")
-        .alias("status"),
-    )
+    known = images.filter(~failed).withColumn("status", F.lit("readable"))
+    left = images.filter(failed)
+    if not decoders:
+        from sparkcurate.functions.text import file_extension
+
+        foreign = file_extension(F.col("path")).isin(".webp", ".avif", ".heic")
+        return images.withColumn(
+            "status", F.when(failed & foreign, "unsupported").when(failed, "corrupt").otherwise("readable")
+        )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = files.select(plain(F.col("path")).alias("path"), "content").join(left.select("path"), "path", "left_semi")
+    files = files.withColumn("kind", format_of(F.col("content")))
+    decoded = files.withColumn("image", decode_with(decoders, F.col("path"), F.col("content"), F.col("kind")))
+    foreign = F.col("kind").isNotNull() & ~F.col("kind").isin(*BUILT_IN, *decoders)
+    status = F.when(F.col("image.height") >= 0, "readable").when(foreign, "unsupported").otherwise("corrupt")
+    return known.unionByName(decoded.select("path", "image", status.alias("status")))
 
 
 def as_rgb(data: bytes, height: int, width: int, channels: int) -> np.ndarray:

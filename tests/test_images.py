@@ -135,3 +135,32 @@ def test_history_logs(spark, tmp_path):
     logs = FS.read_history(spark, str(tmp_path))
     assert logs.count() == 2
     assert [(r["model"], r["epoch"]) for r in explode_history(logs).collect()] == [("m", 1), ("m", 2)]
+
+
+def test_a_decoder_of_ones_own(spark, tmp_path):
+    """Formats are told by their first bytes; what a decoder cannot read stays corrupt, others unsupported."""
+    def decode(data):
+        side = data[12]
+        if not side:
+            raise ValueError("empty picture")
+        return np.full((side, 2 * side, 3), [10, 20, 30], np.uint8)
+
+    good = b"RIFF\0\0\0\0WEBP"
+    (tmp_path / "a.webp").write_bytes(good + b"\x04")
+    (tmp_path / "named.jpg").write_bytes(good + b"\x02")  # the bytes decide, not the name
+    (tmp_path / "bad.webp").write_bytes(good + b"\x00")
+    (tmp_path / "other.avif").write_bytes(b"\0\0\0\x20ftypavif")
+    (tmp_path / "broken.png").write_bytes(b"\x89PNG\r\n\x1a\nno more")
+    (tmp_path / "note.txt").write_bytes(b"text")
+    found = IM.read_images(spark, str(tmp_path), {"webp": decode})
+    got = {r.path.rsplit("/", 1)[1]: (r.status, r.image.height, r.image.width) for r in found.collect()}
+    assert got == {
+        "a.webp": ("readable", 4, 8), "named.jpg": ("readable", 2, 4), "bad.webp": ("corrupt", -1, -1),
+        "other.avif": ("unsupported", -1, -1), "broken.png": ("corrupt", -1, -1), "note.txt": ("corrupt", -1, -1),
+    }
+    image = found.filter("path like '%a.webp'").first().image
+    assert (IM.as_rgb(image.data, 4, 8, image.nChannels) == [10, 20, 30]).all()
+    orbit = found.filter("status = 'readable'").select(IM.orbit_of(F.col("image")).alias("o")).collect()
+    assert all(len(r.o) == 8 for r in orbit)
+    plain = {r.path.rsplit("/", 1)[1]: r.status for r in IM.read_images(spark, str(tmp_path)).collect()}
+    assert plain["a.webp"] == "unsupported" and plain["named.jpg"] == "corrupt"

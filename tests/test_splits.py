@@ -94,6 +94,33 @@ def test_samples(spark):
     assert sorted(indexes) == list(range(50))
 
 
+def test_alias_table_gives_the_weights():
+    from fractions import Fraction
+
+    for weights in ([1.0], [5.0, 0.5, 3.0, 1.0, 2.25, 0.125], [1.0, 0.0, 3.0], [1e-9, 1.0, 1e9], [2.0, 2.0, 2.0]):
+        table = SP.alias_table(weights)
+        drawn = [Fraction(0)] * len(weights)
+        for slot, (limit, other) in enumerate(table):
+            drawn[slot] += Fraction(limit, SP.DRAW_RANGE)
+            drawn[other] += 1 - Fraction(limit, SP.DRAW_RANGE)
+        for got, w in zip(drawn, weights):
+            assert abs(got / len(weights) - Fraction(w) / sum(map(Fraction, weights))) < Fraction(1, 2**30)
+    for bad in ([0.0, 0.0], [-1.0, 2.0], [float("nan")], [float("inf"), 1.0]):
+        with pytest.raises(ValueError):
+            SP.alias_table(bad)
+
+
+def test_weighted_draws(spark):
+    rows = [(k, f"p{k:04d}", "abcd"[min(k // 100, 3)]) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id bigint, path string, label string")
+    draws = SP.balanced_resample(df, weights={"a": 6.0, "b": 3.0, "c": 0.0, "x": 9.0, "d": 1.0}).collect()
+    shares = {c: sum(r["label"] == c for r in draws) / 3000 for c in "abcd"}
+    assert len(draws) == 3000 and shares["c"] == 0
+    assert abs(shares["a"] - 0.6) < 0.04 and abs(shares["b"] - 0.3) < 0.04 and abs(shares["d"] - 0.1) < 0.03
+    assert len({r["id"] for r in draws if r["label"] == "a"}) > 95  # 1,800 draws reach nearly every row
+    assert SP.balanced_resample(df, weights={"x": 1.0}).count() == 0
+
+
 def test_same_class_fill_goes_round(spark):
     rows = [(0, "a", False), (1, "b", True), (2, "a", True), (3, "a", False), (4, "a", False), (5, "c", False), (6, "b", False)]
     df = spark.createDataFrame(rows, "idx bigint, label string, ok boolean").withColumn("p", F.concat(F.lit("p"), F.col("idx")))
