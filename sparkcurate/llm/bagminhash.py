@@ -50,7 +50,7 @@ BANDS, ROWS = 20, 4
 SIZE = BANDS * ROWS
 BLOCK = 256
 HUB_ROWS = 200
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
 COLUMNS = 20_000  # of a block product at a time
 
 U = np.uint64

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 #: Ids after which a segment is closed.
 SEGMENT_IDS = 1 << 20
 #: Pieces of text whose ids a worker remembers; there are two generations of this size.
-CACHED_PIECES = 500_000
+CACHED_PIECES = 100_000
 SAMPLE = 256
 SEGMENTS = "segment long, n_docs long, n_tokens long, doc_ids array<long>, ids binary, id_bytes int, bounds binary"
 
@@ -128,10 +128,10 @@ class Memory(dict):
 
     def __init__(self, learn: Callable[[str], bytes], old: Memory | None = None):
         super().__init__({"": b""})
-        self.learn, self.old = learn, dict(old or ())
+        self.learn, self.old = learn, {} if old is None else old
 
     def __missing__(self, piece: str) -> bytes:
-        found = self.old.get(piece)
+        found = dict.get(self.old, piece)
         self[piece] = found = self.learn(piece) if found is None else found
         return found
 
@@ -216,6 +216,7 @@ class Encoder:
                 out.append(None)
                 continue
             if len(self.young) > CACHED_PIECES:
+                self.young.old = {}
                 self.young = Memory(self.learn, self.young)
             if text[:1] not in ".,\n" and text[-1] != "\n" and not self.MARKS.search(text):
                 text = text.replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0")
@@ -257,6 +258,7 @@ def _segments(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iter
                     number, docs, parts, size = number + 1, [], [], 0
     if docs:
         yield close()
+    encoder.young.old = {}  # an idle worker holds on to little
 
 
 def write_ids(
