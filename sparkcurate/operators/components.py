@@ -22,7 +22,7 @@ from sparkcurate.operators.skew import HOT_ROWS, attach
 from sparkcurate.session import cut
 
 #: Edges that a task looks at together.
-LOCAL_EDGES = 1_000_000
+LOCAL_EDGES = 250_000
 #: A node with more than this share of all rows is a hub, unless it has only a few rows.
 HUB_SHARE = 1 / 256
 FEW_ROWS = 200
