@@ -113,16 +113,18 @@ def _star(edges: DataFrame, large: bool, hot_rows: int | None) -> DataFrame:
 
 
 def connected_components(
-    nodes: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS
+    nodes: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS, local: bool = True
 ) -> DataFrame:
     """``(node, component)``: the smallest node that can be reached; isolated nodes keep their own.
 
     ``nodes`` has a column ``node``, ``edges`` has ``a`` and ``b``; both are integers.
+    ``local=False`` leaves out ``contract`` and with it all Python workers, for executors short of memory.
     """
+    shrunk = contract if local else lambda rows: rows
     ends = edges.filter("a <> b").select(
         F.greatest("a", "b").cast("bigint").alias("u"), F.least("a", "b").cast("bigint").alias("v")
     )
-    current = cut(contract(ends).distinct())
+    current = cut(shrunk(ends).distinct())
     while True:
         n_edges, unsettled, largest = _progress(current)
         if not unsettled:
@@ -131,7 +133,7 @@ def connected_components(
         hub = min(hot_rows, max(FEW_ROWS, int(2 * n_edges * HUB_SHARE)))
         spread_above = hub if largest > hub else None
         stars = _star(_star(current, True, spread_above), False, spread_above)
-        current = cut(contract(stars).distinct())
+        current = cut(shrunk(stars).distinct())
     found = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.select("node").join(found, "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")
