@@ -300,7 +300,7 @@ def classes(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
         .select(F.col("hub").alias("a"), F.col("node").alias("b"), "left", "right")
     )
     links = store(pairs.mapInArrow(lambda x: _verify_pairs(x, similar), "a long, b long"), "near-links")
-    first = connected_components(met.select("node").distinct(), links)
+    first = connected_components(met.select("node").distinct(), links, local=False)
 
     placed = store(met.join(first, "node"), "near-placed")
     token = F.xxhash64("node")
@@ -323,7 +323,7 @@ def classes(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     more = ready.select("key", "lo", "hi", "node", "component", "side", "text").mapInArrow(
         lambda x: _verify_blocks(x, similar), "a long, b long"
     )
-    final = connected_components(nodes.select("node"), links.unionByName(more))
+    final = connected_components(nodes.select("node"), links.unionByName(more), local=False)
     labelled = nodes.join(final, "node")
     lowest = labelled.groupBy("component").agg(
         F.min("id").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("nodes")
