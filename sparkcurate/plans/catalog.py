@@ -806,6 +806,17 @@ def history_delete(spark, sf_dir):
     return kept.groupBy("predicted_class").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def history_delete_days(spark, sf_dir):
+    """The same delete on a history in folders by day, which rewrites the touched days only."""
+    rows = A.diagnoses(A.table(spark, sf_dir, "events"))
+    path = new_path(spark, "history")
+    FS.append_history(rows, path)
+    FS.delete_history(spark, path, rows.filter("predicted_class = 'error' and confidence < 0.2").select("id"))
+    kept = FS.read_history(spark, path)
+    return kept.groupBy("day", "predicted_class").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("sum_id")).withColumn("day", F.col("day").cast("string"))
+
+
 @query
 def dashboard(spark, sf_dir):
     rows = A.diagnoses(A.table(spark, sf_dir, "events"))
@@ -925,3 +936,12 @@ def stream_dashboard(spark, sf_dir):
     out, progress = new_path(spark, "dashboard"), new_path(spark, "dashboard-progress")
     ST.dashboard_stream(stream, out, progress).awaitTermination()
     return rounded(spark.read.parquet(out), "mean_confidence")
+
+
+@query
+def stream_dashboard_latest(spark, sf_dir):
+    """The batch dashboard over what a stream of decisions holds as the latest ones."""
+    stream = A.diagnoses(ST.read_table_stream(spark, sf_dir, "events.parquet"))
+    out, progress = new_path(spark, "latest"), new_path(spark, "latest-progress")
+    ST.latest_stream(stream, out, progress, K.HISTORY_MAX_LIMIT).awaitTermination()
+    return rounded(HI.dashboard(ST.read_latest(spark, out)), "mean_confidence_pct")

@@ -731,12 +731,16 @@ WITH {DIAG} SELECT id, model_name, predicted_class, {r6('confidence')} AS confid
 FROM dg ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 100"""
 ORACLES["history_delete"] = f"""
 WITH {DIAG} SELECT predicted_class, count(*) AS n FROM dg WHERE NOT (predicted_class = 'error' AND confidence < 0.2) GROUP BY 1"""
+ORACLES["history_delete_days"] = f"""
+WITH {DIAG} SELECT created_at::date::varchar AS day, predicted_class, count(*) AS n, sum(id)::bigint AS sum_id
+FROM dg WHERE NOT (predicted_class = 'error' AND confidence < 0.2) GROUP BY ALL"""
 ORACLES["dashboard"] = f"""
 WITH {DIAG}, l AS (SELECT * FROM dg ORDER BY created_at DESC, id DESC LIMIT 200)
 SELECT predicted_class, predicted_label, count(*) AS n, (SELECT count(*) FROM l) AS n_shown,
   {r6('(SELECT 100.0::double * avg(confidence) FROM l)')} AS mean_confidence_pct FROM l GROUP BY ALL"""
 ORACLES["stream_dashboard"] = f"""
 WITH {DIAG} SELECT predicted_class, count(*) AS n, {r6('avg(confidence)')} AS mean_confidence FROM dg GROUP BY 1"""
+ORACLES["stream_dashboard_latest"] = ORACLES["dashboard"]
 ORACLES["model_catalogue"] = f"""
 WITH {DIAG}, r AS (SELECT model_name AS model FROM dg GROUP BY 1 HAVING count(*) * 4 > (SELECT count(*) FROM dg)),
 cat(model, label) AS (VALUES {values(K.MODEL_LABELS.items())})

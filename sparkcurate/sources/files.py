@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from sparkcurate import constants as K
 from sparkcurate.functions import text as X
+from sparkcurate.session import store
 
 
 def list_files(spark: SparkSession, root: str, extensions=K.IMAGE_EXTENSIONS) -> DataFrame:
@@ -206,3 +207,49 @@ def read_diagnoses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn(
         "scores", F.from_json("scores_json", T.MapType(T.StringType(), T.DoubleType()))
     )
+
+
+def append_history(rows: DataFrame, path: str) -> None:
+    """Adds decisions to a history that lies in folders by day of ``created_at``, so that a delete need not rewrite all
+    of it; ``scores``, where there are any, travel as JSON text. Rows are dealt by ranges of day and id:
+    a task writes few days, and a day of any size is shared by several tasks."""
+    if "scores" in rows.columns:
+        rows = rows.withColumn("scores_json", F.to_json("scores")).drop("scores")
+    dated = rows.withColumn("day", F.to_date("created_at"))
+    dated.repartitionByRange("day", "id").write.mode("append").partitionBy("day").parquet(path)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """The history, with ``day``; a filter on it leaves the other days' files unread."""
+    rows = spark.read.parquet(path).withColumn("day", F.col("day").cast("date"))
+    if "scores_json" not in rows.columns:
+        return rows
+    scores = F.from_json("scores_json", T.MapType(T.StringType(), T.DoubleType()))
+    return rows.withColumn("scores", scores).drop("scores_json")
+
+
+def delete_history(spark: SparkSession, path: str, tombstones: DataFrame) -> int:
+    """Deletes the ids in ``tombstones`` from the history at ``path`` and returns how many days it touched.
+
+    Only days that hold such an id are rewritten, by dynamic partition overwrite; files of the others stay as they are.
+    The ids are looked up over the column ``id`` alone. What is left of the touched days is first written
+    to the shared folder, so a run that is lost on the way can be repeated: ids already gone are
+    no longer found. Listed in the driver are days, never rows.
+    """
+    rows = spark.read.parquet(path).withColumn("day", F.col("day").cast("date"))
+    gone = tombstones.select("id").distinct()
+    hit = rows.select("id", "day").join(gone, "id", "left_semi").select("day").distinct()
+    touched = [row["day"] for row in hit.collect()]
+    if not touched:
+        return 0
+    in_touched = F.col("day").isin([day for day in touched if day is not None])
+    if None in touched:
+        in_touched = in_touched | F.col("day").isNull()
+    left = store(rows.filter(in_touched).join(gone, "id", "left_anti"), "history-left")
+    still = {row["day"] for row in left.select("day").distinct().collect()}
+    again = left.repartitionByRange("day", "id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    again.partitionBy("day").parquet(path)
+    for day in set(touched) - still:  # no row is left to overwrite them with
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path, f"day={day or '__HIVE_DEFAULT_PARTITION__'}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(touched)

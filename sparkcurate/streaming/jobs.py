@@ -6,9 +6,14 @@ Each writes to a table and keeps its progress in a checkpoint of its own; with
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkcurate.operators import decision as D
 
@@ -88,3 +93,78 @@ def dashboard_stream(rows: DataFrame, out: str, checkpoint: str) -> StreamingQue
         .trigger(availableNow=True)
         .start()
     )
+
+
+#: Parts that each keep their own newest rows; a number of the stream, not to be changed once it runs.
+LATEST_PARTS = 16
+#: Stands for a missing time or id, which counts as the oldest, as in the batch dashboard.
+MISSING = -(2**63)
+LATEST = "part int, at long, id long, predicted_class string, confidence string"
+
+
+def _newest(batches: Iterator[pa.RecordBatch], latest: int) -> Iterator[pa.RecordBatch]:
+    """The newest rows of a partition."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        held = rows.sort_by([("at", "descending"), ("id", "descending")]).slice(0, latest).combine_chunks()
+    if held is not None:
+        yield from held.to_batches()
+
+
+def latest_stream(rows: DataFrame, out: str, checkpoint: str, latest: int) -> StreamingQuery:
+    """Keeps the ``latest`` newest decisions of all that ever arrived, for ``read_latest``.
+
+    Rows ``id, created_at, predicted_class, confidence`` (id a whole number), in any order: a late row takes the place it
+    would have had. The newest rows are among the newest of each part of the ids, so every part holds its
+    own ``latest`` rows as state and no task sees all. Before the shuffle each input partition leaves out all but
+    its newest rows, so a long backlog moves only ``latest`` rows a partition. Touched parts are
+    overwritten in ``out``; a trigger that is replayed after a crash writes the same parts again.
+    """
+    coded = rows.select(
+        F.pmod(F.xxhash64("id"), F.lit(LATEST_PARTS)).cast("int").alias("part"),
+        F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(MISSING)).alias("at"),
+        F.coalesce(F.col("id").cast("long"), F.lit(MISSING)).alias("id"),
+        F.col("predicted_class").cast("string").alias("predicted_class"),
+        F.col("confidence").cast("double").cast("string").alias("confidence"),
+    )
+    names = ["at", "id", "predicted_class", "confidence"]
+
+    def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get)) if state.exists else []
+        for frame in frames:
+            held += zip(*(frame[name].tolist() for name in names))
+            held = sorted(held, key=lambda row: row[:2], reverse=True)[:latest]
+        columns = tuple(map(list, zip(*held)))
+        state.update(columns)
+        yield pd.DataFrame({"part": key[0], **dict(zip(names, columns))})
+
+    kept = coded.mapInArrow(lambda batches: _newest(batches, latest), LATEST).groupBy("part").applyInPandasWithState(
+        keep, LATEST, "at array<long>, id array<long>, predicted_class array<string>, confidence array<string>",
+        "update", GroupStateTimeout.NoTimeout,
+    )
+
+    def run(batch: DataFrame, _: int) -> None:
+        touched = batch.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        touched.partitionBy("part").parquet(out)
+
+    spark = rows.sparkSession
+    spark.createDataFrame([], LATEST).write.mode("append").partitionBy("part").parquet(out)  # there is a table from the start
+    return (
+        kept.writeStream.outputMode("update")
+        .foreachBatch(run)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def read_latest(spark: SparkSession, out: str) -> DataFrame:
+    """What ``latest_stream`` holds: the newest rows of all are among these, which are at most ``LATEST_PARTS`` times
+    as many as asked for. The columns are those the dashboard takes."""
+    known = lambda name: F.when(F.col(name) != MISSING, F.col(name))
+    return spark.read.schema(LATEST).parquet(out).select(
+        known("id").alias("id"), F.timestamp_micros(known("at")).alias("created_at"), "predicted_class",
+        F.col("confidence").cast("double").alias("confidence"),
+    )

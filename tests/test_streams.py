@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sparkcurate.operators import decision as D
+from sparkcurate.operators import history as HI
 from sparkcurate.plans import adapters as A
 from sparkcurate.streaming import jobs as ST
 
@@ -44,3 +45,37 @@ def test_dashboard_stream_counts_all_rows(spark, tmp_path):
     ST.dashboard_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).agg(F.sum("n")).first()[0]
     assert got == A.table(spark, FOLDER, "events").count()
+
+
+def test_latest_stream_is_the_batch_dashboard(spark, tmp_path):
+    lake, out, progress = (str(tmp_path / name) for name in ("lake", "out", "progress"))
+    schema = "id long, created_at timestamp, predicted_class string, confidence double"
+
+    def rows(low, high, at):
+        return spark.range(low, high).select(
+            "id", F.timestamp_seconds(at).alias("created_at"), F.concat(F.lit("c"), F.col("id") % 3).alias("predicted_class"),
+            F.when(F.col("id") % 11 != 0, 1 / (F.col("id") + 1)).alias("confidence"),
+        )
+
+    def arrives(more):
+        more.write.mode("append").parquet(lake)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(lake)
+        ST.latest_stream(stream, out, progress, 20).awaitTermination()
+        got, want = (HI.dashboard(t, 20) for t in (ST.read_latest(spark, out), spark.read.schema(schema).parquet(lake)))
+        look = lambda t: sorted(((r[0], r[1], r[2], round(r[3], 9)) for r in t.collect()), key=str)
+        assert look(got) == look(want) and sum(r[1] for r in look(got)) == min(20, spark.read.parquet(lake).count())
+
+    missing = spark.createDataFrame([(7_000, None, None, 0.5)], schema)
+    arrives(rows(0, 5, F.col("id")).unionByName(missing))  # fewer than the latest, one without a time
+    arrives(rows(100, 900, F.col("id") % 50))  # many ties in time
+    arrives(rows(2_000, 2_300, F.lit(10)))  # late, and too old to count
+    arrives(rows(3_000, 3_007, F.lit(49)))  # late, but still among the latest
+    assert ST.read_latest(spark, out).count() <= 20 * ST.LATEST_PARTS
+    ST.latest_stream(spark.readStream.schema(schema).parquet(lake), str(tmp_path / "twin"), str(tmp_path / "own"), 20).awaitTermination()
+    newest = lambda t: t.orderBy(F.desc("created_at"), F.desc("id")).limit(20)
+    one, two = newest(ST.read_latest(spark, out)), newest(ST.read_latest(spark, str(tmp_path / "twin")))  # in steps, at once
+    assert one.count() == two.count() == 20 and one.exceptAll(two).count() == 0
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    ST.latest_stream(spark.readStream.schema(schema).parquet(str(empty)), str(tmp_path / "none"), str(tmp_path / "n"), 20).awaitTermination()
+    assert ST.read_latest(spark, str(tmp_path / "none")).count() == 0
