@@ -300,3 +300,34 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return docs.join(starts, "segment").select(
         "doc_id", (F.col("offset") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
     )
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments with the places asked for, to the ids there: two selects a document, no other boundary is decoded."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            bounds = EliasFano.from_bytes(row["bounds"])
+            ids = np.frombuffer(row["ids"], f"<u{row['id_bytes']}")
+            cuts = [(bounds[place], bounds[place + 1]) for place in row["places"]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([row["doc_ids"][place] for place in row["places"]], pa.int64()),
+                    pa.array([low for low, _ in cuts], pa.int64()),
+                    pa.array([ids[low:high].astype(np.int64) for low, high in cuts], pa.list_(pa.int64())),
+                ],
+                ["doc_id", "offset", "ids"],
+            )
+
+
+def look_up(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """``doc_id, offset, ids`` of the documents in the files at ``path`` whose id is in ``wanted`` (a column ``doc_id``), each
+    time they are there; ``offset`` counts from the start of their segment. Boundaries are read by select.
+
+    First the document ids alone are scanned for the places of the wanted ones; only segments that hold one are then
+    read whole. Ids that are not in the files, and null ones, give no row."""
+    files = spark.read.parquet(path)
+    there = files.select("segment", F.posexplode("doc_ids").alias("place", "doc_id"))
+    places = there.join(wanted.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi")
+    places = places.groupBy("segment").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    hit = files.join(places, "segment").select("doc_ids", "ids", "id_bytes", "bounds", "places")
+    return hit.mapInArrow(_looked_up, "doc_id long, offset long, ids array<long>")

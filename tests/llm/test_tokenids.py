@@ -52,3 +52,21 @@ def test_files(spark, edges, none):
         for r in got:
             assert r.start == start and (r.n_tokens, r.ids_crc32) in texts[r.doc_id]
             start += r.n_tokens
+
+
+def test_look_up_by_select(spark, edges, none, monkeypatch):
+    tokenizer = K.Encoder(PATH).tokenizer
+    path, nothing = new_path(spark, "ids"), new_path(spark, "ids")
+    K.write_ids(edges, path, PATH)
+    K.write_ids(none, nothing, PATH)
+    wanted = spark.createDataFrame([(0,), (6,), (6,), (8,), (4,), (12,), (99,), (None,)], "doc_id long")
+    found = sorted((r.doc_id, r.ids) for r in K.look_up(spark, path, wanted).collect())
+    texts = [(r.doc_id, r.text or "") for r in edges.collect() if r.doc_id in (0, 6, 8, 4, 12)]
+    assert found == sorted((d, tokenizer.encode(t, add_special_tokens=False).ids + [2]) for d, t in texts)
+    assert K.look_up(spark, nothing, wanted).count() == 0
+    # Boundaries come by select alone.
+    monkeypatch.setattr(K.EliasFano, "all", None)
+    row = {"bounds": K.EliasFano.of([0, 2, 2, 5]).to_bytes(), "ids": np.arange(5, dtype="<u2").tobytes(), "id_bytes": 2}
+    batch = K.pa.RecordBatch.from_pylist([row | {"doc_ids": [7, 8, 9], "places": [0, 1, 2]}])
+    (out,) = K._looked_up(iter([batch]))
+    assert out.to_pydict() == {"doc_id": [7, 8, 9], "offset": [0, 2, 2], "ids": [[0, 1], [], [2, 3, 4]]}
