@@ -117,12 +117,14 @@ def connected_components(
 ) -> DataFrame:
     """``(node, component)``: the smallest node that can be reached; isolated nodes keep their own.
 
-    ``nodes`` has a column ``node``, ``edges`` has ``a`` and ``b``; both are integers.
+    ``nodes`` has a column ``node``, ``edges`` has ``a`` and ``b``; both are integers, or texts, which
+    go without ``contract``.
     ``local=False`` leaves out ``contract`` and with it all Python workers, for executors short of memory.
     """
-    shrunk = contract if local else lambda rows: rows
+    kind = "string" if edges.schema["a"].dataType.typeName() == "string" else "bigint"
+    shrunk = contract if local and kind == "bigint" else lambda rows: rows
     ends = edges.filter("a <> b").select(
-        F.greatest("a", "b").cast("bigint").alias("u"), F.least("a", "b").cast("bigint").alias("v")
+        F.greatest("a", "b").cast(kind).alias("u"), F.least("a", "b").cast(kind).alias("v")
     )
     current = cut(shrunk(ends).distinct())
     while True:
