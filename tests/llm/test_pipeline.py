@@ -9,7 +9,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_names():
-    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality_rules", "near_duplicates", "benchmark_free", "source_mix", "token_ids"
     ]
