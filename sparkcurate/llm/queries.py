@@ -51,7 +51,7 @@ def op7_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find(documents, pii.learn(documents))
-    names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
+    names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "settled"]
     return found.select("doc_id", *[F.col("pii")[name].alias(name) for name in names])
 
 
