@@ -42,20 +42,59 @@ def decide_stream(
     )
 
 
-# Parts of a hash store; a number of the store, not to be changed once it is written.
-STORE_PARTS = 16
+#: Name of the hash of a row's key, by which every file of a hash store is sorted.
+KEY_HASH = "key_hash"
+#: Keys of a batch up to which they are looked up by value; more are joined.
+LOOK_UPS = 1_000
+#: Rows of a page: what one look-up reads at least.
+PAGE_ROWS = 500
+
+
+#: Rows of a file of a hash store, at most.
+FILE_ROWS = 200_000
+
+
+def write_hashes(rows: DataFrame, store: str, key: list[str], n_rows: int) -> None:
+    """Appends to a hash store: files that hold separate ranges of the keys' hashes, sorted by hash in small pages, so that
+    a key is found from the smallest and largest values of files and pages. ``n_rows`` is how many rows there
+    may be; hashes are even, so equal ranges are files of equal size without looking at the rows first."""
+    n_files = max(1, -(-n_rows // FILE_ROWS))
+    above = F.shiftright(KEY_HASH, 32) + F.lit(2**31)  # the upper half, from 0 on
+    dealt = rows.withColumn(KEY_HASH, F.xxhash64(*key)).repartitionById(n_files, (above * n_files / 2**32).cast("int"))
+    sink = dealt.sortWithinPartitions(KEY_HASH).write.mode("append").option("parquet.page.row.count.limit", PAGE_ROWS)
+    sink.parquet(store)
+
+
+def known_keys(spark: SparkSession, store: str, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """The keys in the store that may be among ``wanted``. Up to ``LOOK_UPS`` of them are sent to the scan by value,
+    which then reads only the pages they can lie in; more are joined by hash."""
+    known = spark.read.parquet(store)
+    codes = wanted.select(F.xxhash64(*key).alias(KEY_HASH)).distinct()
+    few = [row[0] for row in codes.limit(LOOK_UPS + 1).collect()]
+    if len(few) > LOOK_UPS:
+        return known.join(codes, KEY_HASH, "left_semi").select(*key)
+    # Lists of ten reach the pages as single values; a longer list would as its smallest and largest only.
+    tens = [F.col(KEY_HASH).isin(few[i : i + 10]) for i in range(0, len(few), 10)]
+    while len(tens) > 1:  # a balanced tree: a long chain of "or" would be as deep as it is long
+        tens = [a | b for a, b in zip(tens[::2], tens[1::2])] + tens[len(tens) & ~1 :]
+    return known.filter(tens[0] if tens else F.lit(False)).select(*key)
+
+
+def merge_hashes(spark: SparkSession, store: str, out: str, key: list[str]) -> None:
+    """A store of many small batches, written anew with few files that hold separate ranges of key hashes.
+    Meant for a pause between two runs, after which ``out`` takes the store's place."""
+    rows = spark.read.parquet(store)
+    write_hashes(rows.drop(KEY_HASH), out, key, rows.count())
 
 
 def hash_stream(files: DataFrame, store: str, checkpoint: str, hasher, key=("path", "length", "mtime_s")):
     """Hash what the store does not know yet and append it, batch by batch.
 
     ``hasher`` maps a batch to ``key`` plus ``orbit``. A batch that is replayed after a crash
-    finds its own rows in the store and adds nothing. The store lies in ``STORE_PARTS`` parts by a hash
-    of the key: a batch reads only the parts its own files fall into, so a trickle of new files does
-    not read the whole store each time.
+    finds its own rows in the store and adds nothing. A small batch reads the pages its keys can lie in and the
+    files' footers, whatever the store holds; ``merge_hashes`` keeps the number of files low.
     """
     key = list(key)
-    part = F.pmod(F.xxhash64(*key), F.lit(STORE_PARTS)).cast("int").alias("part")
 
     def run(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
@@ -63,10 +102,8 @@ def hash_stream(files: DataFrame, store: str, checkpoint: str, hasher, key=("pat
         there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
         todo = batch.dropDuplicates(key)
         if there:
-            touched = [r["part"] for r in todo.select(part).distinct().collect()]  # at most STORE_PARTS
-            known = spark.read.parquet(store).filter(F.col("part").isin(touched)).select(*key)
-            todo = todo.join(known, key, "left_anti")
-        hasher(todo).withColumn("part", part).repartition("part").write.mode("append").partitionBy("part").parquet(store)
+            todo = todo.join(known_keys(spark, store, batch, key), key, "left_anti")
+        write_hashes(hasher(todo), store, key, batch.count())
 
     return (
         files.writeStream.foreachBatch(run)

@@ -40,6 +40,41 @@ def test_hash_stream_resumes(spark, tmp_path):
     assert final.count() == 20 and final.filter("orbit is null").count() == 1
 
 
+def test_a_small_batch_reads_little_of_a_large_store(spark, tmp_path):
+    """The pages that a look-up of 100 keys reads stay as few while the store grows tenfold."""
+    key = ["path", "length"]
+
+    def rows(n):
+        return spark.range(n).select(
+            F.concat(F.lit("/lake/some/folder/picture-"), F.col("id"), F.lit(".jpg")).alias("path"),
+            F.col("id").alias("length"), F.array(*[F.xxhash64("id", F.lit(i)) for i in range(8)]).alias("orbit"),
+        )
+
+    def look_up(store, wanted):
+        """Keys found, and rows of the pages that the scan had to read for them."""
+        may_be = ST.known_keys(spark, store, wanted, key)
+        found = spark.createDataFrame(may_be.collect(), "path string, length long").join(wanted, key, "left_semi").count()
+        leaves = may_be._jdf.queryExecution().executedPlan().collectLeaves()
+        return found, leaves.head().metrics().apply("numOutputRows").value()
+
+    wanted = spark.createDataFrame(
+        [(f"/lake/some/folder/picture-{i}.jpg", i) for i in [*range(50), *range(10**9, 10**9 + 50)]], "path string, length long"
+    )
+    read = {}
+    for n in (150_000, 1_500_000):
+        store = str(tmp_path / f"store{n}")
+        ST.write_hashes(rows(n), store, key, n)
+        found, read[n] = look_up(store, wanted)
+        assert found == 50
+    assert read[1_500_000] < 1.5 * read[150_000] and read[1_500_000] <= 100 * ST.PAGE_ROWS, read
+    many = rows(3_000).select("path", "length")
+    assert ST.known_keys(spark, store, many, key).join(many, key, "left_semi").count() == 3_000  # beyond the look-ups: a join
+    merged = str(tmp_path / "merged")
+    ST.merge_hashes(spark, store, merged, key)
+    assert look_up(merged, wanted)[0] == 50 and spark.read.parquet(merged).count() == 1_500_000
+    assert ST.known_keys(spark, store, wanted.limit(0), key).count() == 0
+
+
 def test_dashboard_stream_counts_all_rows(spark, tmp_path):
     stream = A.diagnoses(ST.read_table_stream(spark, FOLDER, "events.parquet"))
     ST.dashboard_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
