@@ -132,7 +132,7 @@ def truth_of_folder(folder: Column) -> Column:
 
 
 def fit_baseline(
-    features: DataFrame, weights: DataFrame, max_iter: int = 30, reg: float = 0.01
+    features: DataFrame, weights: DataFrame, max_iter: int = 30, reg: float = 0.01, tol: float = 1e-6
 ):
     """A class-weighted multinomial logistic regression over ``features ARRAY<DOUBLE>`` and
     ``label_idx``; it produces the logits tables the calibration jobs start from."""
@@ -146,7 +146,7 @@ def fit_baseline(
     )
     model = LogisticRegression(
         featuresCol="features", labelCol="label", weightCol="weight", maxIter=max_iter,
-        regParam=reg, family="multinomial",
+        regParam=reg, tol=tol, family="multinomial",
     )
     return model.fit(table)
 

@@ -748,6 +748,19 @@ SELECT cat.model, label, r.model IS NOT NULL AS has_weights, (SELECT count(*) FR
 ORACLES["evaluable_models"] = f"WITH {SCORES2} SELECT model, count(*) AS n FROM s2 WHERE model <> 'm_flat' GROUP BY 1"
 ORACLES["fit_baseline_counts"] = """
 SELECT label::int AS label_idx, count(*) AS n_scored, count(*) AS n_decided FROM embeddings WHERE vec_id % 2 = 1 GROUP BY 1"""
+# The optimum by plain gradient steps from zero; without a penalty it is one, whatever the method.
+ORACLES["fit_baseline_optimum"] = """
+WITH RECURSIVE x AS (SELECT vec_id % 2 = 0 AS fit, (label = 3)::int AS y, 8 * embedding[1]::double AS x1, 8 * embedding[2]::double AS x2 FROM embeddings),
+t AS (SELECT y, x1, x2, 0.5::double / count(*) OVER (PARTITION BY y) AS w FROM x WHERE fit),
+s AS (
+  SELECT 0 AS i, 0.0::double AS b0, 0.0::double AS b1, 0.0::double AS b2
+  UNION ALL
+  SELECT i + 1, any_value(b0) + sum(g), any_value(b1) + sum(g * x1), any_value(b2) + sum(g * x2)
+  FROM (SELECT s.*, x1, x2, w * (y - 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2)))) AS g FROM s, t WHERE i < 600) GROUP BY i),
+b AS (SELECT b0, b1, b2 FROM s WHERE i = 600)
+SELECT y AS label_idx, count(*) AS n_held_out, count(*) FILTER ((b0 + b1 * x1 + b2 * x2 > 0)::int = y) AS n_right,
+       round(b0, 4) AS b0, round(b1, 4) AS b1, round(b2, 4) AS b2
+FROM x, b WHERE NOT fit GROUP BY y, b0, b1, b2"""
 ORACLES["pixel_vegetation"] = f"""
 WITH c AS (SELECT vec_id AS id, least(floor(abs(unnest(embedding)::double) * 1000.0::double), 255)::double AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
 p AS (SELECT id, i // 3 AS px, coalesce(max(x) FILTER (i % 3 = 0), 0) AS r, coalesce(max(x) FILTER (i % 3 = 1), 0) AS g,

@@ -232,3 +232,23 @@ def test_fit_baseline_scores_all_rows_and_says_which_were_held_out(spark):
     rows = QUERIES["fit_baseline"](spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/embeddings.parquet").count()
     assert all(r.held_out == (r.id % 2 == 1) for r in rows)
+
+
+def test_the_fit_is_the_optimum_and_follows_the_labels(spark, tmp_path):
+    """The largest entry of the weighted gradient is zero at the coefficients, and is not once the labels of the fit are mixed up."""
+    from sparkcurate.plans.catalog import FIT_CLASS
+
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet")
+    mixed = rows.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(10)).cast("int").alias("label"))
+    mixed.write.parquet(str(tmp_path / "embeddings.parquet"))
+    fit = [r for r in rows.collect() if r.vec_id % 2 == 0]
+    x = np.array([[1.0, 8 * r.embedding[0], 8 * r.embedding[1]] for r in fit])
+    y = np.array([float(r.label == FIT_CLASS) for r in fit])
+    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+
+    def steepest(folder):
+        got = QUERIES["fit_baseline_optimum"](spark, folder).first()
+        return np.abs((weight * (y - 1 / (1 + np.exp(-x @ [got.b0, got.b1, got.b2])))) @ x).max()
+
+    assert steepest(folder) < 1e-3 < 0.03 < steepest(str(tmp_path))
