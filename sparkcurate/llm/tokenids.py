@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 #: Ids after which a segment is closed.
 SEGMENT_IDS = 1 << 20
 #: Pieces of text whose ids a worker remembers; there are two generations of this size.
-CACHED_PIECES = 100_000
+CACHED_PIECES = 250_000
 SAMPLE = 256
 SEGMENTS = "segment long, n_docs long, n_tokens long, doc_ids array<long>, ids binary, id_bytes int, bounds binary"
 
