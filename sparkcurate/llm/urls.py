@@ -117,10 +117,14 @@ def judge(
     said = says.groupBy(F.coalesce("component", "node").alias("alias_of")).agg(
         F.max(F.col("verdict") == "allow").alias("allowed"), F.max(F.col("verdict") == "block").alias("blocked")
     )
-    pages_of = rows.join(component, "node", "left").withColumn("alias_of", F.coalesce("component", "node"))
+    # Pages without an address have no alias and stay out of the joins, where they would all share one key.
+    addressed = rows.filter("node is not null").join(component, "node", "left")
+    judged = addressed.withColumn("alias_of", F.coalesce("component", "node")).join(said, "alias_of", "left").unionByName(
+        rows.filter("node is null"), allowMissingColumns=True
+    )
     own = ruled(F.col("url"))
     method = F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").otherwise(default)
-    return pages_of.join(said, "alias_of", "left").select(
+    return judged.select(
         "page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), own.rule.alias("rule"),
         F.coalesce(own.verdict, method).alias("verdict"), "alias_of",
     )
