@@ -19,12 +19,16 @@ from sparkcurate.operators import decision as D
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, max_files: int | None = None):
-    """Parquet files called ``name`` arriving in ``folder``, with the schema of what is there."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    """The table ``name`` of ``folder`` as it arrives, with the schema of what is there: one file of that name, or a
+    folder of that name to which files are added."""
+    table = f"{folder}/{name}"
+    reader = spark.readStream.schema(spark.read.parquet(table).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(table)
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def decide_stream(

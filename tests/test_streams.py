@@ -19,6 +19,24 @@ def test_decide_stream_is_batch(spark, tmp_path):
     assert got.exceptAll(want).count() == 0
 
 
+def test_table_stream_takes_a_file_and_a_folder_of_files(spark, tmp_path):
+    """A table of many files is a folder of the table's name; files that are added to it arrive later."""
+    folder, rows = str(tmp_path / "in"), A.table(spark, FOLDER, "embeddings")
+    rows.repartition(3).write.parquet(f"{folder}/embeddings.parquet")
+
+    def run(folder, name):
+        stream = A.vector_scores(ST.read_table_stream(spark, folder, "embeddings.parquet", max_files=2))
+        out = str(tmp_path / f"out-{name}")
+        ST.decide_stream(stream, out, str(tmp_path / f"cp-{name}")).awaitTermination()
+        return spark.read.parquet(out)
+
+    want = D.decide(A.vector_scores(rows))
+    for got in (run(folder, "many"), run(FOLDER, "one")):
+        assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+    rows.limit(7).withColumn("vec_id", F.lit(-1).cast("bigint")).write.mode("append").parquet(f"{folder}/embeddings.parquet")
+    assert run(folder, "many").count() == want.count() + 7
+
+
 def test_hash_stream_resumes(spark, tmp_path):
     lake, store = tmp_path / "lake", str(tmp_path / "store")
     files = spark.range(10).select(
