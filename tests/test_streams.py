@@ -37,6 +37,17 @@ def test_table_stream_takes_a_file_and_a_folder_of_files(spark, tmp_path):
     assert run(folder, "many").count() == want.count() + 7
 
 
+def test_table_of_many_files_is_hashed(spark, tmp_path):
+    rows = A.table(spark, FOLDER, "embeddings").select("vec_id", "embedding")
+    rows.repartition(3).write.parquet(str(tmp_path / "in" / "embeddings.parquet"))
+    stream = ST.read_table_stream(spark, str(tmp_path / "in"), "embeddings.parquet")
+    hasher = lambda batch: batch.select("vec_id", F.array(F.xxhash64("embedding")).alias("orbit"))
+    ST.hash_stream(stream, str(tmp_path / "store"), str(tmp_path / "cp"), hasher, key=("vec_id",)).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "store")).select("vec_id", "orbit")
+    want = hasher(rows.dropDuplicates(["vec_id"]))
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+
+
 def test_hash_stream_resumes(spark, tmp_path):
     lake, store = tmp_path / "lake", str(tmp_path / "store")
     files = spark.range(10).select(
