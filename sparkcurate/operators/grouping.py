@@ -7,23 +7,33 @@ anything else happens, so a photo that fills a third of the table costs one row
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkcurate import constants as K
 from sparkcurate.functions import hashing as H
 from sparkcurate.functions.let import let
-from sparkcurate.operators.components import connected_components, contract
+from sparkcurate.operators.components import LOCAL_EDGES, connected_components, contract
 from sparkcurate.operators.skew import HOT_ROWS, SMALL_ROWS, attach
 from sparkcurate.session import cut
 
 # Entries one bucket may hold before it is cut finer; pairs are only formed in smaller buckets.
 MAX_BUCKET = 2_000
 
+# Hashes that a task compares with as many others, and hashes from which there is more than one task's work.
+BLOCK_HASHES, SOME_HASHES = 1 << 17, 1 << 14
+# Entries written per hash above which blocks are compared instead, if there are this many times fewer of them.
+MANY_ENTRIES, FEWER = 32, 4
+# Hashes of a tile, which is compared at once.
+TILE = 1 << 7, 1 << 12
+
 
 def signatures(hashes: DataFrame) -> DataFrame:
     """One row per distinct signature: ``signature, rep`` (smallest id), ``n_files``."""
@@ -100,7 +110,7 @@ def slices_of(varying: Column, fan_out: int) -> Column:
 
 
 def near_pairs(
-    hashes: DataFrame, max_distance: int, max_bucket: int = MAX_BUCKET, hot_rows: int = HOT_ROWS
+    hashes: DataFrame, max_distance: int, max_bucket: int = MAX_BUCKET, hot_rows: int = HOT_ROWS, forest: bool = False
 ) -> DataFrame:
     """``(a, b, distance)`` for every two distinct hashes ``h`` within ``max_distance``, named by
     their owners. ``hashes`` has ``h`` (distinct) and ``owner``.
@@ -108,10 +118,16 @@ def near_pairs(
     Every hash is stored under its bits of each slice, and the one with the smaller slice looks the other
     up under all values within the slice's radius (``search_plan``). A pair is kept on the first
     slice that it meets on, so it comes out once. Buckets that hold more than ``max_bucket`` stored hashes leave the
-    look-up: whatever meets there is cut finer by ``_cut_finer``. Nothing is skipped or capped.
+    look-up: whatever meets there is cut finer by ``_cut_finer``. Where a wide distance asks for far more entries a
+    hash than there are blocks of ``BLOCK_HASHES``, all pairs of blocks are compared instead
+    (``_pairs_of_blocks``). Nothing is skipped or capped. With ``forest`` pairs may be left out whose ends hang
+    together by pairs as near or nearer.
     """
     n = hashes.count()
-    plan, *_ = search_plan(n, max_distance)
+    plan, n_entries, _ = search_plan(n, max_distance)
+    n_blocks = -(-n // BLOCK_HASHES)
+    if n_entries > MANY_ENTRIES and n_entries >= FEWER * n_blocks:
+        return _pairs_of_blocks(hashes, max_distance, max(n_blocks, min(6, -(-n // SOME_HASHES))), forest)
     big = lambda m: F.lit(H.signed64(m)).cast("bigint")
     stored = hashes.select(
         "h", "owner", F.posexplode(F.array(*[big(p.mask) for p in plan])).alias("slice", "mask")
@@ -157,6 +173,95 @@ def near_pairs(
     return pairs.unionByName(_cut_finer(entries, max_distance, max_bucket, hot_rows)).distinct()
 
 
+def _pairs_of_blocks(hashes: DataFrame, max_distance: int, n_blocks: int, forest: bool = False) -> DataFrame:
+    """Near pairs by comparing every two hashes. Hashes are dealt into blocks and every two blocks, and each block
+    with itself, make a task of its own, so a hash is written ``n_blocks`` times and a task holds two blocks. With
+    ``forest`` a task gives a lightest spanning forest of its pairs: fewer rows than hashes, however dense they lie."""
+    number = lambda low, high: (high * (high + 1) / 2 + low).cast("int")
+    block = F.pmod(F.xxhash64("h"), F.lit(n_blocks)).cast("int")
+    dealt = hashes.select(
+        "h", F.col("owner").cast("bigint").alias("owner"), block.alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("other"),
+    ).select(
+        "h", "owner", (F.col("block") > F.col("other")).alias("upper"), (F.col("block") == F.col("other")).alias("own"),
+        number(F.least("block", "other"), F.greatest("block", "other")).alias("task"),
+    )
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "owner", "upper", "own")] for b in batches]
+        if not held:
+            return
+        h, owner, upper, own = (np.concatenate(c) for c in zip(*held))
+        sides = [np.flatnonzero(~upper), np.flatnonzero(upper | own)]
+        found = _close(h.view(np.uint64), *sides, bool(own.any()), max_distance)
+        for a, b, distance in _lightest(found, len(h), max_distance) if forest else found:
+            a, b = owner[a], owner[b]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(distance.astype(np.int32))],
+                ["a", "b", "distance"],
+            )
+
+    tasks = dealt.repartitionById(n_blocks * (n_blocks + 1) // 2, "task")
+    return tasks.select("h", "owner", "upper", "own").mapInArrow(work, "a bigint, b bigint, distance int")
+
+
+def _close(
+    h: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, max_distance: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in ``h`` of the near pairs across ``left`` and ``right``, tile by tile; with ``same`` both are
+    one list, whose pairs come out once."""
+    rows, columns = TILE
+    x, y = h[left], h[right]
+    for low in range(0, len(x), rows):
+        for at in range(low if same else 0, len(y), columns):
+            apart = np.bitwise_count(x[low : low + rows, None] ^ y[None, at : at + columns])
+            i, j = np.divmod(np.flatnonzero(apart <= max_distance), apart.shape[1])
+            if same:
+                once = i + low < j + at
+                i, j = i[once], j[once]
+            if len(i):
+                yield left[i + low], right[j + at], apart[i, j]
+
+
+def _lightest(
+    pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int, max_distance: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A lightest spanning forest of ``pairs`` of the numbers below ``n``. A pair whose ends already hang together by
+    others up to its distance is left out as it comes."""
+    piece = np.tile(np.arange(n, dtype=np.int32), (max_distance + 1, 1))  # of each number, by distance
+    kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)]
+    held: list[list[np.ndarray]] = []
+    rows = 0
+
+    def settle() -> list[np.ndarray]:
+        a, b, distance = (np.concatenate(c) for c in zip(kept, *held))
+        parent, joined = list(range(n)), []
+        for level in range(max_distance + 1):
+            here = np.flatnonzero(distance == level)
+            for at, x, y in zip(here.tolist(), a[here].tolist(), b[here].tolist()):
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                while parent[y] != y:
+                    parent[y] = y = parent[parent[y]]
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    joined.append(at)
+            root = np.array(parent, np.int32)
+            while (root[root] != root).any():
+                root = root[root]
+            piece[level] = root
+        return [c[joined] for c in (a, b, distance)]
+
+    for a, b, distance in pairs:
+        new = piece[distance, a] != piece[distance, b]
+        if new.any():
+            held.append([a[new], b[new], distance[new]])
+            rows += len(held[-1][0])
+        if rows >= max(LOCAL_EDGES // 4, len(kept[0])):
+            kept, held, rows = settle(), [], 0
+    yield tuple(settle() if held else kept)
+
+
 def _cut_finer(entries: DataFrame, max_distance: int, max_bucket: int, hot_rows: int) -> DataFrame:
     """Near pairs among the hashes ``h`` that meet in a bucket ``(node, shared)``.
 
@@ -244,22 +349,26 @@ def representative_edges(
     compared once, on behalf of that smallest one. Every near pair is therefore connected, though
     not necessarily by an edge of its own when several signatures share a hash.
     """
+    edges = _edges_with_repeats(sigs, max_distance, max_bucket, hot_rows)
+    return edges.groupBy("a", "b").agg(F.min("distance").alias("distance"))
+
+
+def _edges_with_repeats(
+    sigs: DataFrame, max_distance: int, max_bucket: int, hot_rows: int, forest: bool = False
+) -> DataFrame:
+    """The edges of ``representative_edges``, where representatives that meet with several hashes have one for each;
+    ``forest`` as in ``near_pairs``."""
     if max_distance == 0:
         return sigs.select(
             F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(0).alias("distance")
         ).filter("false")
     faces = sigs.select(F.explode(F.array_distinct("signature")).alias("h"), "rep")
     owners = cut(faces.groupBy("h").agg(F.min("rep").alias("owner"), F.count(F.lit(1)).alias("n")))
-    near = near_pairs(owners.select("h", "owner"), max_distance, max_bucket, hot_rows)
+    near = near_pairs(owners.select("h", "owner"), max_distance, max_bucket, hot_rows, forest)
     shared = attach(faces, owners.filter("n > 1"), "h", "rep", "n", hot_rows=hot_rows).select(
         F.col("owner").alias("a"), F.col("rep").alias("b"), F.lit(0).alias("distance")
     )
-    return (
-        near.unionByName(shared)
-        .filter("a <> b")
-        .groupBy("a", "b")
-        .agg(F.min("distance").alias("distance"))
-    )
+    return near.unionByName(shared).filter("a <> b")
 
 
 def near_dup_edges(
@@ -353,8 +462,9 @@ def tolerance_sweep(
     # Small numbers of their own, so that a node and a level fit into one number whatever the ids are.
     sigs = cut(sigs.withColumn("rep", F.monotonically_increasing_id()))
     width = len(distances)
-    # Of the many pairs of a wide tolerance, those of a lightest forest join the same groups at any tolerance.
-    edges = representative_edges(sigs, max(distances), max_bucket, hot_rows)
+    # Of the many pairs of a wide tolerance, those of a lightest forest join the same groups at any tolerance. They
+    # are chosen where the pairs are found; repeated pairs change no forest, so no pair is shuffled.
+    edges = _edges_with_repeats(sigs, max(distances), max_bucket, hot_rows, forest=True)
     edges = cut(contract(edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "distance"), "distance"))
     edges = edges.withColumnsRenamed({"u": "a", "v": "b"})
     levels = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(d).alias("d")) for k, d in enumerate(distances)])

@@ -115,6 +115,29 @@ def test_a_million_hashes_within_four_bits(spark):
     assert got == [(k, 999_950 + k, 4) for k in range(50)]
 
 
+@pytest.mark.parametrize("n_blocks", [1, 3])
+def test_pairs_of_blocks_are_all_pairs(spark, n_blocks):
+    """Every near pair comes out once; a forest of them joins the same hashes up to any distance."""
+    hashes = sorted(set(planted(700, 5)))
+    df = spark.createDataFrame(list(enumerate(hashes)), "owner bigint, h bigint")
+    want = {(a, b, d) for a in range(len(hashes)) for b in range(a) if (d := hamming(hashes[a], hashes[b])) <= 12}
+    got = [tuple(r) for r in G._pairs_of_blocks(df, 12, n_blocks).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(b, a, d) for a, b, d in want}
+    forest = [tuple(r) for r in G._pairs_of_blocks(df, 12, n_blocks, forest=True).collect()]
+    assert set(forest) <= set(got) and len(forest) < len(got) / 2
+    for most in (0, 3, 8, 12):
+        sides = [[(a, b) for a, b, d in rows if d <= most] for rows in (got, forest)]
+        assert reachable(range(len(hashes)), sides[0]) == reachable(range(len(hashes)), sides[1])
+
+
+def test_a_wide_search_writes_few_entries(spark):
+    """Hashes within 12 bits are compared by blocks: the search shuffles each a few times, not 35 times and more."""
+    df = spark.range(20_000).select(F.xxhash64("id").alias("h"), F.col("id").alias("owner"))
+    rows = G.near_pairs(df, 12)
+    assert rows.count() == G._pairs_of_blocks(df, 12, 3).count()
+    assert "MapInArrow" in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_grid_hash_and_orbit(spark):
     rng = np.random.default_rng(1)
     grids = [rng.integers(0, 9, (8, 8)).tolist() for _ in range(5)]
