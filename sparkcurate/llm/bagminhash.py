@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkcurate.operators.components import connected_components
-from sparkcurate.operators.skew import attach
+from sparkcurate.operators.skew import attach, small_side
 from sparkcurate.session import store
 
 SHINGLE = 5
@@ -265,6 +265,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wh
     return store(rows.mapInArrow(_fingerprints, schema), "near-rows")
 
 
+#: Bit maps of row numbers that are sent to every executor, at most: 40 MB, for 300 million rows and more.
+MAPS = 10_000
+
+
+def among(rows: DataFrame, wanted: DataFrame, row: str = "row") -> DataFrame:
+    """``rows`` whose number ``row`` is in ``wanted``, a table of one column of such numbers. They are looked up in bit
+    maps of 32,768 numbers each, so that the rows with their texts stay where they are."""
+    number = wanted.columns[0]
+    maps = wanted.groupBy(F.bitmap_bucket_number(number).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("_map")
+    )
+    at = F.bitmap_bit_position(row)
+    byte = F.conv(F.hex(F.substring("_map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+    placed = rows.withColumn("_bucket", F.bitmap_bucket_number(row)).join(small_side(maps, MAPS), "_bucket")
+    return placed.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def classes(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """``print1, print2, n_shingles, node, class_id, n`` for each distinct multiset of ``rows``, with the
     smallest id of its class and the number of rows of its own."""
@@ -273,7 +290,7 @@ def classes(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
         rows.filter("n_shingles > 0").groupBy(*same).agg(F.min("row").alias("node"), F.min("id").alias("id"), F.count(F.lit(1)).alias("n")),
         "near-nodes",
     )
-    of_node = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
+    of_node = among(rows, nodes.select("node"))
     texts = of_node.select(F.col("row").alias("node"), "text")
     keyed = of_node.select(F.col("row").alias("node"), F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -288,14 +305,16 @@ def classes(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     by_hub = meets.groupBy("node", "hub", "hub_score").agg(F.count(F.lit(1)).alias("shared"))
     best = W.partitionBy("node").orderBy(F.desc("shared"), F.desc("hub_score"), "hub")
     chosen = by_hub.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("node", "hub")
+    chosen = store(chosen, "near-chosen")
+    compared = among(texts, chosen.select("node").unionByName(chosen.select(F.col("hub").alias("node"))), "node")
     # A hub's text goes once to every HUB_ROWS of its members, which are dealt out over its copies.
     members = chosen.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).cast("int").alias("copies"))
-    hub_texts = members.join(texts.select(F.col("node").alias("hub"), F.col("text").alias("left")), "hub").select(
+    hub_texts = members.join(compared.select(F.col("node").alias("hub"), F.col("text").alias("left")), "hub").select(
         "hub", "left", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")
     )
     dealt = chosen.join(members, "hub").withColumn("copy", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int"))
     pairs = (
-        dealt.select("hub", "copy", "node").join(texts.withColumnRenamed("text", "right"), "node")
+        dealt.select("hub", "copy", "node").join(compared.withColumnRenamed("text", "right"), "node")
         .join(hub_texts, ["hub", "copy"])
         .select(F.col("hub").alias("a"), F.col("node").alias("b"), "left", "right")
     )
@@ -310,8 +329,9 @@ def classes(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     ).filter("low <> high")
     once = open_sets.groupBy("n", "set1", "set2").agg(F.min("key").alias("key")).select("key", "n")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    open_rows = store(attach(placed, once, "key", "node", "n"), "near-open")
     in_blocks = (
-        attach(placed, once, "key", "node", "n")
+        open_rows
         .withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select(
@@ -319,7 +339,7 @@ def classes(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
             F.col("block").alias("side"),
         )
     )
-    ready = in_blocks.join(texts, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    ready = in_blocks.join(among(texts, open_rows.select("node"), "node"), "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     more = ready.select("key", "lo", "hi", "node", "component", "side", "text").mapInArrow(
         lambda x: _verify_blocks(x, similar), "a long, b long"
     )
@@ -359,4 +379,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", simila
     first = found.filter("component is not null").groupBy("component").agg(F.min(F.struct("id", "row")).alias("first"))
     kept = first.select("first.row").unionByName(found.filter("component is null").select("row"))
     back = [F.col("text").alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in docs.columns]
-    return rows.join(kept, "row", "left_semi").select(*back)
+    return among(rows, kept).select(*back)

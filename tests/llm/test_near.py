@@ -69,6 +69,16 @@ def test_classes_equal_all_pairs(spark):
     assert all(got[i][1] == size[want[i]] for i in got)
 
 
+def test_rows_are_looked_up_without_moving_their_texts(spark):
+    numbers = [0, 1, 7, 8, 32767, 32768, 32769, 65536, 2**33, 2**33 + 32768, 5 * 2**33 + 70000]
+    rows = spark.createDataFrame([(n, f"text {n}") for n in numbers], "row long, text string")
+    for wanted in (numbers, numbers[::2], numbers[1::2] * 2, [3], []):
+        got = B.among(rows, spark.createDataFrame([(n,) for n in wanted], "node long"))
+        assert sorted(map(tuple, got.collect())) == [(n, f"text {n}") for n in numbers if n in wanted]
+    plan = B.among(rows, rows.select("row"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_edges(edges, none):
     kept = B.keep_one(edges)
     assert kept.columns == edges.columns and kept.schema == edges.schema
