@@ -12,6 +12,7 @@ from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -209,35 +210,38 @@ def model_input(rgb: np.ndarray, shorter: int = 256, side: int = 224) -> np.ndar
     return np.stack(planes).astype(np.float32)
 
 
-def _pixels_of(batch: pd.DataFrame):
-    for data, h, w, c in zip(batch["data"], batch["height"], batch["width"], batch["nChannels"]):
-        yield as_rgb(data, h, w, c) if data is not None and h > 0 else None
+def _pixels_of(images: pa.StructArray):
+    """RGB arrays of a batch, one at a time; pixels are read where Arrow holds them."""
+    fields = dict(zip((f.name for f in images.type), images.flatten()))
+    for data, h, w, c in zip(*(fields[name] for name in ("data", "height", "width", "nChannels"))):
+        readable = data.is_valid and h.is_valid and h.as_py() > 0
+        yield as_rgb(data.as_buffer(), h.as_py(), w.as_py(), c.as_py()) if readable else None
 
 
-def _per_image(function, result_type: str):
-    @F.pandas_udf(result_type)
-    def run(image: pd.DataFrame) -> pd.Series:
-        return pd.Series([None if p is None else function(p) for p in _pixels_of(image)])
+def _per_image(function, result_type: str, arrow_type: pa.DataType):
+    @F.arrow_udf(result_type)
+    def run(image: pa.Array) -> pa.Array:
+        return pa.array([None if p is None else function(p) for p in _pixels_of(image)], arrow_type)
 
     return run
 
 
 def orbit_of(image: Column) -> Column:
     """``ARRAY<BIGINT>`` of eight hashes, null for an unreadable image."""
-    return _per_image(image_orbit, "array<bigint>")(image)
+    return _per_image(image_orbit, "array<bigint>", pa.list_(pa.int64()))(image)
 
 
 def dhash_of(image: Column) -> Column:
-    return _per_image(image_dhash, "bigint")(image)
+    return _per_image(image_dhash, "bigint", pa.int64())(image)
 
 
 def vegetation_of(image: Column) -> Column:
-    return _per_image(green_share, "double")(image)
+    return _per_image(green_share, "double", pa.float64())(image)
 
 
 def model_input_of(image: Column) -> Column:
     """``ARRAY<FLOAT>`` of 3*224*224 values."""
-    return _per_image(lambda rgb: model_input(rgb).ravel(), "array<float>")(image)
+    return _per_image(lambda rgb: model_input(rgb).ravel(), "array<float>", pa.list_(pa.float32()))(image)
 
 
 VARIANT_SCHEMA = (

@@ -164,3 +164,16 @@ def test_a_decoder_of_ones_own(spark, tmp_path):
     assert all(len(r.o) == 8 for r in orbit)
     plain = {r.path.rsplit("/", 1)[1]: r.status for r in IM.read_images(spark, str(tmp_path)).collect()}
     assert plain["a.webp"] == "unsupported" and plain["named.jpg"] == "corrupt"
+
+
+def test_unreadable_pictures_leave_the_hashes_of_others_whole(spark):
+    """One batch with null, empty and readable pictures: hashes keep all their 64 bits, pixels are not copied to pandas."""
+    rng = np.random.default_rng(3)
+    pictures = [photo(rng) for _ in range(3)]
+    rows = [(k, ("", *p.shape[:2], 3, 16, bytearray(p[:, :, ::-1].tobytes()))) for k, p in enumerate(pictures)]
+    rows += [(3, None), (4, ("", -1, -1, -1, -1, bytearray())), (5, ("", 4, 4, 3, 16, None))]
+    df = spark.createDataFrame(rows, f"id int, image {IM.IMAGE}").coalesce(1)
+    made = df.select("id", IM.dhash_of(F.col("image")).alias("d"), IM.orbit_of(F.col("image")).alias("o"))
+    got = {r.id: (r.d, r.o) for r in made.collect()}
+    assert got == {k: (IM.image_dhash(p), IM.image_orbit(p)) for k, p in enumerate(pictures)} | {k: (None, None) for k in (3, 4, 5)}
+    assert "ArrowEvalPython" in made._jdf.queryExecution().executedPlan().toString()
