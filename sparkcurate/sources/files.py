@@ -125,6 +125,14 @@ HISTORY_SCHEMA = T.StructType(
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """The history that lies at ``path``: decisions where there are folders by day (``append_history``), training logs
+    elsewhere."""
+    days = spark._jvm.org.apache.hadoop.fs.Path(path, "day=*")
+    by_day = days.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(days)
+    return _read_decisions(spark, path) if by_day else _read_logs(spark, path)
+
+
+def _read_logs(spark: SparkSession, path: str) -> DataFrame:
     """Training logs, one JSON file per model; an unreadable one gives a row of nulls."""
     return (
         spark.read.schema(HISTORY_SCHEMA)
@@ -219,7 +227,7 @@ def append_history(rows: DataFrame, path: str) -> None:
     dated.repartitionByRange("day", "id").write.mode("append").partitionBy("day").parquet(path)
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
+def _read_decisions(spark: SparkSession, path: str) -> DataFrame:
     """The history, with ``day``; a filter on it leaves the other days' files unread."""
     rows = spark.read.parquet(path).withColumn("day", F.col("day").cast("date"))
     if "scores_json" not in rows.columns:
