@@ -211,7 +211,7 @@ def model_input(rgb: np.ndarray, shorter: int = 256, side: int = 224) -> np.ndar
 
 
 def _pixels_of(images: pa.StructArray):
-    """RGB arrays of a batch, one at a time; pixels are read where Arrow holds them."""
+    """RGB arrays of a batch, made one at a time from what Arrow holds."""
     fields = dict(zip((f.name for f in images.type), images.flatten()))
     for data, h, w, c in zip(*(fields[name] for name in ("data", "height", "width", "nChannels"))):
         readable = data.is_valid and h.is_valid and h.as_py() > 0
@@ -221,7 +221,8 @@ def _pixels_of(images: pa.StructArray):
 def _per_image(function, result_type: str, arrow_type: pa.DataType):
     @F.arrow_udf(result_type)
     def run(image: pa.Array) -> pa.Array:
-        return pa.array([None if p is None else function(p) for p in _pixels_of(image)], arrow_type)
+        values = pd.Series([None if p is None else function(p) for p in _pixels_of(image)])
+        return pa.Array.from_pandas(values, mask=values.isnull(), type=arrow_type)
 
     return run
 
