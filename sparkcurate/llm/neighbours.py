@@ -27,6 +27,7 @@ candidates of their own. Ties go to the smaller id, null ids last; fewer than k
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import cache
 from math import comb
 from statistics import NormalDist
@@ -45,6 +46,10 @@ TARGET = 0.95
 FIRST = 0.4
 #: Least growth of the windows; at most they double.
 GROWN = 1.06
+#: Arrays are counted at so many times the width that searches usually end with.
+AHEAD = 1.01
+#: Queries that are searched side by side.
+TOGETHER = 8
 BLOCK_ROWS = 1 << 16
 BATCH_ROWS = 4096
 #: Projections of one array lie within this span of the next one's.
@@ -82,6 +87,8 @@ class Octave:
 
     def __init__(self, rows: np.ndarray, x: np.ndarray, size: np.ndarray, lines: np.ndarray):
         self.rows, self.x, self.top = rows, x, float(size.max())
+        #: What searches so far ended with, as a guess for the next; the results do not depend on it.
+        self.usual, self.searches = 0.0, 0
         unit = x / self.top
         lift = np.sqrt(np.maximum(0.0, 1 - (unit * unit).sum(axis=1)))
         projected = (unit @ lines[:-1] + lift[:, None] * lines[-1]).T
@@ -89,6 +96,8 @@ class Octave:
         self.ranks = np.empty(order.shape, np.uint16 if len(rows) <= 1 << 16 else np.uint32)
         np.put_along_axis(self.ranks, order, np.arange(len(rows), dtype=self.ranks.dtype)[None], 1)
         self.starts = np.arange(len(order)) * len(rows)
+        self.span = -(-len(rows) // 255)
+        self.coarse = (self.ranks // self.span).astype(np.uint8)
         placed = np.take_along_axis(projected, order, 1)
         self.order = order.ravel()
         self.sorted = (placed + SPAN * np.arange(len(order))[:, None]).ravel()
@@ -98,13 +107,30 @@ class Octave:
         order = self.order
         return np.bincount(np.concatenate([order[a:b] for a, b in parts if a < b] or [order[:0]]), minlength=len(self.rows))
 
-    def count_ranks(self, parts: list[tuple[int, int]]) -> np.ndarray:
-        """The same for one stretch an array, by each vector's rank in it: cheaper where stretches are wide."""
-        total, kind = np.zeros(len(self.rows), np.uint16), self.ranks.dtype.type
-        for ranks, (a, b) in zip(self.ranks, parts):
-            if a < b:
-                total += ranks - kind(a) <= kind(b - a - 1)
-        return total.astype(np.int64)
+    def count_ranks(self, windows: np.ndarray) -> list[np.ndarray]:
+        """The same for one stretch an array, by each vector's rank in it, for several searches at once: cheaper where
+        stretches are wide. Ranks are taken in equal spans numbered by a byte; what a stretch has of a span at
+        either end is walked. ``windows``: by search, the starts and the ends in the arrays laid end to end."""
+        n, span = len(self.rows), self.span
+        low, high = windows[:, 0] - self.starts, windows[:, 1] - self.starts
+        first, last = -(-low // span), np.where(high < n, high // span, -(-n // span))
+        whole = first < last
+        # No span has number 255: a stretch without a whole span fits none.
+        offset, more = np.where(whole, first, 255).astype(np.uint8), np.where(whole, last - first - 1, 0).astype(np.uint8)
+        totals = np.zeros((len(windows), n), np.uint8 if len(self.starts) < 256 else np.uint16)
+        above, inside = np.empty(totals.shape, np.uint8), np.empty(totals.shape, bool)
+        for line, coarse in enumerate(self.coarse):
+            np.subtract(coarse, offset[:, line, None], out=above)
+            np.less_equal(above, more[:, line, None], out=inside)
+            np.add(totals, inside.view(np.uint8), out=totals)
+        left = np.stack([low, np.where(whole, first * span, high)], 2) + self.starts[:, None]
+        right = np.stack([np.where(whole, last * span, high), high], 2) + self.starts[:, None]
+        edges = np.concatenate([left, right], axis=1).tolist()
+        return [total + self.count(rest) for total, rest in zip(totals, edges)]
+
+    def places(self, rows: np.ndarray) -> np.ndarray:
+        """Where some of the vectors lie in the arrays laid end to end, by array and vector."""
+        return self.sorted[self.starts[:, None] + self.ranks[:, rows]]
 
 
 class Index:
@@ -124,28 +150,51 @@ class Index:
 
     def search(self, query_id: int, q: np.ndarray, k: int) -> list[tuple[int | None, float]]:
         """Up to ``k`` ``(id, inner product)``, best first."""
+        return self.search_all([query_id], q[None], k)[0]
+
+    def search_all(self, query_ids: list[int], queries: np.ndarray, k: int) -> list[list[tuple[int | None, float]]]:
+        """The same for many queries; ``TOGETHER`` of them go on side by side, so that ranks are read once for all."""
+        found: list = [None] * len(query_ids)
+        for start in range(0, len(query_ids), TOGETHER):
+            ready = {i: None for i in range(start, min(start + TOGETHER, len(query_ids)))}
+            runs = {i: self._search(query_ids[i], queries[i], k) for i in ready}
+            while ready:
+                asked = defaultdict(dict)
+                for i, counts in ready.items():
+                    try:
+                        part, windows = runs[i].send(counts)
+                        asked[part][i] = windows
+                    except StopIteration as end:
+                        found[i] = end.value
+                ready = {i: c for part, of in asked.items() for i, c in zip(of, part.count_ranks(np.stack([*of.values()])))}
+        return found
+
+    def _search(self, query_id: int, q: np.ndarray, k: int):
+        """A search; it yields octaves and windows to be counted by rank, and is sent the counts."""
         size = float(norms(q[None])[0])
-        at, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
-        best = -np.inf
+        at, scores, best = np.zeros(0, np.int64), np.zeros(0), -np.inf
+        slack = 1e-9 * size * max((o.top for o in self.octaves), default=0.0)
+
+        def take(rows: np.ndarray, found: np.ndarray) -> np.ndarray:
+            nonlocal at, scores, best
+            at, scores = np.concatenate([at, rows]), np.concatenate([scores, found])
+            best = _kth(scores, k)
+            at, scores = at[scores >= best - slack], scores[scores >= best - slack]
+            return scores
+
         for part in self.octaves:
             if part.top * size < best * (1 - 1e-12):
                 break
             own = (self.keys[part.rows] == query_id) & ~self.null[part.rows]
-            for fresh in self._collide(part, (q / size) @ self.lines[:-1], own, lambda: best, size, k):
-                self.verified += len(fresh)
-                at.append(part.rows[fresh])
-                scores.append(part.x[fresh] @ q)
-                every = np.concatenate(scores)
-                if len(every) >= k:
-                    best = float(np.partition(every, len(every) - k)[len(every) - k])
-        rows, every = np.concatenate(at), np.concatenate(scores)
-        near = rows[every >= best - 1e-9 * size * max((o.top for o in self.octaves), default=0.0)] if np.isfinite(best) else rows
-        exact = inner(self.x[near], q)
-        first = np.lexsort((self.null[near], self.keys[near], -exact))[:k]
-        return [(self.ids[near[i]], float(exact[i])) for i in first]
-
-    def _collide(self, part: Octave, centre: np.ndarray, own: np.ndarray, best, size: float, k: int):
-        """Rows of ``part`` that newly collide often enough, as windows widen."""
+            yield from self._collide(part, q, size, own, take, k, slack)
+        exact = inner(self.x[at], q)
+        first = np.lexsort((self.null[at], self.keys[at], -exact))[:k]
+        return [(self.ids[at[i]], float(exact[i])) for i in first]
+
+    def _collide(self, part: Octave, q: np.ndarray, size: float, own: np.ndarray, take, k: int, slack: float):
+        """Hands rows of ``part`` that collide often enough, as windows widen, and their inner products to ``take``, which
+        returns the scores that still count."""
+        centre = (q / size) @ self.lines[:-1]
         n, lines = len(part.rows), len(centre)
         seen, counts, covered = own.copy(), np.zeros(n, np.int64), 0
         place = centre + SPAN * np.arange(lines)
@@ -153,30 +202,86 @@ class Index:
         ends = np.stack([part.starts, part.starts + n])
         edges = None
         width = FIRST
-        while True:
+
+        def widest(best: float) -> float:
+            return self.reach * np.sqrt(max(0.0, 2 - 2 * best / (size * part.top))) if np.isfinite(best) else np.inf
+
+        def opened(width: float):
+            """Rows that newly collide, and their scores."""
+            nonlocal counts, covered, edges
             new = np.clip(np.searchsorted(part.sorted, np.stack([place - width, place + width])), ends[0], ends[1])
             inside = int((new[1] - new[0]).sum())
-            if edges is None or inside - covered > lines * n // 8:
-                counts = part.count_ranks((new - part.starts).T.tolist())
+            if edges is None or inside - covered > lines * n // 32:
+                counts = yield part, new
             else:
                 grown = np.concatenate([np.stack([new[0], edges[0]], 1), np.stack([edges[1], new[1]], 1)])
                 counts += part.count(grown.tolist())
             edges, covered = new, inside
             fresh = np.flatnonzero((counts >= self.enough) & ~seen)
-            if len(fresh):
-                seen[fresh] = True
-                yield fresh
-            if covered == lines * n:
-                return
-            distance = np.sqrt(max(0.0, 2 - 2 * best() / (size * part.top))) if np.isfinite(best()) else np.inf
-            needed = self.reach * distance
-            if width >= needed:
+            seen[fresh] = True
+            self.verified += len(fresh)
+            return fresh, part.x.take(fresh, axis=0) @ q
+
+        while True:
+            fresh, found = yield from opened(width)
+            held = take(part.rows[fresh], found)
+            needed = widest(_kth(held, k))
+            if covered == lines * n or width >= needed:
                 return
             if needed < np.inf:
-                width = min(GROWN * width, needed)
-            else:  # a count grows by less than its windows do, so this does not overshoot
-                ahead = np.partition(counts, n - k)[n - k] if n > k else 0
-                width *= min(2.0, max(GROWN, self.enough / max(1, ahead)))
+                break
+            # A count grows by less than its windows do, so this does not overshoot.
+            ahead = np.partition(counts, n - k)[n - k] if n > k else 0
+            width *= min(2.0, max(GROWN, self.enough / max(1, ahead)))
+        # From here on the width that is needed only falls and steps grow towards it, so the last step is the first that
+        # needs no more than one step further. The arrays are counted at the width that searches usually end with;
+        # how far the steps go is then settled with the best vectors found there alone.
+        least = _kth(held, k) - slack
+        fresh, found, spots = np.zeros(0, np.int64), np.zeros(0), np.zeros((lines, 0))
+
+        def open_to(width: float):
+            nonlocal fresh, found, spots
+            more, theirs = yield from opened(width)
+            fresh, found = np.concatenate([fresh, more[theirs >= least]]), np.concatenate([found, theirs[theirs >= least]])
+            order = np.argsort(-found)
+            fresh, found, spots = fresh[order], found[order], np.zeros((lines, 0))
+
+        def colliding(width: float) -> tuple[np.ndarray, float]:
+            """Which of the best collide at a width already opened, and the k-th best score then."""
+            nonlocal spots
+            while True:
+                near = (spots >= (place - width)[:, None]) & (spots < (place + width)[:, None])
+                hit = np.flatnonzero(near.sum(axis=0) >= self.enough)
+                best, looked = _kth(np.concatenate([held, found[hit]]), k), spots.shape[1]
+                if looked == len(fresh) or looked and found[looked - 1] < best - slack:
+                    return hit, best
+                spots = np.concatenate([spots, part.places(fresh[looked : 2 * looked + 4 * k])], axis=1)
+
+        while True:
+            wide = min(needed, max(GROWN * width, part.usual))
+            yield from open_to(wide)
+            steps = [width]
+            while GROWN * steps[-1] <= wide:
+                steps.append(GROWN * steps[-1])
+            needed = widest(colliding(steps[-1])[1])
+            if needed <= GROWN * steps[-1]:
+                break
+            width = steps[-1]
+        while len(steps) > 1 and (before := widest(colliding(steps[-2])[1])) <= GROWN * steps[-2]:
+            steps.pop()
+            needed = before
+        width = max(steps[-1], needed)
+        if width > wide:
+            yield from open_to(width)
+        hit, _ = colliding(width)
+        take(part.rows[fresh[hit]], found[hit])
+        part.searches += 1
+        part.usual += (AHEAD * width - part.usual) / part.searches
+
+
+def _kth(scores: np.ndarray, k: int) -> float:
+    """The k-th largest of the scores, or the least of all numbers."""
+    return float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else -np.inf
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -218,8 +323,9 @@ def search(
         found: list[tuple[int, int | None, float]] = []
         if left.num_rows and right.num_rows:
             index = Index(left.column("id").to_pylist(), _matrix(left.column("v")), lines, enough, target)
-            for query, q in zip(right.column("id").to_pylist(), _matrix(right.column("v"))):
-                found += [(query, other, score) for other, score in index.search(query, q, k)]
+            queries = right.column("id").to_pylist()
+            for query, near in zip(queries, index.search_all(queries, _matrix(right.column("v")), k)):
+                found += [(query, other, score) for other, score in near]
         columns = list(zip(*found)) or [[], [], []]
         types = [pa.int64(), pa.int64(), pa.float64()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["query_id", "vec_id", "score"])

@@ -76,6 +76,51 @@ def test_an_index_verifies_few_and_finds_copies():
     assert index.verified < 200  # those nearby, not all
 
 
+def by_steps(index, query, q, k):
+    """One octave searched with all counts taken anew at every step."""
+    (part,), size, n, best, width = index.octaves, float(N.norms(q[None])[0]), len(index.ids), -math.inf, N.FIRST
+    spots = part.places(np.arange(n))
+    place = ((q / size) @ index.lines[:-1] + N.SPAN * np.arange(len(spots)))[:, None]
+    scores, own = part.x @ q, np.array([i == query for i in index.ids])
+    while True:
+        counts = ((spots >= place - width) & (spots < place + width)).sum(axis=0)
+        found = np.flatnonzero((counts >= index.enough) & ~own)
+        if len(found) >= k:
+            best = np.sort(scores[found])[-k]
+        needed = index.reach * math.sqrt(max(0.0, 2 - 2 * best / (size * part.top))) if best > -math.inf else math.inf
+        if counts.min() == len(spots) or width >= needed:
+            return sorted(((index.ids[i], N.inner(part.x[[i]], q)[0]) for i in found), key=lambda r: (-r[1], r[0]))[:k]
+        width = min(N.GROWN * width, needed) if needed < math.inf else width * min(2.0, max(N.GROWN, index.enough / max(1, np.sort(counts)[-k])))
+
+
+def test_a_search_counts_few_times_and_ends_as_by_steps(monkeypatch):
+    draw = np.random.default_rng(8)
+    for n, dims, k in ((4_000, 48, 20), (700, 8, 5), (30, 4, 20)):
+        x = draw.standard_normal((n, dims))
+        x[n // 2 : n // 2 + 5] = x[0]
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        index, queries = N.Index([i // 2 for i in range(n)], x), list(range(0, n, max(1, n // 40)))
+        want = [by_steps(index, index.ids[i], x[i], k) for i in queries]
+        placed, plain_search = [], np.searchsorted
+        monkeypatch.setattr(N.np, "searchsorted", lambda *a: placed.append(1) or plain_search(*a))
+        assert [index.search(index.ids[i], x[i], k) for i in queries] == want
+        assert len(placed) <= 7 * len(queries)  # windows placed and counted; nine and more when every step was counted
+        monkeypatch.undo()
+        assert index.search_all([index.ids[i] for i in queries], x[queries], k) == want
+
+
+def test_ranks_are_counted_as_walks_count_them():
+    draw = np.random.default_rng(9)
+    for n in (1, 100, 255, 256, 1_000):
+        x = draw.standard_normal((n, 5))
+        part = N.Octave(np.arange(n), x, N.norms(x), draw.standard_normal((6, 300 if n == 100 else 7)))
+        windows = np.sort(draw.integers(0, n + 1, (3, 2, len(part.starts))), axis=1)
+        windows[0, 0, :3], windows[0, 1, :3] = 0, n
+        windows += part.starts
+        for counts, (low, high) in zip(part.count_ranks(windows), windows.tolist()):
+            assert (counts == part.count(list(zip(low, high)))).all()
+
+
 def test_odd_vectors_and_ties(spark):
     v = [1.0, 0.0, 2.0]
     vectors = [(0, v), (0, [9.0, 9.0, 9.0]), (1, v), (1, v), (7, [3.0, 1.0, 1.0]), (2, v), (None, v), (20, [-1.0, 0.5, 0.0]),
