@@ -13,6 +13,11 @@ independently, so the chance is a binomial tail; nearer vectors have a better on
 no number of candidates is capped. Octaves of smaller norms are searched while the product of the norms still
 beats the k-th best, which is exact.
 
+Once k vectors are held, the needed width only falls. So the arrays are counted at the width that searches
+of this block usually end with, and the step at which the widening ends is found among the best vectors counted
+there: the same vectors are returned as by counting at every step. Wide windows are counted by the vectors'
+ranks, a byte each, for ``TOGETHER`` queries in one pass.
+
 Scale: vectors are dealt by hash into blocks of ``BLOCK_ROWS``, queries into batches of up to
 ``BATCH_ROWS``; each pair of block and batch is one task's work, in bounded memory, and gives k rows a
 query. Partial results meet in a ranking that keeps k rows a query and task before the shuffle. The
@@ -91,16 +96,16 @@ class Octave:
         self.usual, self.searches = 0.0, 0
         unit = x / self.top
         lift = np.sqrt(np.maximum(0.0, 1 - (unit * unit).sum(axis=1)))
-        projected = (unit @ lines[:-1] + lift[:, None] * lines[-1]).T
+        projected = np.ascontiguousarray((unit @ lines[:-1] + lift[:, None] * lines[-1]).T)
         order = np.argsort(projected, axis=1)
         self.ranks = np.empty(order.shape, np.uint16 if len(rows) <= 1 << 16 else np.uint32)
         np.put_along_axis(self.ranks, order, np.arange(len(rows), dtype=self.ranks.dtype)[None], 1)
         self.starts = np.arange(len(order)) * len(rows)
         self.span = -(-len(rows) // 255)
         self.coarse = (self.ranks // self.span).astype(np.uint8)
-        placed = np.take_along_axis(projected, order, 1)
         self.order = order.ravel()
-        self.sorted = (placed + SPAN * np.arange(len(order))[:, None]).ravel()
+        projected.sort(axis=1)
+        self.sorted = (projected + SPAN * np.arange(len(order))[:, None]).ravel()
 
     def count(self, parts: list[tuple[int, int]]) -> np.ndarray:
         """How often each vector occurs in stretches of the arrays, by walking them."""
